@@ -7,8 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from dailycast.operators import features as feat
+from dailycast.operators import forecast as fc
+from dailycast.operators import metrics as mt
+from dailycast.operators import select as sel
+from dailycast.operators import split as sp
+from dailycast.operators import summary as sm
 from dailycast.sources import testdata as td
+from dailycast.sources import transactions as tr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,4 +54,348 @@ def q_prepare_features_retail(spark, sf):
     """W5 without the NULL drop (API path) on the sparse retail series."""
     return feat.prepare_features(td.retail_transactions(spark, sf), drop_nans=False)
 
-FLAGSHIP = "prepare_features"
+
+# --- step 2: scans, filters, projections, summaries ---------------------------
+
+@register("scan_transactions")
+def q_scan_transactions(spark, sf):
+    """Raw CSV-shaped rows -> strict drop of the 12 columns -> Date parsed."""
+    raw = td.retail_raw_csv_shape(spark, sf)
+    return tr.parse_dates(tr.drop_columns_strict(raw))
+
+
+@register("drop_columns_if_present")
+def q_drop_if_present(spark, sf):
+    """Tolerant drop (the API loader) on the same shape, Date parsed."""
+    raw = td.retail_raw_csv_shape(spark, sf).drop("Recovered", "Net Credit")
+    return tr.parse_dates(tr.drop_columns_if_present(raw))
+
+
+@register("daily_sales_day_grain")
+def q_daily_day_grain(spark, sf):
+    """A1 with grain='day' on exact event timestamps; no discount column (P10)."""
+    return feat.daily_sales(td.events_raw_timestamps(spark, sf), grain="day")
+
+
+@register("daily_sales_exact_grain")
+def q_daily_exact_grain(spark, sf):
+    """A1 with the reference's exact-timestamp grain on event times."""
+    return feat.daily_sales(td.events_raw_timestamps(spark, sf), grain="exact")
+
+
+@register("date_features")
+def q_date_features(spark, sf):
+    """F1/F2 on the retail daily series (years 1995-2001, ISO weeks at New Year)."""
+    return feat.date_features(feat.daily_sales(td.retail_transactions(spark, sf)))
+
+
+@register("date_features_friday_weekend")
+def q_date_features_friday(spark, sf):
+    """F2 legacy rule: weekend = Friday only."""
+    from dailycast.schema import WEEKEND_DAYS_FRIDAY_ONLY
+    return feat.date_features(feat.daily_sales(td.retail_transactions(spark, sf)), WEEKEND_DAYS_FRIDAY_ONLY)
+
+
+@register("lag_features_full_window")
+def q_lag_full(spark, sf):
+    """Legacy averages (NULL until the window is full), then P8."""
+    return feat.legacy_features(td.events_by_user(spark, sf))
+
+
+@register("moving_average_exclude_current")
+def q_ma_exclude(spark, sf):
+    """W2 variant: averages end one row before the current one (no leak)."""
+    d = feat.daily_sales(td.events_by_user(spark, sf))
+    return feat.lag_features(d, exclude_current=True)
+
+
+@register("select_features")
+def q_select_features(spark, sf):
+    """The 12 features in order plus the target."""
+    return sel.select_features(feat.prepare_features(td.events_by_user(spark, sf)))
+
+
+@register("filter_by_period")
+def q_filter_by_period(spark, sf):
+    """Year and month (Date range) on the retail feature table."""
+    return sel.filter_by_period(feat.prepare_features(td.retail_transactions(spark, sf)), year=1998, month=6)
+
+
+@register("filter_by_month_any_year")
+def q_filter_by_month(spark, sf):
+    """Month alone spans all years."""
+    return sel.filter_by_period(feat.prepare_features(td.retail_transactions(spark, sf)), month=12)
+
+
+@register("filter_period_set")
+def q_filter_period_set(spark, sf):
+    """P5: (1999, Nov-Dec) or (2000, Jan)."""
+    f = feat.prepare_features(td.retail_transactions(spark, sf))
+    return sel.filter_period_set(f, [(1999, [11, 12]), (2000, [1])])
+
+
+@register("daily_data_query")
+def q_daily_data_query(spark, sf):
+    """Daily sums -> outlet filter -> API projection -> date range."""
+    d = feat.daily_sales(td.retail_transactions(spark, sf))
+    return sel.filter_date_range(sel.api_daily(sel.filter_outlet(d, "NATION_7")),
+                                 "1997-01-01", "1998-12-31", date_col="date")
+
+
+@register("daily_data_date_range")
+def q_daily_date_range(spark, sf):
+    """All outlets, inclusive day bounds, API projection."""
+    d = feat.daily_sales(td.events_raw_timestamps(spark, sf), grain="day")
+    return sel.filter_date_range(sel.api_daily(d), "2024-01-10", "2024-01-20", date_col="date")
+
+
+@register("drop_nulls")
+def q_drop_nulls(spark, sf):
+    """P8 on the retail features (sparse series: many NULL lags)."""
+    return feat.drop_nulls(feat.prepare_features(td.retail_transactions(spark, sf), drop_nans=False))
+
+
+@register("data_summary")
+def q_data_summary(spark, sf):
+    """A2 on the retail transactions."""
+    return sm.data_summary(td.retail_transactions(spark, sf))
+
+
+@register("data_summary_events")
+def q_data_summary_events(spark, sf):
+    """A2 on per-user events."""
+    return sm.data_summary(td.events_by_user(spark, sf))
+
+
+@register("outlet_count")
+def q_outlet_count(spark, sf):
+    """A3: distinct outlets of the daily table."""
+    return sm.outlet_count(feat.daily_sales(td.events_by_user(spark, sf)))
+
+
+@register("outlet_list")
+def q_outlet_list(spark, sf):
+    """A4: sorted distinct outlets."""
+    return sm.outlet_list(feat.daily_sales(td.retail_transactions(spark, sf)))
+
+
+@register("data_status")
+def q_data_status(spark, sf):
+    """A5: date range and record count of the transactions."""
+    return sm.data_status(td.retail_transactions(spark, sf))
+
+
+@register("sort_daily_preview")
+def q_preview(spark, sf):
+    """O1/O3: first 100 daily rows in (Outlet, Date) order."""
+    return sel.preview(feat.daily_sales(td.retail_transactions(spark, sf)), 100)
+
+
+# --- step 3: splits, periods, encoding, evaluation -------------------------------
+
+def _features_user(spark, sf):
+    return feat.prepare_features(td.events_by_user(spark, sf))
+
+
+def _features_retail(spark, sf):
+    return feat.prepare_features(td.retail_transactions(spark, sf))
+
+
+@register("split_cutoff")
+def q_split_cutoff(spark, sf):
+    """A10: 0.8 quantile of Date over feature rows (linear interpolation)."""
+    return sp.split_cutoff(_features_retail(spark, sf))
+
+
+@register("time_split_report")
+def q_time_split(spark, sf):
+    """M2 + A12: rows and date range of train (Date < cutoff) and test."""
+    return sp.split_report(sp.time_split(_features_retail(spark, sf)))
+
+
+@register("period_split_report")
+def q_period_split(spark, sf):
+    """M3 + A12: train = 1999, test = Jan 2000, from one feature table."""
+    return sp.split_report(sp.period_split(_features_retail(spark, sf), {"year": 1999}, {"year": 2000, "month": 1}))
+
+
+@register("stratified_split")
+def q_stratified(spark, sf):
+    """M4: per-outlet exact 20 % test quota by seeded hash."""
+    return sp.stratified_split(_features_user(spark, sf)).select(
+        "Outlet", "Date", "Total Sales Amount", "split")
+
+
+@register("named_period_3months")
+def q_named_3m(spark, sf):
+    """M20: '3months' = rows on/after max(Date) - 3 months."""
+    return sp.resolve_named_period(_features_retail(spark, sf), "3months")
+
+
+@register("named_period_month")
+def q_named_month(spark, sf):
+    """M20: 'jun_1998'."""
+    return sp.resolve_named_period(_features_retail(spark, sf), "jun_1998")
+
+
+@register("encode_outlet")
+def q_encode(spark, sf):
+    """Sorted-label codes fitted on the union of train and test outlets."""
+    s = sp.time_split(_features_retail(spark, sf))
+    enc = sp.encode_outlet(s, fitted_on=[s.where("split = 'train'"), s.where("split = 'test'")])
+    return enc.select("Outlet", "Date", "split", sp.OUTLET_CODE)
+
+
+@register("label_lookup")
+def q_label_lookup(spark, sf):
+    """Encoder fitted on the train side, applied to the test side."""
+    s = sp.time_split(_features_user(spark, sf))
+    model = sp.fit_outlet_encoder(s.where("split = 'train'").select("Outlet").distinct())
+    return sp.label_lookup(s.where("split = 'test'"), model).select("Outlet", "Date", sp.OUTLET_CODE)
+
+
+def _baseline_predictions(spark, sf):
+    s = sp.time_split(_features_user(spark, sf)).where("split = 'test'")
+    return s.withColumns({"naive": F.col("lag_1"), "seasonal_naive": F.col("lag_7"),
+                          "blend": fc.BLEND.column({c: F.col(c) for c in fc.STATE_FEATURES})})
+
+
+@register("evaluate_baseline")
+def q_evaluate(spark, sf):
+    """MAE, RMSE, R2, n of the blend baseline on the time-split test rows."""
+    return mt.evaluate(_baseline_predictions(spark, sf), prediction="blend", digits=sm.REPORT_DIGITS)
+
+
+@register("compare_models")
+def q_compare(spark, sf):
+    """Three baselines on the same test rows; winner by RMSE."""
+    return mt.compare_models(_baseline_predictions(spark, sf),
+                             {"naive": "naive", "seasonal_naive": "seasonal_naive", "blend": "blend"},
+                             digits=sm.REPORT_DIGITS)
+
+
+@register("error_reduction")
+def q_error_reduction(spark, sf):
+    """Reduction of the blend baseline against the naive one."""
+    cmp = mt.compare_models(_baseline_predictions(spark, sf), {"naive": "naive", "blend": "blend"})
+    return mt.error_reduction(cmp, "naive", "blend", digits=sm.REPORT_DIGITS)
+
+
+@register("actual_vs_predicted")
+def q_actual_vs_predicted(spark, sf):
+    """Per-outlet actual and predicted totals of the blend baseline."""
+    return mt.actual_vs_predicted(_baseline_predictions(spark, sf), prediction="blend", digits=sm.REPORT_DIGITS)
+
+
+# --- step 4: recursive forecast with deterministic predictors ----------------------
+
+FORECAST_EVENTS = fc.ForecastSpec(start="2024-01-31", end="2024-02-29")
+FORECAST_SCRIPT = fc.ForecastSpec(start="2024-02-01", end="2024-02-29", clamp_start=False,
+                                  anchor_period={"year": 2024, "month": 1})
+FORECAST_RETAIL = fc.ForecastSpec(start="2001-10-20", end="2001-12-31")
+
+
+def _api_features_user(spark, sf):
+    return feat.prepare_features(td.events_by_user(spark, sf), drop_nans=False)
+
+
+def _forecast_user(spark, sf):
+    return fc.predict_daily(_api_features_user(spark, sf), FORECAST_EVENTS, fc.BLEND)
+
+
+@register("last_row_per_outlet")
+def q_last_row(spark, sf):
+    """Feature row at each outlet's latest date."""
+    return fc.last_row_per_outlet(_features_retail(spark, sf))
+
+
+@register("recent_lookback")
+def q_recent(spark, sf):
+    """Rows within last_date-13 .. last_date per outlet."""
+    f = _features_retail(spark, sf)
+    return fc.recent_history(f, fc.last_row_per_outlet(f))
+
+
+@register("skipped_outlets")
+def q_skipped(spark, sf):
+    """Outlets with fewer than 7 rows in their lookback window."""
+    f = _features_retail(spark, sf)
+    return fc.skipped_outlets(fc.history_state(fc.recent_history(f, fc.last_row_per_outlet(f))))
+
+
+@register("restrict_to_period_outlets")
+def q_period_outlets(spark, sf):
+    """Anchor rows taken inside a period keep only that period's outlets."""
+    return fc.last_row_per_outlet(_features_retail(spark, sf), {"year": 2001, "month": 10})
+
+
+@register("date_spine")
+def q_date_spine(spark, sf):
+    """per forecast outlet, its days pred_start..end (inclusive)."""
+    st = fc.forecast_state(_api_features_user(spark, sf), FORECAST_EVENTS)
+    from dailycast.functions.columns import day_spine
+    return st.select("Outlet", F.explode(day_spine(F.col("pred_start"), F.col("pred_end"))).alias("Date"))
+
+
+@register("forecast_daily")
+def q_forecast_daily(spark, sf):
+    """M12 (library dialect) with the blend predictor on per-user series."""
+    return _forecast_user(spark, sf)
+
+
+@register("forecast_daily_script")
+def q_forecast_script(spark, sf):
+    """M13 (script dialect: legacy features, anchor in Jan 2024, no clamp), weekly predictor."""
+    f = feat.legacy_features(td.events_by_user(spark, sf))
+    return fc.predict_daily(f, FORECAST_SCRIPT, fc.WEEKLY)
+
+
+@register("forecast_daily_retail")
+def q_forecast_retail(spark, sf):
+    """M12 on the sparse retail series: some outlets skipped, start clamped."""
+    return fc.predict_daily(_features_retail(spark, sf), FORECAST_RETAIL, fc.BLEND)
+
+
+@register("monthly_forecast")
+def q_monthly(spark, sf):
+    """A6 over M12."""
+    return sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS)
+
+
+@register("api_monthly_summary")
+def q_api_monthly(spark, sf):
+    """A7 over M12."""
+    return sm.api_monthly_summary(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS)
+
+
+@register("horizon_total")
+def q_horizon_total(spark, sf):
+    """A8 over M13 (February totals)."""
+    f = feat.legacy_features(td.events_by_user(spark, sf))
+    return sm.horizon_total(fc.predict_daily(f, FORECAST_SCRIPT, fc.WEEKLY),
+                            "Predicted February 2024 Sales", digits=sm.REPORT_DIGITS)
+
+
+@register("daily_total_forecast")
+def q_daily_total(spark, sf):
+    """Total prediction per day over all outlets."""
+    return sm.daily_total_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS)
+
+
+@register("outlet_month_pivot")
+def q_outlet_month(spark, sf):
+    """A14 (pivot form): one column per forecast month."""
+    m = sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS)
+    return m.groupBy("Outlet").pivot("Month").agg(F.first("Predicted Monthly Sales"))
+
+
+@register("stack_forecasts")
+def q_stack(spark, sf):
+    """Forecasts of two predictors stacked with a model column."""
+    f = _api_features_user(spark, sf)
+    a = fc.predict_daily(f, FORECAST_EVENTS, fc.BLEND).withColumn("model", F.lit("blend"))
+    b = fc.predict_daily(f, FORECAST_EVENTS, fc.WEEKLY).withColumn("model", F.lit("weekly"))
+    return a.unionByName(b)
+
+
+FLAGSHIP = "monthly_forecast"

@@ -92,3 +92,255 @@ sql("daily_sales", with_ctes(TX["events_user"], DAILY) + "SELECT * FROM daily")
 sql("daily_sales_retail", with_ctes(TX["retail"], DAILY) + "SELECT * FROM daily")
 sql("prepare_features", features_sql("events_user", drop=True) + "SELECT * FROM feat")
 sql("prepare_features_retail_keep_nulls", features_sql("retail", drop=False) + "SELECT * FROM feat")
+
+
+# --- step 2 ----------------------------------------------------------------------
+
+_RETAIL_COLS = 'Outlet, Date, "Total Sales Amount", "Total Discount"'
+TX_EXACT_USER = """tx AS (
+  SELECT CAST(user_id AS VARCHAR) AS Outlet, ts AS Date, value AS "Total Sales Amount",
+         CAST(0 AS DOUBLE) AS "Total Discount"
+  FROM events)"""
+
+sql("scan_transactions", with_ctes(TX["retail"]) + f"SELECT {_RETAIL_COLS} FROM tx")
+sql("drop_columns_if_present", with_ctes(TX["retail"]) + f"SELECT {_RETAIL_COLS} FROM tx")
+sql("daily_sales_day_grain", with_ctes(TX["events_user"], DAILY) + "SELECT * FROM daily")
+sql("daily_sales_exact_grain", with_ctes(TX_EXACT_USER, DAILY) + "SELECT * FROM daily")
+sql("date_features", with_ctes(TX["retail"], DAILY) + f"SELECT *, {calendar_sql()} FROM daily")
+sql("date_features_friday_weekend", with_ctes(TX["retail"], DAILY) + f"SELECT *, {calendar_sql('Date', '4')} FROM daily")
+sql("lag_features_full_window", features_sql("events_user", drop=True, full=True) + "SELECT * FROM feat")
+
+
+def _ma_excl(n: int) -> str:
+    frame = f"(PARTITION BY Outlet ORDER BY Date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    s = f'CAST(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))) OVER {frame} AS DOUBLE)'
+    c = f'count("Total Sales Amount") OVER {frame}'
+    return f"CASE WHEN {c} > 0 THEN {s} / {c} END AS ma_{n}"
+
+
+sql("moving_average_exclude_current", with_ctes(TX["events_user"], DAILY) + f"""
+SELECT *, lag("Total Sales Amount", 1) OVER w AS lag_1, lag("Total Sales Amount", 7) OVER w AS lag_7,
+       lag("Total Sales Amount", 14) OVER w AS lag_14, {_ma_excl(7)}, {_ma_excl(14)}
+FROM daily WINDOW w AS (PARTITION BY Outlet ORDER BY Date)""")
+sql("select_features", features_sql("events_user") + """
+SELECT Outlet, day, weekday, week, month, year, is_weekend, lag_1, lag_7, lag_14, ma_7, ma_14,
+       "Total Sales Amount" FROM feat""")
+sql("filter_by_period", features_sql("retail") +
+    "SELECT * FROM feat WHERE Date >= TIMESTAMP '1998-06-01' AND Date < TIMESTAMP '1998-07-01'")
+sql("filter_by_month_any_year", features_sql("retail") + "SELECT * FROM feat WHERE month(Date) = 12")
+sql("filter_period_set", features_sql("retail") + """SELECT * FROM feat
+WHERE (year(Date) = 1999 AND month(Date) IN (11, 12)) OR (year(Date) = 2000 AND month(Date) IN (1))""")
+sql("daily_data_query", with_ctes(TX["retail"], DAILY) + """
+SELECT Date AS date, Outlet AS outlet, "Total Sales Amount" AS sales FROM daily
+WHERE Outlet = 'NATION_7' AND CAST(Date AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
+sql("daily_data_date_range", with_ctes(TX["events_user"], DAILY) + """
+SELECT Date AS date, Outlet AS outlet, "Total Sales Amount" AS sales FROM daily
+WHERE CAST(Date AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
+sql("drop_nulls", features_sql("retail", drop=True) + "SELECT * FROM feat")
+
+
+def _summary_sql(adapter: str) -> str:
+    return with_ctes(TX[adapter]) + """,
+day_tot AS (
+  SELECT CAST(Date AS DATE) AS d,
+         CAST(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))) AS DOUBLE) AS v
+  FROM tx WHERE Outlet IS NOT NULL AND Date IS NOT NULL GROUP BY 1)
+SELECT (SELECT count(*) FROM tx) AS total_records,
+       (SELECT min(Date) FROM tx) AS start,
+       (SELECT max(Date) FROM tx) AS "end",
+       (SELECT count(DISTINCT Outlet) FROM tx WHERE Date IS NOT NULL) AS outlets,
+       round(avg(v), 4) AS average_sales, min(v) AS min_sales, max(v) AS max_sales,
+       round(stddev_samp(v), 4) AS std_dev
+FROM day_tot"""
+
+
+sql("data_summary", _summary_sql("retail"))
+sql("data_summary_events", _summary_sql("events_user"))
+sql("outlet_count", with_ctes(TX["events_user"], DAILY) + "SELECT count(DISTINCT Outlet) AS outlets FROM daily")
+sql("outlet_list", with_ctes(TX["retail"], DAILY) + "SELECT DISTINCT Outlet FROM daily")
+sql("data_status", with_ctes(TX["retail"]) + """
+SELECT min(Date) AS start, max(Date) AS "end", count(*) AS total_records,
+       CAST(NULL AS TIMESTAMP) AS last_training FROM tx""")
+sql("sort_daily_preview", with_ctes(TX["retail"], DAILY) + "SELECT * FROM daily ORDER BY Outlet, Date LIMIT 100")
+
+# --- step 3 ----------------------------------------------------------------------
+
+_CUT = "(SELECT quantile_cont(epoch_us(Date), 0.8) FROM feat)"
+sql("split_cutoff", features_sql("retail") + f"""
+SELECT {_CUT} AS cutoff_micros, make_timestamp(CAST(round({_CUT}) AS BIGINT)) AS cutoff""")
+_SPLIT = f"CASE WHEN epoch_us(Date) < {_CUT} THEN 'train' ELSE 'test' END"
+sql("time_split_report", features_sql("retail") + f"""
+SELECT {_SPLIT} AS split, count(*) AS n_rows, min(Date) AS min_date, max(Date) AS max_date
+FROM feat GROUP BY 1""")
+sql("period_split_report", features_sql("retail") + """,
+s AS (SELECT 'train' AS split, Date FROM feat WHERE year(Date) = 1999
+      UNION ALL SELECT 'test' AS split, Date FROM feat WHERE year(Date) = 2000 AND month(Date) = 1)
+SELECT split, count(*) AS n_rows, min(Date) AS min_date, max(Date) AS max_date FROM s GROUP BY split""")
+sql("stratified_split", features_sql("events_user") + """,
+r AS (SELECT Outlet, Date, "Total Sales Amount",
+             row_number() OVER (PARTITION BY Outlet
+               ORDER BY md5(Outlet || '|' || CAST(epoch_us(Date) AS VARCHAR) || '|' || '42'), Date) AS rk,
+             ceil(count(*) OVER (PARTITION BY Outlet) * 0.2) AS quota
+      FROM feat)
+SELECT Outlet, Date, "Total Sales Amount", CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split FROM r""")
+sql("named_period_3months", features_sql("retail") +
+    "SELECT * FROM feat WHERE Date >= (SELECT max(Date) - INTERVAL 3 MONTH FROM feat)")
+sql("named_period_month", features_sql("retail") +
+    "SELECT * FROM feat WHERE Date >= TIMESTAMP '1998-06-01' AND Date < TIMESTAMP '1998-07-01'")
+sql("encode_outlet", features_sql("retail") + f"""
+SELECT Outlet, Date, {_SPLIT} AS split,
+       CAST(dense_rank() OVER (ORDER BY Outlet) - 1 AS DOUBLE) AS Outlet_code FROM feat""")
+_CUT_U = _CUT
+sql("label_lookup", features_sql("events_user") + f""",
+tr AS (SELECT DISTINCT Outlet FROM feat WHERE epoch_us(Date) < {_CUT}),
+codes AS (SELECT Outlet, CAST(row_number() OVER (ORDER BY Outlet) - 1 AS DOUBLE) AS Outlet_code FROM tr)
+SELECT f.Outlet, f.Date, c.Outlet_code FROM feat f JOIN codes c ON f.Outlet = c.Outlet
+WHERE epoch_us(f.Date) >= {_CUT}""")
+
+_BLEND_SQL = ("(((CAST(0.0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(ma_7 AS DOUBLE)) "
+              "+ CAST(0.3 AS DOUBLE) * CAST(lag_1 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * CAST(lag_14 AS DOUBLE))")
+_TEST = features_sql("events_user") + f""",
+test AS (SELECT "Total Sales Amount" AS y, lag_1 AS naive, lag_7 AS seasonal_naive, {_BLEND_SQL} AS blend, Outlet
+         FROM feat WHERE epoch_us(Date) >= {_CUT})"""
+
+
+def _metrics(p: str, digits: bool = True) -> str:
+    r = (lambda x: f"round({x}, 4)") if digits else (lambda x: x)
+    r2 = (f"CASE WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y - {p}) * (y - {p})) = 0 THEN 1.0 ELSE 0.0 END "
+          f"ELSE 1.0 - sum((y - {p}) * (y - {p})) / (var_pop(y) * count(y)) END")
+    return (f"{r(f'avg(abs(y - {p}))')} AS MAE, {r(f'sqrt(avg((y - {p}) * (y - {p})))')} AS RMSE, "
+            f"{r(r2)} AS r2, count(*) AS test_size")
+
+
+sql("evaluate_baseline", _TEST + """
+SELECT round(avg(abs(y - blend)), 4) AS mae, round(sqrt(avg((y - blend) * (y - blend))), 4) AS rmse,
+       round(CASE WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y - blend) * (y - blend)) = 0 THEN 1.0 ELSE 0.0 END
+             ELSE 1.0 - sum((y - blend) * (y - blend)) / (var_pop(y) * count(y)) END, 4) AS r2,
+       count(*) AS test_size
+FROM test""")
+sql("compare_models", _TEST + f""",
+m AS (SELECT 'naive' AS Model, {_metrics('naive')} FROM test
+      UNION ALL SELECT 'seasonal_naive', {_metrics('seasonal_naive')} FROM test
+      UNION ALL SELECT 'blend', {_metrics('blend')} FROM test),
+b AS (SELECT min(RMSE) AS best, count(*) FILTER (WHERE RMSE = (SELECT min(RMSE) FROM m)) AS nb FROM m)
+SELECT m.*, CASE WHEN b.nb > 1 THEN 'similar'
+                 ELSE (SELECT Model FROM m WHERE RMSE = b.best) END AS winner
+FROM m, b""")
+sql("error_reduction", _TEST + f""",
+nb AS (SELECT {_metrics('naive', False)} FROM test),
+bl AS (SELECT {_metrics('blend', False)} FROM test)
+SELECT 'naive' AS base_model, 'blend' AS other_model,
+       round((nb.MAE - bl.MAE) / nb.MAE * 100, 4) AS mae_reduction_pct,
+       round((nb.RMSE - bl.RMSE) / nb.RMSE * 100, 4) AS rmse_reduction_pct,
+       round(bl.r2 - nb.r2, 4) AS r2_improvement,
+       CASE WHEN (nb.MAE - bl.MAE) / nb.MAE * 100 > 0 THEN 'blend' ELSE 'naive' END AS better_model
+FROM nb, bl""")
+sql("actual_vs_predicted", _TEST + """
+SELECT Outlet, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) AS "Actual Sales",
+       round(sum(blend), 4) AS "Predicted Sales" FROM test GROUP BY Outlet""")
+
+
+# --- step 4: recursive forecast (DuckDB recursive CTE) ---------------------------
+
+_CAL = {
+    "day": "dayofmonth({d})", "weekday": "(isodow({d}) - 1)", "week": "week({d})",
+    "month": "month({d})", "year": "year({d})", "is_weekend": "CAST(isodow({d}) - 1 IN ({w}) AS INTEGER)",
+}
+
+
+def _linear_sql(terms, intercept, d: str, weekend: str) -> str:
+    def ref(f):
+        return _CAL[f].format(d=d, w=weekend) if f in _CAL else f
+    out = f"CAST({float(intercept)!r} AS DOUBLE)"
+    for w, f in terms:
+        out = f"({out} + CAST({float(w)!r} AS DOUBLE) * CAST({ref(f)} AS DOUBLE))"
+    return out
+
+
+BLEND_TERMS = (((0.5, "ma_7"), (0.3, "lag_1"), (0.2, "lag_14")), 0.0)
+WEEKLY_TERMS = (((0.6, "ma_14"), (0.4, "lag_7"), (2.5, "is_weekend")), 1.0)
+
+
+def forecast_ctes(adapter: str, predictor, start: str, end: str, clamp: bool = True, drop: bool = False,
+                  full: bool = False, anchor: tuple[str, str] | None = None, name: str = "fc",
+                  weekend: str = "4, 5, 6", with_base: bool = True) -> list[str]:
+    """CTEs ending in ``{name}(Outlet, Date, "Predicted Sales")``."""
+    terms, intercept = predictor
+    anchor_where = (f"Date >= TIMESTAMP '{anchor[0]}' AND Date < TIMESTAMP '{anchor[1]}'" if anchor else "TRUE")
+    d0 = (f"greatest(a.Date + INTERVAL 1 DAY, TIMESTAMP '{start}')" if clamp else "a.Date + INTERVAL 1 DAY")
+    p = name
+    ctes = [TX[adapter], DAILY, feat_cte(full=full, drop=drop)] if with_base else []
+    ctes += [
+        f"{p}_last AS (SELECT Outlet, max(Date) AS md FROM feat WHERE {anchor_where} GROUP BY Outlet)",
+        f"{p}_anchor AS (SELECT f.* FROM feat f JOIN {p}_last l ON f.Outlet = l.Outlet AND f.Date = l.md)",
+        f"""{p}_hist AS (
+  SELECT a.Outlet, count(*) AS n_hist, list(f."Total Sales Amount" ORDER BY f.Date) AS h
+  FROM feat f JOIN {p}_anchor a ON f.Outlet = a.Outlet
+  WHERE f.Date >= a.Date - INTERVAL 13 DAY AND f.Date <= a.Date GROUP BY a.Outlet)""",
+        f"""{p}_st AS (
+  SELECT a.Outlet, a.lag_1, a.lag_7, a.lag_14, a.ma_7, a.ma_14, h.h[-14:] AS h, {d0} AS d0
+  FROM {p}_anchor a JOIN {p}_hist h ON a.Outlet = h.Outlet WHERE h.n_hist >= 7)""",
+        f"""{p}_rc(Outlet, d, lag_1, lag_7, lag_14, ma_7, ma_14, h, y) AS (
+  SELECT Outlet, d0, lag_1, lag_7, lag_14, ma_7, ma_14, h, {_linear_sql(terms, intercept, 'd0', weekend)}
+  FROM {p}_st WHERE d0 <= TIMESTAMP '{end}'
+  UNION ALL
+  SELECT Outlet, d, lag_1, lag_7, lag_14, ma_7, ma_14, h, {_linear_sql(terms, intercept, 'd', weekend)}
+  FROM (
+    SELECT Outlet, d, lag_1, lag_7, lag_14,
+           list_reduce(h[-7:], lambda a, x: a + x) / len(h[-7:]) AS ma_7,
+           list_reduce(h, lambda a, x: a + x) / len(h) AS ma_14, h
+    FROM (
+      SELECT Outlet, d + INTERVAL 1 DAY AS d, y AS lag_1, lag_1 AS lag_7, lag_7 AS lag_14,
+             list_concat(h, [y])[-14:] AS h
+      FROM {p}_rc WHERE d + INTERVAL 1 DAY <= TIMESTAMP '{end}') s1) s2)""",
+        f'{p} AS (SELECT Outlet, d AS Date, y AS "Predicted Sales" FROM {p}_rc)',
+    ]
+    return ctes
+
+
+def forecast_sql(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+_FC_USER = forecast_ctes("events_user", BLEND_TERMS, "2024-01-31", "2024-02-29")
+_FC_SCRIPT = forecast_ctes("events_user", WEEKLY_TERMS, "2024-02-01", "2024-02-29", clamp=False, drop=True,
+                           full=True, anchor=("2024-01-01", "2024-02-01"))
+_FC_RETAIL = forecast_ctes("retail", BLEND_TERMS, "2001-10-20", "2001-12-31", drop=True)
+
+sql("last_row_per_outlet", features_sql("retail") + """,
+lastd AS (SELECT Outlet, max(Date) AS md FROM feat GROUP BY Outlet)
+SELECT f.* FROM feat f JOIN lastd l ON f.Outlet = l.Outlet AND f.Date = l.md""")
+sql("recent_lookback", features_sql("retail") + """,
+lastd AS (SELECT Outlet, max(Date) AS md FROM feat GROUP BY Outlet)
+SELECT f.Outlet, f.Date, f."Total Sales Amount" FROM feat f JOIN lastd l ON f.Outlet = l.Outlet
+WHERE f.Date >= l.md - INTERVAL 13 DAY AND f.Date <= l.md""")
+sql("skipped_outlets", features_sql("retail") + """,
+lastd AS (SELECT Outlet, max(Date) AS md FROM feat GROUP BY Outlet)
+SELECT f.Outlet, count(*) AS days FROM feat f JOIN lastd l ON f.Outlet = l.Outlet
+WHERE f.Date >= l.md - INTERVAL 13 DAY AND f.Date <= l.md GROUP BY f.Outlet HAVING count(*) < 7""")
+sql("restrict_to_period_outlets", features_sql("retail") + """,
+lastd AS (SELECT Outlet, max(Date) AS md FROM feat
+          WHERE Date >= TIMESTAMP '2001-10-01' AND Date < TIMESTAMP '2001-11-01' GROUP BY Outlet)
+SELECT f.* FROM feat f JOIN lastd l ON f.Outlet = l.Outlet AND f.Date = l.md""")
+sql("date_spine", forecast_sql(*_FC_USER) + """
+SELECT Outlet, unnest(generate_series(d0, TIMESTAMP '2024-02-29', INTERVAL 1 DAY)) AS Date
+FROM fc_st WHERE d0 <= TIMESTAMP '2024-02-29'""")
+sql("forecast_daily", forecast_sql(*_FC_USER) + "SELECT * FROM fc")
+sql("forecast_daily_script", forecast_sql(*_FC_SCRIPT) + "SELECT * FROM fc")
+sql("forecast_daily_retail", forecast_sql(*_FC_RETAIL) + "SELECT * FROM fc")
+sql("monthly_forecast", forecast_sql(*_FC_USER) + """
+SELECT Outlet, strftime(Date, '%Y-%m') AS Month, round(sum("Predicted Sales"), 4) AS "Predicted Monthly Sales"
+FROM fc GROUP BY ALL""")
+sql("api_monthly_summary", forecast_sql(*_FC_USER) + """
+SELECT strftime(Date, '%Y-%m') AS month, Outlet AS outlet, round(sum("Predicted Sales"), 4) AS prediction
+FROM fc GROUP BY ALL""")
+sql("horizon_total", forecast_sql(*_FC_SCRIPT) + """
+SELECT Outlet, round(sum("Predicted Sales"), 4) AS "Predicted February 2024 Sales" FROM fc GROUP BY Outlet""")
+sql("daily_total_forecast", forecast_sql(*_FC_USER) + """
+SELECT date_trunc('day', Date) AS date, round(sum("Predicted Sales"), 4) AS total_prediction FROM fc GROUP BY 1""")
+sql("outlet_month_pivot", forecast_sql(*_FC_USER, """m AS (
+  SELECT Outlet, strftime(Date, '%Y-%m') AS Month, round(sum("Predicted Sales"), 4) AS v FROM fc GROUP BY ALL)""")
+    + "SELECT * FROM (PIVOT m ON Month USING first(v) GROUP BY Outlet)")
+sql("stack_forecasts", forecast_sql(*_FC_USER, *forecast_ctes("events_user", WEEKLY_TERMS, "2024-01-31",
+                                                             "2024-02-29", name="fw", with_base=False))
+    + """SELECT *, 'blend' AS model FROM fc UNION ALL SELECT *, 'weekly' AS model FROM fw""")
