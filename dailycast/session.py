@@ -66,3 +66,31 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     A reliable checkpoint survives executor loss (unlike a local one)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``dailycast`` importable on executors (Python workers) by adding
+    a zip of the package, written to the shared folder, with ``addPyFile``.
+    Done once per application."""
+    import zipfile
+
+    import dailycast
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(dailycast.__file__))
+    target = shared_dir(spark, "pkg") + f"/dailycast-{uuid.uuid4().hex[:8]}.zip"
+    local = target.replace("file:", "", 1)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(root):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
