@@ -399,3 +399,174 @@ def q_stack(spark, sf):
 
 
 FLAGSHIP = "monthly_forecast"
+
+
+# --- step 5-7: boosted trees, tree forecasts, model store and jobs (no SQL oracle) ---
+
+# Round count for the registered training queries (M7 override of the
+# 1000-round defaults; every other profile parameter stays as in the reference).
+TRAIN_ROUNDS = {"n_estimators": 20, "iterations": 20}
+
+
+_FITTED: dict = {}
+
+
+def _train(spark, sf, model_type, **kw):
+    """Train on the per-user features; a fit with the same inputs in the same
+    application is reused (models are deterministic for a fixed seed)."""
+    from dailycast.plans import train as trn
+    hp = dict(TRAIN_ROUNDS, **kw.pop("hyperparams", {}))
+    key = (spark.sparkContext.applicationId, sf, model_type, repr(sorted(hp.items())), repr(sorted(kw.items())))
+    if key not in _FITTED:
+        _FITTED[key] = trn.train(_features_user(spark, sf), model_type, hyperparams=hp, **kw)
+    return _FITTED[key]
+
+
+@register("train_xgboost_profile")
+def q_train_xgb(spark, sf):
+    """Xgboost profile (numeric outlet code, subsampling), time split."""
+    from dailycast.plans import train as trn
+    return trn.metrics_frame(spark, _train(spark, sf, "xgboost"))
+
+
+@register("train_catboost_profile")
+def q_train_cat(spark, sf):
+    """Catboost profile (nominal outlet feature), time split."""
+    from dailycast.plans import train as trn
+    return trn.metrics_frame(spark, _train(spark, sf, "catboost"))
+
+
+@register("train_period_split")
+def q_train_period(spark, sf):
+    """M3/M9: train on the retail year 2000, test on Jan 2001."""
+    from dailycast.plans import train as trn
+    res = trn.train(_features_retail(spark, sf), "xgboost", train_period={"year": 2000},
+                    test_period={"year": 2001, "month": 1}, hyperparams=TRAIN_ROUNDS)
+    return trn.metrics_frame(spark, res)
+
+
+@register("hyperparam_override")
+def q_override(spark, sf):
+    """M7: registry-style names override the defaults (depth 4, lr 0.1)."""
+    from dailycast.plans import train as trn
+    res = _train(spark, sf, "xgboost", hyperparams={"xgboost_max_depth": 4, "xgboost_learning_rate": 0.1})
+    return spark.createDataFrame([(k, v) for k, v in sorted(res.hyperparameters.items())],
+                                 "name string, value string").withColumn("value", F.col("value"))
+
+
+@register("early_stopping")
+def q_early_stopping(spark, sf):
+    """M8: per-round test RMSE, best round under patience 5, refit."""
+    res = _train(spark, sf, "xgboost", early_stopping=5)
+    rows = [(i + 1, float(e) ** 0.5, i == res.best_iteration) for i, e in enumerate(res.iteration_errors)]
+    return spark.createDataFrame(rows, "round int, rmse double, best boolean")
+
+
+@register("feature_importance")
+def q_importance(spark, sf):
+    """Top-10 importances of the catboost profile."""
+    from dailycast.plans import train as trn
+    return trn.feature_importance(spark, _train(spark, sf, "catboost"), 10)
+
+
+@register("predict_test_rows")
+def q_predict(spark, sf):
+    """Score the time-split test rows; predictions sit next to the rows."""
+    from dailycast.plans import train as trn
+    res = _train(spark, sf, "xgboost")
+    test = sp.time_split(_features_user(spark, sf)).where("split = 'test'")
+    return trn.predict(res.model, test).select("Outlet", "Date", "Total Sales Amount", "prediction")
+
+
+@register("forecast_next_day")
+def q_next_day(spark, sf):
+    """Score each outlet's last feature row as it is (no state roll)."""
+    from dailycast.plans import train as trn
+    res = _train(spark, sf, "xgboost")
+    return trn.forecast_next_day(res.model, fc.last_row_per_outlet(_api_features_user(spark, sf)))
+
+
+@register("actual_vs_predicted_gbt")
+def q_avp_gbt(spark, sf):
+    """A9 with the xgboost profile on the test rows."""
+    from dailycast.plans import train as trn
+    res = _train(spark, sf, "xgboost")
+    test = sp.time_split(_features_user(spark, sf)).where("split = 'test'")
+    return mt.actual_vs_predicted(trn.predict(res.model, test))
+
+
+@register("compare_gbt_profiles")
+def q_compare_gbt(spark, sf):
+    """M16/M17 inputs: both profiles scored on the same test rows."""
+    from dailycast.plans import train as trn
+    cat, xgb = _train(spark, sf, "catboost"), _train(spark, sf, "xgboost")
+    test = sp.time_split(_features_user(spark, sf)).where("split = 'test'")
+    a = trn.predict(cat.model, test).withColumnRenamed("prediction", "p_catboost")
+    b = trn.predict(xgb.model, a.drop("Outlet_code", "Outlet_num")).withColumnRenamed("prediction", "p_xgboost")
+    return mt.compare_models(b, {"catboost": "p_catboost", "xgboost": "p_xgboost"})
+
+
+@register("forecast_gbt")
+def q_forecast_gbt(spark, sf):
+    """M12 scored by the trained xgboost profile (tree ensemble in mapInPandas)."""
+    from dailycast.plans import tree_forecast as tf
+    res = _train(spark, sf, "xgboost")
+    return tf.forecast_with_trees(_api_features_user(spark, sf), res.model, FORECAST_EVENTS)
+
+
+@register("forecast_gbt_script")
+def q_forecast_gbt_script(spark, sf):
+    """M13 scored by the catboost profile trained on January (legacy features)."""
+    from dailycast.plans import train as trn
+    from dailycast.plans import tree_forecast as tf
+    f = feat.legacy_features(td.events_by_user(spark, sf))
+    res = trn.train(f, "catboost", train_period={"year": 2024, "month": 1}, hyperparams=TRAIN_ROUNDS)
+    return sm.horizon_total(tf.forecast_with_trees(f, res.model, FORECAST_SCRIPT), "Predicted February 2024 Sales")
+
+
+def _store(spark, name):
+    from dailycast.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("training_job")
+def q_training_job(spark, sf):
+    """M19 + S6/S8/S9/S10: train, save, register, list models with metadata."""
+    import datetime as dt
+
+    from dailycast.plans import jobs
+    from dailycast.sources import modelstore as ms
+    root = _store(spark, "store")
+    tx = td.events_by_user(spark, sf)
+    for i, mtype in enumerate(["xgboost", "catboost"]):
+        jobs.training_job(spark, tx, root, mtype, hyperparams=TRAIN_ROUNDS,
+                          now=dt.datetime(2024, 2, 1, 12, 0, i))
+    ms.register(spark, root, [{"model_type": "xgboost", "model_name": "never_trained"}])
+    return ms.list_models_with_metadata(ms.read_registry(spark, root), ms.read_metadata(spark, root))
+
+
+@register("forecast_job")
+def q_forecast_job(spark, sf):
+    """M21 + S3/S4/S7/A7: train+save a model, load it by name, forecast,
+    write the CSV, monthly summary from the written file."""
+    import datetime as dt
+
+    from dailycast.plans import jobs
+    root = _store(spark, "store")
+    tx = td.events_by_user(spark, sf)
+    info = jobs.training_job(spark, tx, root, "xgboost", hyperparams=TRAIN_ROUNDS,
+                             now=dt.datetime(2024, 2, 1, 12, 0, 0))
+    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29")
+    return out.monthly
+
+
+@register("prediction_history")
+def q_history(spark, sf):
+    """Forecast files written under a store, newest name first."""
+    from dailycast.sources import modelstore as ms
+    root = _store(spark, "store")
+    f = _api_features_user(spark, sf)
+    for start, end in (("2024-01-31", "2024-02-15"), ("2024-01-31", "2024-02-29")):
+        daily = fc.predict_daily(f, fc.ForecastSpec(start=start, end=end), fc.BLEND)
+        ms.write_table(sel.api_predictions(daily), f"{root}/predictions/{ms.prediction_file_name('blend', start, end)}")
+    return ms.prediction_history(spark, root).select("filename", "size_kb")
