@@ -2,14 +2,14 @@
 
 Plan
 ----
-1. ``last_row_per_outlet``: one ``groupBy(Outlet)`` with ``max_by`` picks the
-   anchor row (features of the latest date, optionally inside a period).
-2. ``recent_history``: rows of the feature table inside the calendar window
-   ``[last_date - 13 days, last_date]`` (join on Outlet: both sides are
-   already hash-partitioned by Outlet, so no extra exchange).
-3. ``history_state``: per outlet, the row count of that window and its last
-   14 values in date order (bounded: a top-14 per outlet, never a full
-   collect).
+1-3. ``forecast_state``: one window ``partitionBy(Outlet).orderBy(Date desc)``
+   ranks each outlet's rows; ranks 1..14 are grouped per outlet (the window
+   and the grouping reuse the feature table's Outlet partitioning, so no
+   shuffle is added): rank 1 is the anchor row (features of the latest date,
+   optionally inside a period), and the ranks inside the calendar window
+   ``[last_date - 13 days, last_date]`` are the history, in date order.
+   ``last_row_per_outlet`` (J4), ``recent_history`` (W4) and
+   ``history_state`` expose the same steps as separate operators.
 4. Forecast per outlet, from ``pred_start`` to ``end`` day by day:
    the day's calendar features overwrite the anchor's, the predictor scores
    the row, then ``lag_14 <- lag_7 <- lag_1 <- y`` (a cascade), ``y`` is
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import add_days, calendar_struct, day_spine, last_n, mean_of
-from dailycast.operators.select import filter_by_period, filter_outlet
+from dailycast.operators.select import filter_by_period, filter_outlet, period_condition
 from dailycast.schema import (
     CALENDAR_COLUMNS,
     DATE,
@@ -114,14 +114,51 @@ class ForecastSpec:
     min_history: int = MIN_HISTORY_ROWS
 
 
-def forecast_state(features: DataFrame, spec: ForecastSpec) -> DataFrame:
+def _period_end(anchor_period: Mapping) -> Column | None:
+    y, m = anchor_period.get("year"), anchor_period.get("month")
+    if y is None:
+        return None
+    if m is None:
+        return _ts(dt.datetime(y + 1, 1, 1))
+    return _ts(dt.datetime(y + 1, 1, 1) if m == 12 else dt.datetime(y, m + 1, 1))
+
+
+def forecast_state(features: DataFrame, spec: ForecastSpec, keep: int = HISTORY_KEEP,
+                   lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """One row per outlet that will be forecast: anchor features, ``n_hist``,
     ``hist``, ``pred_start``, ``pred_end``.  Outlets with too little history
-    or an empty horizon are left out (see :func:`skipped_outlets`)."""
-    features = filter_outlet(features, spec.outlet)
-    last = last_row_per_outlet(features, spec.anchor_period)
-    hist = history_state(recent_history(features, last))
-    state = last.join(hist, OUTLET).where(F.col("n_hist") >= spec.min_history)
+    or an empty horizon are left out (see :func:`skipped_outlets`).
+
+    Built from one window over ``partitionBy(Outlet).orderBy(Date desc)``:
+    the anchor is rank 1, the history is ranks 1..14 inside the calendar
+    window.  The window reuses the feature table's Outlet partitioning and
+    the rank filter becomes a per-group limit, so no extra shuffle and no
+    group larger than 14 rows is ever collected.  ``n_hist`` counts the
+    window's rows up to ``keep`` (enough for the ``< min_history`` rule,
+    since ``min_history <= keep``)."""
+    if spec.min_history > keep:
+        raise ValueError("min_history must not exceed the kept history")
+    df = filter_outlet(features, spec.outlet)
+    if spec.anchor_period:
+        end = _period_end(spec.anchor_period)
+        if end is not None:
+            df = df.where(F.col(DATE) < end)             # rows after the period never matter
+    w = Window.partitionBy(OUTLET).orderBy(F.col(DATE).desc())
+    ranked = df.withColumn("_rn", F.row_number().over(w))
+    top = ranked.where(F.col("_rn") <= keep)
+    cols = [c for c in features.columns if c != OUTLET]
+    state = top.groupBy(OUTLET).agg(
+        F.max_by(F.struct(*cols), F.col(DATE)).alias("_r"),
+        F.sort_array(F.collect_list(F.struct(DATE, TARGET))).alias("_h"),
+    )
+    state = state.select(OUTLET, "_r.*", "_h")
+    in_window = F.filter("_h", lambda s: s[DATE] >= add_days(F.col(DATE), -(lookback_days - 1)))
+    state = (state.withColumn("_h", in_window)
+             .withColumn("n_hist", F.size("_h"))
+             .withColumn("hist", F.transform("_h", lambda s: s[TARGET])).drop("_h"))
+    if spec.anchor_period:
+        state = state.where(period_condition(**spec.anchor_period))
+    state = state.where(F.col("n_hist") >= spec.min_history)
     nxt = add_days(F.col(DATE), 1)
     start = F.greatest(nxt, _ts(spec.start)) if spec.clamp_start else nxt
     return (state.withColumn("pred_start", start)
@@ -129,6 +166,14 @@ def forecast_state(features: DataFrame, spec: ForecastSpec) -> DataFrame:
             .where(F.col("pred_start") <= F.col("pred_end")))
 
 
+def spread(state: DataFrame) -> DataFrame:
+    """Hash-distribute the per-outlet state over ``spark.sql.shuffle.partitions``
+    tasks before CPU-heavy per-outlet work (the state is one small row per
+    outlet; without this, adaptive coalescing would pack it into one task)."""
+    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return state.repartition(n, OUTLET)
+
+
 def history_report(features: DataFrame, spec: ForecastSpec) -> DataFrame:
     """Per outlet: anchor date and rows in its lookback window (J6 input)."""
     features = filter_outlet(features, spec.outlet)
@@ -210,7 +255,7 @@ def forecast_with_expression(state: DataFrame, predictor: Predictor,
 
 def predict_daily(features: DataFrame, spec: ForecastSpec, predictor: Predictor) -> DataFrame:
     """M12 (library dialect by default; M13 via ``spec``) with a Column predictor."""
-    return forecast_with_expression(forecast_state(features, spec), predictor, spec.weekend_days)
+    return forecast_with_expression(spread(forecast_state(features, spec)), predictor, spec.weekend_days)
 
 
 def empty_forecast(spark) -> DataFrame:

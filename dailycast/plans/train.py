@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.operators.metrics import evaluate
-from dailycast.operators.select import filter_by_period
+from dailycast.operators.select import period_condition
 from dailycast.operators.split import (
     OUTLET_CODE,
     SPLIT,
-    cutoff_value,
     fit_outlet_encoder,
     outlet_union,
     period_split,
@@ -153,18 +152,41 @@ class TrainResult:
         return self.model.stages[0]
 
 
+def _kept(nulls: str):
+    cols = [F.col(c) for c in NUMERIC_FEATURES] + [F.col(TARGET)]
+    if nulls == "sentinel":
+        cols = [F.col(TARGET)]
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & c.isNotNull() & ~F.isnan(c)
+    return cond
+
+
 def _prepare(features: DataFrame, train_period, test_period, test_size, nulls):
-    """M9 data preparation: [period filter] -> split -> NULL policy."""
-    df = handle_nulls(features, nulls)
+    """M9 data preparation: NULL policy -> [period filter] -> split.
+
+    The input is persisted once.  One aggregate over it (the action that
+    fills the cache) yields the cutoff quantile over the rows that are kept
+    and the Date bounds of the whole input (as the run metadata reports
+    them), so the feature pipeline runs a single time."""
+    base = features.persist(StorageLevel.MEMORY_AND_DISK)
+    period = period_condition(**train_period) if (train_period and not test_period) else F.lit(True)
+    per_date = base.groupBy(DATE).agg(
+        F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"))
+    micros = F.unix_micros(F.col(DATE).cast("timestamp"))
+    stats = per_date.agg(
+        F.percentile(F.when(F.col("n") > 0, micros), F.lit(1.0 - test_size), F.col("n")).alias("cut"),
+        F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
+    df = handle_nulls(base, nulls)
     if test_period:
         split = period_split(df, train_period, test_period)
     else:
-        if train_period:
-            df = filter_by_period(df, **train_period)
-        cut = cutoff_value(df, test_size)
-        split = df.withColumn(SPLIT, F.when(F.unix_micros(F.col(DATE).cast("timestamp")) < F.lit(cut), "train")
-                              .otherwise("test")) if cut is not None else df.withColumn(SPLIT, F.lit("train"))
-    return split
+        df = df.where(period)
+        if stats["cut"] is None:
+            split = df.withColumn(SPLIT, F.lit("train"))
+        else:
+            split = df.withColumn(SPLIT, F.when(micros < F.lit(stats["cut"]), "train").otherwise("test"))
+    return base, split, (stats["a"], stats["b"])
 
 
 def best_iteration(errors: list[float], patience: int = EARLY_STOPPING_PATIENCE) -> int:
@@ -188,8 +210,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     -> metadata.  ``early_stopping=k`` applies M8 with patience ``k`` on the
     test rows and refits with the best number of rounds."""
     params, spark_params = gbt_params(model_type, hyperparams)
-    split = _prepare(features, train_period, test_period, test_size, nulls)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    cached, split, bounds = _prepare(features, train_period, test_period, test_size, nulls)
     try:
         train_df = split.where(F.col(SPLIT) == "train")
         test_df = split.where(F.col(SPLIT) == "test")
@@ -206,9 +227,8 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
                     model = build_pipeline(model_type, encoder, spark_params).fit(train_df)
         scored = model.transform(test_df)
         m = evaluate(scored).first().asDict()
-        bounds = features.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
     finally:
-        split.unpersist()
+        cached.unpersist()
     metrics = {"mae": m["mae"], "rmse": m["rmse"], "r2": m["r2"], "test_size": int(m["test_size"])}
     created = now or dt.datetime.now()
     metadata = {
@@ -216,7 +236,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
         "model_type": model_type,
         "training_period": dict(train_period) if train_period else None,
         "created_at": created,
-        "data_range": {"train_start": bounds["a"], "train_end": bounds["b"]},
+        "data_range": {"train_start": bounds[0], "train_end": bounds[1]},
         "metrics": metrics,
         "features": list(FEATURES),
         "hyperparameters": {k: str(v) for k, v in params.items()},

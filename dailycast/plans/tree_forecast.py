@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import calendar_struct, day_spine
-from dailycast.operators.forecast import PREDICTED, ForecastSpec, forecast_state
+from dailycast.operators.forecast import PREDICTED, ForecastSpec, forecast_state, spread
 from dailycast.operators.split import OUTLET_CODE
 from dailycast.plans.train import NULL_SENTINEL
 from dailycast.schema import CALENDAR_COLUMNS, DATE, HISTORY_KEEP, OUTLET
@@ -146,7 +146,7 @@ class TreeEnsemble:
 def forecast_state_for_model(features: DataFrame, model: PipelineModel, spec: ForecastSpec) -> DataFrame:
     """State rows encoded by the model's own indexer, NULL features filled
     with the training sentinel, plus the day spine and calendar arrays."""
-    state = forecast_state(features, spec)
+    state = spread(forecast_state(features, spec))
     encoder = model.stages[0]
     state = encoder.transform(state)
     days = day_spine(F.col("pred_start"), F.col("pred_end"))
