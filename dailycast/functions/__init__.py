@@ -2,6 +2,9 @@
 
 from dailycast.functions.columns import (  # noqa: F401
     add_days,
+    epoch_micros,
+    from_epoch_micros,
+    ntz_literal,
     calendar_struct,
     day_of_week,
     day_spine,

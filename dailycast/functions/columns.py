@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from dailycast.schema import MONEY, WEEKEND_DAYS
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_literal(value) -> Column:
+    """A ``timestamp_ntz`` literal from a date/datetime/ISO string, built from
+    text so that no time zone (session or Python process) is involved."""
+    import datetime as dt
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ")
+    elif isinstance(value, dt.date):
+        text = f"{value.isoformat()} 00:00:00"
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def epoch_micros(c: str | Column) -> Column:
+    """Micro-seconds since 1970-01-01 of a ``timestamp_ntz`` wall-clock value,
+    independent of the session time zone."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
+def from_epoch_micros(c: Column) -> Column:
+    """Inverse of :func:`epoch_micros` (``timestamp_ntz``)."""
+    return F.timestamp_add("MICROSECOND", c, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
 def money(c: str | Column) -> Column:
     """Amount as exact DECIMAL; NaN counts as missing (pandas skips it in sums)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.columns import add_days, calendar_struct, day_spine, last_n, mean_of
+from dailycast.functions.columns import add_days, calendar_struct, day_spine, last_n, mean_of, ntz_literal
 from dailycast.operators.select import filter_by_period, filter_outlet, period_condition
 from dailycast.schema import (
     CALENDAR_COLUMNS,
@@ -55,9 +55,7 @@ def _ts(value) -> Column:
         return value.cast("timestamp_ntz")
     if isinstance(value, str):
         value = dt.datetime.fromisoformat(value)
-    elif isinstance(value, dt.date) and not isinstance(value, dt.datetime):
-        value = dt.datetime(value.year, value.month, value.day)
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_literal(value)
 
 
 # --- steps 1-3: state ----------------------------------------------------------

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dailycast.functions.columns import ntz_literal
 from dailycast.schema import DATE, FEATURES, OUTLET, PREVIEW_ROWS, TARGET
 
 
@@ -22,7 +23,7 @@ def select_features(df: DataFrame, with_target: bool = True, with_keys: bool = F
 
 
 def _ts(y: int, m: int, d: int = 1) -> F.Column:
-    return F.lit(dt.datetime(y, m, d)).cast("timestamp_ntz")
+    return ntz_literal(dt.datetime(y, m, d))
 
 
 def period_condition(year: int | None = None, month: int | None = None, date_col: str = DATE) -> F.Column:

@@ -11,6 +11,7 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dailycast.functions.columns import epoch_micros, from_epoch_micros, ntz_literal
 from dailycast.operators.select import filter_by_period
 from dailycast.schema import DATE, DEFAULT_SEED, DEFAULT_TEST_SIZE, OUTLET
 
@@ -19,7 +20,7 @@ OUTLET_CODE = "Outlet_code"
 
 
 def _micros(c: str = DATE) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    return epoch_micros(c)
 
 
 def split_cutoff(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
@@ -32,7 +33,7 @@ def split_cutoff(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> DataFra
     ``cutoff_micros`` (double) and ``cutoff`` (timestamp, micro-second)."""
     per_date = df.groupBy(DATE).agg(F.count(F.lit(1)).alias("n"))
     q = per_date.agg(F.percentile(_micros(), F.lit(1.0 - test_size), F.col("n")).alias("cutoff_micros"))
-    return q.withColumn("cutoff", F.timestamp_micros(F.round("cutoff_micros").cast("long")).cast("timestamp_ntz"))
+    return q.withColumn("cutoff", from_epoch_micros(F.round("cutoff_micros").cast("long")))
 
 
 def cutoff_value(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> float | None:
@@ -94,7 +95,7 @@ def resolve_named_period(df: DataFrame, name: str | None) -> DataFrame:
         latest = df.agg(F.max(DATE)).first()[0]          # one scalar
         if latest is None:
             return df
-        bound = F.add_months(F.lit(latest).cast("timestamp_ntz"), -int(m.group(1))).cast("timestamp_ntz")
+        bound = F.add_months(ntz_literal(latest), -int(m.group(1))).cast("timestamp_ntz")
         return df.where(F.col(DATE) >= bound)
     m = re.fullmatch(r"([a-z]{3})_(\d{4})", name.lower())
     if m and m.group(1) in _MONTHS:

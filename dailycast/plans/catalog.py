@@ -570,3 +570,49 @@ def q_history(spark, sf):
         daily = fc.predict_daily(f, fc.ForecastSpec(start=start, end=end), fc.BLEND)
         ms.write_table(sel.api_predictions(daily), f"{root}/predictions/{ms.prediction_file_name('blend', start, end)}")
     return ms.prediction_history(spark, root).select("filename", "size_kb")
+
+
+# --- streaming -----------------------------------------------------------------------
+
+@register("daily_sales_streaming")
+def q_daily_streaming(spark, sf):
+    """A1 maintained incrementally: events read as a file stream, partial sums
+    per micro-batch written to the shared folder, folded on read."""
+    from dailycast.streaming import daily as sd
+    root = _store(spark, "stream")
+    schema = td.table(spark, sf, "events").schema
+    stream = sd.stream_table_files(spark, sf, "events.parquet", schema)
+    q = sd.write_increments(stream, f"{root}/daily", f"{root}/checkpoint", prepare=td.event_rows)
+    q.awaitTermination()
+    return sd.read_daily(spark, f"{root}/daily")
+
+
+@register("write_outputs")
+def q_write_outputs(spark, sf):
+    """Daily forecast, monthly totals and a model comparison written
+    as CSV to the shared folder; returns the rows read back per output."""
+    from dailycast.sources import modelstore as ms
+    root = _store(spark, "outputs")
+    daily = _forecast_user(spark, sf)
+    outputs = {
+        "daily": sel.api_predictions(daily),
+        "monthly": sm.monthly_forecast(daily),
+        "comparison": mt.compare_models(_baseline_predictions(spark, sf),
+                                        {"naive": "naive", "blend": "blend"}),
+    }
+    counts = None
+    for name, df in outputs.items():
+        path = ms.write_table(df, f"{root}/{name}.csv")
+        n = spark.read.option("header", True).csv(path).groupBy().count().select(
+            F.lit(name).alias("output"), F.col("count").alias("n_rows"))
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
+@register("data_range_iso")
+def q_data_range_iso(spark, sf):
+    """Transaction date range as ISO-8601 text (API format)."""
+    from dailycast.functions.columns import iso_string
+    st = sm.data_status(td.retail_transactions(spark, sf))
+    return st.select(iso_string(F.col("start")).alias("start"), iso_string(F.col("end")).alias("end"),
+                     "total_records")

@@ -344,3 +344,13 @@ sql("outlet_month_pivot", forecast_sql(*_FC_USER, """m AS (
 sql("stack_forecasts", forecast_sql(*_FC_USER, *forecast_ctes("events_user", WEEKLY_TERMS, "2024-01-31",
                                                              "2024-02-29", name="fw", with_base=False))
     + """SELECT *, 'blend' AS model FROM fc UNION ALL SELECT *, 'weekly' AS model FROM fw""")
+
+sql("daily_sales_streaming", with_ctes(TX["events_user"], DAILY) + "SELECT * FROM daily")
+
+sql("write_outputs", forecast_sql(*_FC_USER) + f"""
+SELECT 'daily' AS output, count(*) AS n_rows FROM fc
+UNION ALL SELECT 'monthly', count(*) FROM (SELECT DISTINCT Outlet, strftime(Date, '%Y-%m') FROM fc)
+UNION ALL SELECT 'comparison', 2""")
+sql("data_range_iso", with_ctes(TX["retail"]) + """
+SELECT strftime(min(Date), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max(Date), '%Y-%m-%dT%H:%M:%S') AS "end",
+       count(*) AS total_records FROM tx""")

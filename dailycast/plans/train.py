@@ -26,6 +26,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dailycast.functions.columns import epoch_micros
 from dailycast.operators.metrics import evaluate
 from dailycast.operators.select import period_condition
 from dailycast.operators.split import (
@@ -173,7 +174,7 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls):
     period = period_condition(**train_period) if (train_period and not test_period) else F.lit(True)
     per_date = base.groupBy(DATE).agg(
         F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"))
-    micros = F.unix_micros(F.col(DATE).cast("timestamp"))
+    micros = epoch_micros(DATE)
     stats = per_date.agg(
         F.percentile(F.when(F.col("n") > 0, micros), F.lit(1.0 - test_size), F.col("n")).alias("cut"),
         F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()

@@ -89,8 +89,10 @@ def retail_raw_csv_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str, outlet) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def event_rows(ev: DataFrame, by: str = "user") -> DataFrame:
+    """Events (batch or streaming) as transactions: Outlet = user id text
+    (``by='user'``) or event type (``by='type'``), Date = event day."""
+    outlet = F.col("user_id").cast("string") if by == "user" else F.col("event_type")
     return ev.select(
         outlet.alias(OUTLET),
         F.date_trunc("DAY", F.col("ts")).cast("timestamp_ntz").alias(DATE),
@@ -99,11 +101,11 @@ def _events(spark: SparkSession, sf_dir: str, outlet) -> DataFrame:
 
 
 def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, F.col("event_type"))
+    return event_rows(table(spark, sf_dir, "events"), "type")
 
 
 def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, F.col("user_id").cast("string"))
+    return event_rows(table(spark, sf_dir, "events"), "user")
 
 
 def events_raw_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
