@@ -4,7 +4,8 @@ All windows share ``partitionBy(Outlet).orderBy(Date)``, so the lags and the
 moving averages are computed by one window operator after one shuffle.  A
 series has at most one row per (Outlet, Date), so a window partition is
 bounded by the number of distinct timestamps of one outlet, never by the
-number of raw transactions.
+number of raw transactions.  For series with very many timestamps per
+outlet, ``layout="blocks"`` bounds every task by a fixed number of rows.
 """
 
 from __future__ import annotations
@@ -74,8 +75,7 @@ def date_features(df: DataFrame, weekend_days: Sequence[int] = WEEKEND_DAYS,
     return df.withColumns({c: cal[c] for c in ("day", "weekday", "week", "month", "year", "is_weekend")})
 
 
-def _moving_average(y: Column, n: int, full_window: bool, exclude_current: bool) -> Column:
-    w = series_window()
+def _moving_average(y: Column, n: int, full_window: bool, exclude_current: bool, w) -> Column:
     frame = w.rowsBetween(-n, -1) if exclude_current else w.rowsBetween(-(n - 1), 0)
     s = F.sum(money(y)).over(frame).cast("double")
     c = F.count(y).over(frame)
@@ -83,20 +83,68 @@ def _moving_average(y: Column, n: int, full_window: bool, exclude_current: bool)
     return F.when(c == n, avg) if full_window else avg
 
 
+def _lag_columns(y: Column, w, full_window: bool, exclude_current: bool) -> dict:
+    cols = {f"lag_{n}": F.lag(y, n).over(w) for n in LAGS}
+    cols.update({f"ma_{n}": _moving_average(y, n, full_window, exclude_current, w)
+                 for n in MOVING_AVERAGES})
+    return cols
+
+
+def series_rank(df: DataFrame, chunk_unit: str = "DAY") -> DataFrame:
+    """Add ``_r``: the 1-based position of each row in its outlet's series,
+    without a window over a whole outlet.
+
+    Rows are counted per (Outlet, time chunk); a running sum over the small
+    chunk table gives each chunk's offset; the rank is offset + row number
+    inside the chunk.  The largest task holds one chunk of one outlet."""
+    d = df.withColumn("_chunk", F.date_trunc(chunk_unit, F.col(DATE)))
+    counts = d.groupBy(OUTLET, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(OUTLET).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = d.join(offsets, [OUTLET, "_chunk"])
+    inner = Window.partitionBy(OUTLET, "_chunk").orderBy(DATE)
+    return ranked.withColumn("_r", F.col("_off") + F.row_number().over(inner)).drop("_off", "_chunk")
+
+
+def _lag_features_blocks(df: DataFrame, full_window: bool, exclude_current: bool, target: str,
+                         block_rows: int, chunk_unit: str) -> DataFrame:
+    halo = max(max(LAGS), max(MOVING_AVERAGES))
+    if block_rows < halo:
+        raise ValueError(f"block_rows must be at least {halo}")
+    ranked = series_rank(df, chunk_unit)
+    blk = F.floor((F.col("_r") - 1) / F.lit(block_rows))
+    pos = (F.col("_r") - 1) % F.lit(block_rows)
+    own = ranked.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
+    copies = (ranked.where(pos >= block_rows - halo)
+              .withColumn("_blk", blk + 1).withColumn("_halo", F.lit(True)))
+    w = Window.partitionBy(OUTLET, "_blk").orderBy("_r")
+    out = own.unionByName(copies).withColumns(_lag_columns(F.col(target), w, full_window, exclude_current))
+    return out.where(~F.col("_halo")).drop("_r", "_blk", "_halo")
+
+
 def lag_features(df: DataFrame, full_window: bool = False, exclude_current: bool = False,
-                 target: str = TARGET) -> DataFrame:
+                 target: str = TARGET, layout: str = "window", block_rows: int = 4096,
+                 chunk_unit: str = "DAY") -> DataFrame:
     """``lag_1/7/14`` (row shifts, calendar gaps ignored) and
     ``ma_7/14`` (mean over the last n rows including the current one).
 
     ``full_window=False``: at least one value (library dialect, W2);
     ``full_window=True``: NULL until n values exist (legacy scripts, W3);
-    ``exclude_current=True``: the average ends one row earlier (no leak)."""
-    y = F.col(target)
-    w = series_window()
-    cols = {f"lag_{n}": F.lag(y, n).over(w) for n in LAGS}
-    cols.update({f"ma_{n}": _moving_average(y, n, full_window, exclude_current)
-                 for n in MOVING_AVERAGES})
-    return df.withColumns(cols)
+    ``exclude_current=True``: the average ends one row earlier (no leak).
+
+    ``layout="window"`` (default): one window per outlet -- right when a
+    series has one row per day, so a window partition is bounded by the
+    number of days even for the hottest outlet.  ``layout="blocks"``: for
+    series with many timestamps per outlet (exact grain, a hot outlet may
+    hold a third of all rows): rows get their series rank (per-chunk counts
+    + offsets), are cut into blocks of ``block_rows`` ranks, and each block
+    also receives the previous block's last 14 rows; the same windows then
+    run per (Outlet, block).  Results are identical."""
+    if layout == "blocks":
+        return _lag_features_blocks(df, full_window, exclude_current, target, block_rows, chunk_unit)
+    if layout != "window":
+        raise ValueError("layout must be 'window' or 'blocks'")
+    return df.withColumns(_lag_columns(F.col(target), series_window(), full_window, exclude_current))
 
 
 def drop_nulls(df: DataFrame) -> DataFrame:
@@ -106,10 +154,10 @@ def drop_nulls(df: DataFrame) -> DataFrame:
 
 def prepare_features(tx: DataFrame, drop_nans: bool = True, grain: str = "exact",
                      full_window: bool = False, exclude_current: bool = False,
-                     weekend_days: Sequence[int] = WEEKEND_DAYS) -> DataFrame:
+                     weekend_days: Sequence[int] = WEEKEND_DAYS, layout: str = "window") -> DataFrame:
     """Daily sums -> calendar features -> lags and averages -> [drop NULL rows]."""
     daily = daily_sales(tx, grain)
-    feats = lag_features(date_features(daily, weekend_days), full_window, exclude_current)
+    feats = lag_features(date_features(daily, weekend_days), full_window, exclude_current, layout=layout)
     return drop_nulls(feats) if drop_nans else feats
 
 

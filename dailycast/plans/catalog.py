@@ -616,3 +616,10 @@ def q_data_range_iso(spark, sf):
     st = sm.data_status(td.retail_transactions(spark, sf))
     return st.select(iso_string(F.col("start")).alias("start"), iso_string(F.col("end")).alias("end"),
                      "total_records")
+
+
+@register("prepare_features_exact_blocks")
+def q_features_blocks(spark, sf):
+    """W5 at exact-timestamp grain with the skew-safe block layout (series
+    rank from per-(Outlet, day) counts, windows per rank block with a halo)."""
+    return feat.prepare_features(td.events_raw_timestamps(spark, sf), layout="blocks")

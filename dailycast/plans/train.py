@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import epoch_micros
+from dailycast.session import materialize
 from dailycast.operators.metrics import evaluate
 from dailycast.operators.select import period_condition
 from dailycast.operators.split import (
@@ -166,11 +167,13 @@ def _kept(nulls: str):
 def _prepare(features: DataFrame, train_period, test_period, test_size, nulls):
     """M9 data preparation: NULL policy -> [period filter] -> split.
 
-    The input is persisted once.  One aggregate over it (the action that
-    fills the cache) yields the cutoff quantile over the rows that are kept
-    and the Date bounds of the whole input (as the run metadata reports
-    them), so the feature pipeline runs a single time."""
-    base = features.persist(StorageLevel.MEMORY_AND_DISK)
+    The input is written once as a reliable checkpoint in the shared
+    checkpoint folder: the many passes of boosting read it, and a lost
+    executor re-reads files instead of recomputing the feature pipeline from
+    the raw transactions.  One aggregate over it yields the cutoff quantile
+    over the rows that are kept and the Date bounds of the whole input (as
+    the run metadata reports them)."""
+    base = materialize(features)
     period = period_condition(**train_period) if (train_period and not test_period) else F.lit(True)
     per_date = base.groupBy(DATE).agg(
         F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"))
@@ -211,7 +214,8 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     -> metadata.  ``early_stopping=k`` applies M8 with patience ``k`` on the
     test rows and refits with the best number of rounds."""
     params, spark_params = gbt_params(model_type, hyperparams)
-    cached, split, bounds = _prepare(features, train_period, test_period, test_size, nulls)
+    _, split, bounds = _prepare(features, train_period, test_period, test_size, nulls)
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train_df = split.where(F.col(SPLIT) == "train")
         test_df = split.where(F.col(SPLIT) == "test")
@@ -229,7 +233,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
         scored = model.transform(test_df)
         m = evaluate(scored).first().asDict()
     finally:
-        cached.unpersist()
+        split.unpersist()
     metrics = {"mae": m["mae"], "rmse": m["rmse"], "r2": m["r2"], "test_size": int(m["test_size"])}
     created = now or dt.datetime.now()
     metadata = {

@@ -79,3 +79,20 @@ def test_nan_amount_counts_as_missing(tx, spark):
     df = tx([("A", "2024-01-01", float("nan"), 0.0), ("A", "2024-01-01", 2.0, 0.0)])
     assert feat.daily_sales(df).first()["Total Sales Amount"] == 2.0
     assert not math.isnan(feat.daily_sales(df).agg(F.sum("Total Sales Amount")).first()[0])
+
+
+def test_block_layout_equals_window_layout(spark):
+    import datetime as dt
+    rng = __import__("random").Random(5)
+    rows = []
+    for o, n in (("hot", 300), ("b", 40), ("c", 9)):
+        t = dt.datetime(2024, 1, 1)
+        for _ in range(n):
+            t += dt.timedelta(minutes=rng.randint(1, 600))
+            rows.append((o, t, float(rng.randint(1, 500)) / 4))
+    df = spark.createDataFrame(rows, "Outlet string, Date timestamp_ntz, `Total Sales Amount` double")
+    d = feat.daily_sales(df)
+    for kw in ({}, {"full_window": True}, {"exclude_current": True}):
+        a = feat.lag_features(d, **kw)
+        b = feat.lag_features(d, layout="blocks", block_rows=16, chunk_unit="HOUR", **kw)
+        assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
