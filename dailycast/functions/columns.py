@@ -38,6 +38,12 @@ def from_epoch_micros(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", c, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
+def day_start(c: str | Column) -> Column:
+    """Midnight of the same day as ``timestamp_ntz`` (no time zone involved)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.to_date(c).cast("timestamp_ntz")
+
+
 def money(c: str | Column) -> Column:
     """Amount as exact DECIMAL; NaN counts as missing (pandas skips it in sums)."""
     c = F.col(c) if isinstance(c, str) else c

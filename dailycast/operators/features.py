@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.columns import calendar_struct, money
+from dailycast.functions.columns import calendar_struct, day_start, epoch_micros, money
 from dailycast.schema import (
     DATE,
     DISCOUNT,
@@ -55,7 +55,7 @@ def daily_sales(tx: DataFrame, grain: str = "exact") -> DataFrame:
         raise ValueError("grain must be 'exact' or 'day'")
     df = with_discount(tx)
     if grain == "day":
-        df = df.withColumn(DATE, F.date_trunc("DAY", F.col(DATE)).cast("timestamp_ntz"))
+        df = df.withColumn(DATE, day_start(DATE))
     df = drop_null_keys(df)
     return df.groupBy(OUTLET, DATE).agg(
         F.coalesce(F.sum(money(TARGET)).cast("double"), F.lit(0.0)).alias(TARGET),
@@ -90,6 +90,9 @@ def _lag_columns(y: Column, w, full_window: bool, exclude_current: bool) -> dict
     return cols
 
 
+_CHUNK_MICROS = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000}
+
+
 def series_rank(df: DataFrame, chunk_unit: str = "DAY") -> DataFrame:
     """Add ``_r``: the 1-based position of each row in its outlet's series,
     without a window over a whole outlet.
@@ -97,7 +100,7 @@ def series_rank(df: DataFrame, chunk_unit: str = "DAY") -> DataFrame:
     Rows are counted per (Outlet, time chunk); a running sum over the small
     chunk table gives each chunk's offset; the rank is offset + row number
     inside the chunk.  The largest task holds one chunk of one outlet."""
-    d = df.withColumn("_chunk", F.date_trunc(chunk_unit, F.col(DATE)))
+    d = df.withColumn("_chunk", F.floor(epoch_micros(DATE) / F.lit(_CHUNK_MICROS[chunk_unit])))
     counts = d.groupBy(OUTLET, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(OUTLET).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

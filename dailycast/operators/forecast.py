@@ -166,10 +166,13 @@ def forecast_state(features: DataFrame, spec: ForecastSpec, keep: int = HISTORY_
 
 def spread(state: DataFrame) -> DataFrame:
     """Hash-distribute the per-outlet state over ``spark.sql.shuffle.partitions``
-    tasks before CPU-heavy per-outlet work (the state is one small row per
-    outlet; without this, adaptive coalescing would pack it into one task)."""
+    tasks before CPU-heavy per-outlet work.  The state is one small row per
+    outlet, so adaptive execution would otherwise coalesce it by bytes into
+    very few tasks; a fixed-count repartition is kept as is.  (A key other
+    than the bare Outlet column, so the planner does not drop it as already
+    satisfied by the upstream Outlet partitioning.)"""
     n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return state.repartition(n, OUTLET)
+    return state.repartition(n, F.xxhash64(OUTLET))
 
 
 def history_report(features: DataFrame, spec: ForecastSpec) -> DataFrame:

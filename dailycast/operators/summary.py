@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.functions.columns import money, month_string
+from dailycast.functions.columns import day_start, money, month_string
 from dailycast.schema import DATE, OUTLET, TARGET
 
 PREDICTED = "Predicted Sales"
@@ -102,7 +102,7 @@ def horizon_total(daily_pred: DataFrame, name: str = "Predicted Total Sales",
 
 def daily_total_forecast(daily_pred: DataFrame, digits: int | None = None) -> DataFrame:
     """Total prediction per day over all outlets (all rows, not a preview)."""
-    return (daily_pred.groupBy(F.date_trunc("DAY", F.col(DATE)).cast("timestamp_ntz").alias("date"))
+    return (daily_pred.groupBy(day_start(DATE).alias("date"))
             .agg(_total(PREDICTED, digits).alias("total_prediction")))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dailycast.functions.columns import day_start
 from dailycast.operators.joins import checked_broadcast
 from dailycast.schema import DATE, DISCOUNT, OUTLET, TARGET
 
@@ -95,7 +96,7 @@ def event_rows(ev: DataFrame, by: str = "user") -> DataFrame:
     outlet = F.col("user_id").cast("string") if by == "user" else F.col("event_type")
     return ev.select(
         outlet.alias(OUTLET),
-        F.date_trunc("DAY", F.col("ts")).cast("timestamp_ntz").alias(DATE),
+        day_start("ts").alias(DATE),
         F.col("value").alias(TARGET),
     )
 

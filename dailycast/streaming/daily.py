@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dailycast.functions.columns import money
+from dailycast.functions.columns import day_start, money
 from dailycast.operators.features import drop_null_keys, with_discount
 from dailycast.schema import DATE, DISCOUNT, OUTLET, TARGET
 
@@ -26,7 +26,7 @@ def partial_daily_sums(tx: DataFrame, grain: str = "exact") -> DataFrame:
     """Exact partial sums of one batch of transactions (DECIMAL, not rounded)."""
     df = with_discount(tx)
     if grain == "day":
-        df = df.withColumn(DATE, F.date_trunc("DAY", F.col(DATE)).cast("timestamp_ntz"))
+        df = df.withColumn(DATE, day_start(DATE))
     return drop_null_keys(df).groupBy(OUTLET, DATE).agg(
         F.sum(money(TARGET)).alias("s_sales"), F.sum(money(DISCOUNT)).alias("s_disc"))
 
