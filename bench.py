@@ -31,6 +31,7 @@ from dailycast.session import build_session  # noqa: E402
 from dailycast.sources import testdata as td  # noqa: E402
 
 TRAIN_ROUNDS = 20
+HEADLINE = ("prepare_features", "forecast_trees_1500x30", "train_xgboost_20")
 # Forecast horizon: the day after the events end, through the end of February (30 days).
 HORIZON = fc.ForecastSpec(start="2024-01-31", end="2024-02-29")
 
@@ -82,9 +83,11 @@ def main() -> None:
     for d, record in ((warm_dir, False), (sf_dir, True)):
         run_all(spark, d, timed if record else (lambda name, fn: fn()))
 
-    total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "pipeline_wall_time", "value": total, "unit": "sec",
-                      "queries": times, "sf": sf}))
+    # Headline = the three measurements the baseline comparison names:
+    # feature preparation, the forecast of 1,500 series, training at 20 rounds.
+    headline = round(sum(times[k] for k in HEADLINE), 3)
+    print(json.dumps({"metric": "headline_sec(" + "+".join(HEADLINE) + ")", "value": headline, "unit": "sec",
+                      "queries": times, "all_queries_sec": round(sum(times.values()), 3), "sf": sf}))
     spark.stop()
 
 
