@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import calendar_struct, day_start, epoch_micros, money
+from dailycast.operators.ranking import rank_in_group
 from dailycast.schema import (
     DATE,
     DISCOUNT,
@@ -95,18 +96,9 @@ _CHUNK_MICROS = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_
 
 def series_rank(df: DataFrame, chunk_unit: str = "DAY") -> DataFrame:
     """Add ``_r``: the 1-based position of each row in its outlet's series,
-    without a window over a whole outlet.
-
-    Rows are counted per (Outlet, time chunk); a running sum over the small
-    chunk table gives each chunk's offset; the rank is offset + row number
-    inside the chunk.  The largest task holds one chunk of one outlet."""
-    d = df.withColumn("_chunk", F.floor(epoch_micros(DATE) / F.lit(_CHUNK_MICROS[chunk_unit])))
-    counts = d.groupBy(OUTLET, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(OUTLET).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = d.join(offsets, [OUTLET, "_chunk"])
-    inner = Window.partitionBy(OUTLET, "_chunk").orderBy(DATE)
-    return ranked.withColumn("_r", F.col("_off") + F.row_number().over(inner)).drop("_off", "_chunk")
+    without a window over a whole outlet (chunks = time buckets of Date)."""
+    chunk = F.floor(epoch_micros(DATE) / F.lit(_CHUNK_MICROS[chunk_unit]))
+    return rank_in_group(df, OUTLET, [DATE], chunk)
 
 
 def _lag_features_blocks(df: DataFrame, full_window: bool, exclude_current: bool, target: str,

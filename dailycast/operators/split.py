@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import epoch_micros, from_epoch_micros, ntz_literal
+from dailycast.operators.ranking import rank_in_group
 from dailycast.operators.select import filter_by_period
 from dailycast.schema import DATE, DEFAULT_SEED, DEFAULT_TEST_SIZE, OUTLET
 
@@ -59,19 +60,30 @@ def period_split(df: DataFrame, train_period: dict | None, test_period: dict) ->
     return train.unionByName(test)
 
 
-def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
+def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
+                     layout: str = "window") -> DataFrame:
     """M4: per outlet, exactly ``ceil(n * test_size)`` rows (exact decimal
-    arithmetic) go to test, chosen
-    by a seeded hash of (Outlet, Date) -- repeatable and exact per stratum.
+    arithmetic) go to test, chosen by a seeded hash of (Outlet, Date):
+    repeatable and exact per stratum.
 
-    The window is partitioned by Outlet; a series holds one row per date."""
+    ``layout="window"``: one window per outlet (a stratum of a daily table
+    holds one row per date).  ``layout="buckets"``: ranks come from
+    per-(Outlet, hash prefix) counts (:func:`rank_in_group`), so even a
+    stratum with a third of all rows is split over up to 65,536 tasks."""
     key = F.md5(F.concat_ws("|", F.col(OUTLET), _micros().cast("string"), F.lit(str(seed))))
-    w = Window.partitionBy(OUTLET)
-    ranked = (df.withColumn("_h", key)
-              .withColumn("_rank", F.row_number().over(w.orderBy("_h", DATE)))
-              .withColumn("_quota", F.ceil(F.count(F.lit(1)).over(w) * F.lit(Decimal(str(test_size))))))
-    return (ranked.withColumn(SPLIT, F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train"))
-            .drop("_h", "_rank", "_quota"))
+    frac = F.lit(Decimal(str(test_size)))
+    d = df.withColumn("_h", key)
+    if layout == "buckets":
+        ranked = rank_in_group(d, OUTLET, ["_h", DATE], F.substring("_h", 1, 4), "_rank", "_size")
+    elif layout == "window":
+        w = Window.partitionBy(OUTLET)
+        ranked = (d.withColumn("_rank", F.row_number().over(w.orderBy("_h", DATE)))
+                  .withColumn("_size", F.count(F.lit(1)).over(w)))
+    else:
+        raise ValueError("layout must be 'window' or 'buckets'")
+    quota = F.ceil(F.col("_size") * frac)
+    return (ranked.withColumn(SPLIT, F.when(F.col("_rank") <= quota, "test").otherwise("train"))
+            .drop("_h", "_rank", "_size"))
 
 
 def split_report(split_df: DataFrame) -> DataFrame:

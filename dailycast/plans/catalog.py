@@ -226,6 +226,13 @@ def q_stratified(spark, sf):
         "Outlet", "Date", "Total Sales Amount", "split")
 
 
+@register("stratified_split_buckets")
+def q_stratified_buckets(spark, sf):
+    """M4 with skew-safe ranks (per-(Outlet, hash prefix) counts + offsets)."""
+    return sp.stratified_split(_features_user(spark, sf), layout="buckets").select(
+        "Outlet", "Date", "Total Sales Amount", "split")
+
+
 @register("named_period_3months")
 def q_named_3m(spark, sf):
     """M20: '3months' = rows on/after max(Date) - 3 months."""
@@ -497,7 +504,7 @@ def q_avp_gbt(spark, sf):
 
 @register("compare_gbt_profiles")
 def q_compare_gbt(spark, sf):
-    """M16/M17 inputs: both profiles scored on the same test rows."""
+    """M16 with trees: both profiles scored on the same test rows, winner by RMSE."""
     from dailycast.plans import train as trn
     cat, xgb = _train(spark, sf, "catboost"), _train(spark, sf, "xgboost")
     test = sp.time_split(_features_user(spark, sf)).where("split = 'test'")

@@ -355,3 +355,4 @@ sql("data_range_iso", with_ctes(TX["retail"]) + """
 SELECT strftime(min(Date), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max(Date), '%Y-%m-%dT%H:%M:%S') AS "end",
        count(*) AS total_records FROM tx""")
 sql("prepare_features_exact_blocks", with_ctes(TX_EXACT_USER, DAILY, feat_cte(drop=True)) + "SELECT * FROM feat")
+sql("stratified_split_buckets", ORACLE_SQL["stratified_split"])

@@ -65,3 +65,10 @@ def test_encoder_sorted_codes_and_unseen_raises(spark):
     assert codes == {"a": 0.0, "b": 1.0, "c": 2.0}
     with pytest.raises(Exception):
         sp.label_lookup(spark.createDataFrame([("zzz",)], "Outlet string"), enc).collect()
+
+
+def test_stratified_bucket_layout_equals_window_layout(spark):
+    df = _frame(spark, range(1, 31), outlets=("A", "B", "C", "D"))
+    a = sp.stratified_split(df, 0.2, seed=42)
+    b = sp.stratified_split(df, 0.2, seed=42, layout="buckets")
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
