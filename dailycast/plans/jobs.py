@@ -17,7 +17,7 @@ from dailycast.operators.select import api_daily, api_predictions, filter_date_r
 from dailycast.operators.split import resolve_named_period
 from dailycast.operators.summary import api_monthly_summary
 from dailycast.plans.train import train
-from dailycast.plans.tree_forecast import forecast_with_trees
+from dailycast.plans.tree_forecast import TreeEnsemble, forecast_with_trees
 from dailycast.schema import MODEL_TYPES, PREVIEW_ROWS
 from dailycast.sources import modelstore as ms
 
@@ -72,9 +72,11 @@ def forecast_job(spark: SparkSession, tx: DataFrame, root: str, model_name: str,
     now = now or dt.datetime.now()
     start = start or now.strftime("%Y-%m-%d")
     end = end or (now + dt.timedelta(days=30)).strftime("%Y-%m-%d")
-    model, _meta = ms.load_model(spark, root, model_name)
+    model, meta = ms.load_model(spark, root, model_name)
+    gbt = model.stages[-1]
+    ens = TreeEnsemble.from_gbt(spark, gbt, path=f"{meta['model_path']}/stages/*_{gbt.uid}")
     feats = prepare_features(tx, drop_nans=False)
-    daily = forecast_with_trees(feats, model, ForecastSpec(start=start, end=end, outlet=outlet))
+    daily = forecast_with_trees(feats, model, ForecastSpec(start=start, end=end, outlet=outlet), ens)
     path = f"{root}/predictions/{ms.prediction_file_name(model_name, start, end)}"
     ms.write_table(api_predictions(daily), path, "csv")
     written = spark.read.schema(PREDICTION_SCHEMA).option("header", True).csv(path)
