@@ -6,9 +6,8 @@ from dailycast.functions.columns import (  # noqa: F401
     from_epoch_micros,
     ntz_literal,
     calendar_struct,
-    day_of_week,
     day_spine,
-    exact_sum,
+    day_start,
     is_weekend,
     iso_string,
     last_n,

@@ -50,16 +50,6 @@ def money(c: str | Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double")).cast(MONEY)
 
 
-def exact_sum(c: str | Column) -> Column:
-    """Order-independent sum of amounts, returned as DOUBLE (NULL if no value)."""
-    return F.sum(money(c)).cast("double")
-
-
-def day_of_week(d: Column) -> Column:
-    """Monday = 0 .. Sunday = 6 (pandas ``dt.weekday``)."""
-    return F.weekday(d)
-
-
 def is_weekend(d: Column, weekend_days: Sequence[int] = WEEKEND_DAYS) -> Column:
     return F.weekday(d).isin(list(weekend_days)).cast("int")
 

@@ -64,11 +64,6 @@ def daily_sales(tx: DataFrame, grain: str = "exact") -> DataFrame:
     )
 
 
-def sort_daily(df: DataFrame) -> DataFrame:
-    """O1: final order by Outlet, Date (only at the output)."""
-    return df.orderBy(OUTLET, DATE)
-
-
 def date_features(df: DataFrame, weekend_days: Sequence[int] = WEEKEND_DAYS,
                   date_col: str = DATE) -> DataFrame:
     """day, weekday (Mon=0), ISO week, month, year, is_weekend."""

@@ -175,13 +175,6 @@ def spread(state: DataFrame) -> DataFrame:
     return state.repartition(n, F.xxhash64(OUTLET))
 
 
-def history_report(features: DataFrame, spec: ForecastSpec) -> DataFrame:
-    """Per outlet: anchor date and rows in its lookback window (J6 input)."""
-    features = filter_outlet(features, spec.outlet)
-    last = last_row_per_outlet(features, spec.anchor_period)
-    return history_state(recent_history(features, last)).select(OUTLET, "n_hist")
-
-
 # --- step 4, engine A: Catalyst fold ---------------------------------------------
 
 Predictor = Callable[[Mapping[str, Column]], Column]
@@ -257,8 +250,3 @@ def forecast_with_expression(state: DataFrame, predictor: Predictor,
 def predict_daily(features: DataFrame, spec: ForecastSpec, predictor: Predictor) -> DataFrame:
     """M12 (library dialect by default; M13 via ``spec``) with a Column predictor."""
     return forecast_with_expression(spread(forecast_state(features, spec)), predictor, spec.weekend_days)
-
-
-def empty_forecast(spark) -> DataFrame:
-    from dailycast.schema import DAILY_FORECAST_SCHEMA
-    return spark.createDataFrame([], DAILY_FORECAST_SCHEMA)

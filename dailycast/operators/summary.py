@@ -107,9 +107,7 @@ def daily_total_forecast(daily_pred: DataFrame, digits: int | None = None) -> Da
 
 
 def outlet_month_series(monthly: DataFrame) -> DataFrame:
-    """Per outlet, its monthly values in month order (bounded by the
-    number of months in the horizon)."""
-    return (monthly.groupBy(OUTLET)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("Month").alias("month"),
-                                                      F.col("Predicted Monthly Sales").alias("value"))))
-                 .alias("series")))
+    """One row per outlet, one column per month (``yyyy-MM``) holding its
+    predicted total.  The pivot's month list is the horizon's months."""
+    return (monthly.groupBy(OUTLET).pivot("Month")
+            .agg(F.first("Predicted Monthly Sales")))

@@ -392,8 +392,7 @@ def q_daily_total(spark, sf):
 @register("outlet_month_pivot")
 def q_outlet_month(spark, sf):
     """A14 (pivot form): one column per forecast month."""
-    m = sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS)
-    return m.groupBy("Outlet").pivot("Month").agg(F.first("Predicted Monthly Sales"))
+    return sm.outlet_month_series(sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS))
 
 
 @register("stack_forecasts")
@@ -457,8 +456,8 @@ def q_override(spark, sf):
     """M7: registry-style names override the defaults (depth 4, lr 0.1)."""
     from dailycast.plans import train as trn
     res = _train(spark, sf, "xgboost", hyperparams={"xgboost_max_depth": 4, "xgboost_learning_rate": 0.1})
-    return spark.createDataFrame([(k, v) for k, v in sorted(res.hyperparameters.items())],
-                                 "name string, value string").withColumn("value", F.col("value"))
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(res.hyperparameters.items())],
+                                 "name string, value string")
 
 
 @register("early_stopping")

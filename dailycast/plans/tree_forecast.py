@@ -31,7 +31,7 @@ from dailycast.plans.train import NULL_SENTINEL
 from dailycast.schema import CALENDAR_COLUMNS, DATE, HISTORY_KEEP, OUTLET
 from dailycast.session import scratch_path, ship_package
 
-MAX_NODES = 20_000_000       # broadcast bound: ~ 20M nodes x 40 bytes
+MAX_NODES = 2_000_000        # broadcast bound: ~45 bytes a node, one copy per Python worker
 ROW_CHUNK_CELLS = 4_000_000  # rows x trees traversed at once inside a batch
 
 

@@ -21,11 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dailycast.schema import METADATA_SCHEMA, MODEL_TYPES, REGISTRY_SCHEMA
-from dailycast.session import shared_dir
-
-
-def store_root(spark: SparkSession, name: str = "store") -> str:
-    return shared_dir(spark, name)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -1,7 +1,6 @@
 """Every registered query with an oracle SQL equals DuckDB on sf0.001."""
 
 import math
-import os
 
 import duckdb
 import pytest

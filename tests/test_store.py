@@ -2,9 +2,6 @@ import datetime as dt
 
 import pytest
 
-from dailycast.operators import features as feat
-from dailycast.operators import forecast as fc
-from dailycast.operators import select as sel
 from dailycast.plans import jobs
 from dailycast.session import scratch_path
 from dailycast.sources import modelstore as ms
