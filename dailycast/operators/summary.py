@@ -16,36 +16,34 @@ def data_summary(tx: DataFrame) -> DataFrame:
     """A2: record count and date range of the raw rows, distinct outlets, and
     avg/min/max/sample-std of the per-day sales totals (over all outlets).
 
-    One pre-aggregation per (Outlet, Date) feeds three branches (per day,
-    per outlet, global) that are unioned and folded by one global aggregate,
-    so no branch is joined to another and no group is collected."""
-    valid = F.col(OUTLET).isNotNull() & F.col(DATE).isNotNull()
-    per_key = tx.groupBy(OUTLET, DATE).agg(
-        F.count(F.lit(1)).alias("n_tx"),
-        F.coalesce(F.sum(money(TARGET)), F.lit(0)).alias("s"),
+    One pre-aggregation per (Outlet, Date), then one GROUPING SETS aggregate
+    over it -- per day, per outlet, and overall in a single pass (Expand +
+    one shuffle) -- and a final fold of those rows.  No branch is joined or
+    computed twice, and no group is collected."""
+    per_key = (tx.groupBy(OUTLET, DATE)
+               .agg(F.count(F.lit(1)).alias("n_tx"), F.coalesce(F.sum(money(TARGET)), F.lit(0)).alias("s"))
+               .select(OUTLET, DATE, "n_tx", "s",
+                       (F.col(OUTLET).isNotNull() & F.col(DATE).isNotNull()).alias("_valid"),
+                       F.to_date(DATE).alias("_day")))
+    sets = per_key.groupingSets([["_valid", "_day"], ["_valid", OUTLET], []], "_valid", "_day", OUTLET).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum("s").cast("double").alias("v"),
+        F.sum("n_tx").alias("n"),
+        F.min(DATE).alias("t0"),
+        F.max(DATE).alias("t1"),
     )
-    per_day = (per_key.where(valid).groupBy(F.to_date(DATE).alias("d"))
-               .agg(F.sum("s").cast("double").alias("v"))
-               .select(F.lit(0).alias("kind"), "v", F.lit(None).cast("long").alias("n"),
-                       F.lit(None).cast("timestamp_ntz").alias("t0"),
-                       F.lit(None).cast("timestamp_ntz").alias("t1")))
-    per_outlet = (per_key.where(valid).select(OUTLET).distinct()
-                  .select(F.lit(1).alias("kind"), F.lit(None).cast("double").alias("v"),
-                          F.lit(None).cast("long").alias("n"),
-                          F.lit(None).cast("timestamp_ntz").alias("t0"),
-                          F.lit(None).cast("timestamp_ntz").alias("t1")))
-    overall = per_key.agg(F.lit(2).alias("kind"), F.lit(None).cast("double").alias("v"),
-                          F.sum("n_tx").alias("n"), F.min(DATE).alias("t0"), F.max(DATE).alias("t1"))
-    kind = F.col("kind")
-    return per_day.unionByName(per_outlet).unionByName(overall).agg(
-        F.coalesce(F.sum(F.when(kind == 2, F.col("n"))), F.lit(0)).alias("total_records"),
-        F.min("t0").alias("start"),
-        F.max("t1").alias("end"),
-        F.count(F.when(kind == 1, F.lit(1))).alias("outlets"),
-        F.round(F.avg(F.when(kind == 0, F.col("v"))), REPORT_DIGITS).alias("average_sales"),
-        F.min(F.when(kind == 0, F.col("v"))).alias("min_sales"),
-        F.max(F.when(kind == 0, F.col("v"))).alias("max_sales"),
-        F.round(F.stddev_samp(F.when(kind == 0, F.col("v"))), REPORT_DIGITS).alias("std_dev"),
+    # grouping_id bits follow (_valid, _day, Outlet): per day = 0b001, per outlet = 0b010, all = 0b111
+    gid, valid = F.col("_gid"), F.col("_valid")
+    day_v = F.when((gid == 1) & valid, F.col("v"))
+    return sets.agg(
+        F.coalesce(F.sum(F.when(gid == 7, F.col("n"))), F.lit(0)).alias("total_records"),
+        F.min(F.when(gid == 7, F.col("t0"))).alias("start"),
+        F.max(F.when(gid == 7, F.col("t1"))).alias("end"),
+        F.count(F.when((gid == 2) & valid, F.lit(1))).alias("outlets"),
+        F.round(F.avg(day_v), REPORT_DIGITS).alias("average_sales"),
+        F.min(day_v).alias("min_sales"),
+        F.max(day_v).alias("max_sales"),
+        F.round(F.stddev_samp(day_v), REPORT_DIGITS).alias("std_dev"),
     )
 
 
