@@ -58,3 +58,15 @@ def test_daily_data_query(spark):
     rows = out.collect()
     assert out.columns == ["date", "outlet", "sales"]
     assert all(r["outlet"] == "NATION_3" and r["date"].year == 1996 for r in rows)
+
+
+def test_jobs_named_period_and_empty_forecast(spark):
+    root = scratch_path(spark, "store2")
+    tx = td.events_by_user(spark, SF_SMALL)
+    info = jobs.training_job(spark, tx, root, "catboost", training_period="3months",
+                             hyperparams={"iterations": 2, "depth": 3}, now=dt.datetime(2024, 3, 1))
+    assert info["model_name"] == "catboost_3months_20240301_000000" and info["training_period"] == "3months"
+    out = jobs.forecast_job(spark, tx, root, info["model_name"], outlet="no-such-outlet",
+                            start="2024-01-31", end="2024-02-05")
+    assert out.predictions_count == 0 and out.monthly.count() == 0
+    assert out.daily.columns == ["outlet", "date", "prediction"]
