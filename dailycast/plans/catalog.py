@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from dailycast.operators import features as feat
@@ -57,18 +56,26 @@ def q_prepare_features_retail(spark, sf):
 
 # --- step 2: scans, filters, projections, summaries ---------------------------
 
+def _transaction_csv(spark, sf, without=()):
+    """Stand-in input: the retail rows in the raw CSV's shape, written as a
+    headered CSV to the shared folder; returns its path."""
+    from dailycast.session import scratch_path
+    path = scratch_path(spark, "transaction-csv")
+    td.retail_raw_csv_shape(spark, sf).drop(*without).write.option("header", True).csv(path)
+    return path
+
+
 @register("scan_transactions")
 def q_scan_transactions(spark, sf):
-    """Raw CSV-shaped rows -> strict drop of the 12 columns -> Date parsed."""
-    raw = td.retail_raw_csv_shape(spark, sf)
-    return tr.parse_dates(tr.drop_columns_strict(raw))
+    """Scan the CSV (schema from its header), strict drop of the 12
+    columns, Date text parsed to timestamp."""
+    return tr.load_transactions(spark, _transaction_csv(spark, sf), strict=True)
 
 
 @register("drop_columns_if_present")
 def q_drop_if_present(spark, sf):
-    """Tolerant drop (the API loader) on the same shape, Date parsed."""
-    raw = td.retail_raw_csv_shape(spark, sf).drop("Recovered", "Net Credit")
-    return tr.parse_dates(tr.drop_columns_if_present(raw))
+    """The API loader's tolerant drop on a CSV that lacks two of the columns."""
+    return tr.load_transactions(spark, _transaction_csv(spark, sf, without=("Recovered", "Net Credit")))
 
 
 @register("daily_sales_day_grain")
