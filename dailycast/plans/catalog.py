@@ -560,7 +560,7 @@ def q_training_job(spark, sf):
 
 @register("forecast_job")
 def q_forecast_job(spark, sf):
-    """M21 + S3/S4/S7/A7: train+save a model, load it by name, forecast,
+    """M21 + S3/S7/A7: train+save a model, load it by name, forecast,
     write the CSV, monthly summary from the written file."""
     import datetime as dt
 
