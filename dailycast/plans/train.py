@@ -55,6 +55,9 @@ VECTOR = "features"
 PREDICTION = "prediction"
 OUTLET_NUM = "Outlet_num"
 NULL_SENTINEL = -1.0   # below every amount: a sentinel goes left at every split
+# A nominal split needs maxBins >= #categories, and split statistics grow with
+# bins x nodes per level; beyond this many outlets use the numeric code.
+MAX_NOMINAL_OUTLETS = 4096
 
 # Reference hyper-parameter names -> GBTRegressor params (both naming families).
 _NAME_MAP = {
@@ -122,6 +125,9 @@ def build_pipeline(model_type: str, encoder: StringIndexerModel, spark_params: M
     """Encoder -> [numeric code] -> VectorAssembler(12 features) -> GBT."""
     stages = [encoder]
     if model_type == "catboost":
+        if len(encoder.labels) > MAX_NOMINAL_OUTLETS:
+            raise ValueError(f"{len(encoder.labels)} outlets exceed {MAX_NOMINAL_OUTLETS} for a nominal Outlet "
+                             "feature; use the 'xgboost' profile (numeric outlet code)")
         outlet_col = OUTLET_CODE          # nominal: indexer metadata is kept
         params = dict(spark_params)
         params["maxBins"] = max(int(params.get("maxBins", 32)), len(encoder.labels))
