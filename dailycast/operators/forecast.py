@@ -183,7 +183,7 @@ Predictor = Callable[[Mapping[str, Column]], Column]
 @dataclass(frozen=True)
 class LinearPredictor:
     """``intercept + sum(weight * feature)`` over numeric features, evaluated
-    left to right.  Usable inside Catalyst (``column``) and as SQL text."""
+    left to right as a Catalyst expression."""
     terms: tuple[tuple[float, str], ...]
     intercept: float = 0.0
     name: str = "linear"
@@ -202,12 +202,6 @@ class LinearPredictor:
     def __call__(self, feats: Mapping[str, Column]) -> Column:
         return self.column(feats)
 
-    def sql(self, ref: Callable[[str], str] = lambda f: f) -> str:
-        out = f"CAST({float(self.intercept)!r} AS DOUBLE)"
-        for w, f in self.terms:
-            out = f"({out} + CAST({float(w)!r} AS DOUBLE) * CAST({ref(f)} AS DOUBLE))"
-        return out
-
 
 # Baseline forecasters used by the registered queries (fixed here, not fitted).
 BLEND = LinearPredictor(((0.5, "ma_7"), (0.3, "lag_1"), (0.2, "lag_14")), name="blend")

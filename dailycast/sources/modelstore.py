@@ -115,6 +115,16 @@ def load_model(spark: SparkSession, root: str, model_name: str) -> tuple[Pipelin
     return PipelineModel.load(meta["model_path"]), meta
 
 
+def model_metrics(spark: SparkSession, root: str, model_name: str) -> DataFrame:
+    """One model's metrics and training info from the run log (one row);
+    FileNotFoundError when the model has no metadata."""
+    row = read_metadata(spark, root).where(F.col("model_name") == model_name)
+    if row.limit(1).count() == 0:
+        raise FileNotFoundError(f"Metadata not found for model: {model_name}")
+    return row.select("model_name", "metrics.*", "model_type", "training_period", "data_range",
+                      "created_at", "features")
+
+
 # --- registry (S9, S10) -----------------------------------------------------------------
 
 def registry_rows(spark: SparkSession, configs: list[Mapping], now: dt.datetime | None = None) -> DataFrame:

@@ -69,4 +69,8 @@ def test_jobs_named_period_and_empty_forecast(spark):
     out = jobs.forecast_job(spark, tx, root, info["model_name"], outlet="no-such-outlet",
                             start="2024-01-31", end="2024-02-05")
     assert out.predictions_count == 0 and out.monthly.count() == 0
+    m = ms.model_metrics(spark, root, info["model_name"]).first()
+    assert m["model_type"] == "catboost" and m["test_size"] >= 0 and len(m["features"]) == 12
+    with pytest.raises(FileNotFoundError):
+        ms.model_metrics(spark, root, "absent")
     assert out.daily.columns == ["outlet", "date", "prediction"]
