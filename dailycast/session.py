@@ -75,10 +75,27 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write ``data`` to ``path`` on the cluster file system (any Hadoop URI)."""
+    if path.startswith("/") or path.startswith("file:"):
+        with open(path.replace("file:", "", 1), "wb") as f:
+            f.write(data)
+        return
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make ``dailycast`` importable on executors (Python workers) by adding
-    a zip of the package, written to the shared folder, with ``addPyFile``.
-    Done once per application."""
+    """Make ``dailycast`` importable on executors (Python workers): a zip of
+    the package is written to the shared folder and added with
+    ``addPyFile``.  Done once per application."""
+    import io
     import zipfile
 
     import dailycast
@@ -88,13 +105,14 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(dailycast.__file__))
-    target = shared_dir(spark, "pkg") + f"/dailycast-{uuid.uuid4().hex[:8]}.zip"
-    local = target.replace("file:", "", 1)
-    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(root):
-            for fn in files:
+            for fn in sorted(files):
                 if fn.endswith(".py"):
                     full = os.path.join(dirpath, fn)
                     zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = shared_dir(spark, "pkg") + f"/dailycast-{uuid.uuid4().hex[:8]}.zip"
+    _write_bytes(spark, target, buf.getvalue())
     sc.addPyFile(target)
     _SHIPPED.add(app)
