@@ -67,7 +67,7 @@ def data_status(tx: DataFrame) -> DataFrame:
         F.min(DATE).alias("start"),
         F.max(DATE).alias("end"),
         F.count(F.lit(1)).alias("total_records"),
-        F.lit(None).cast("timestamp").alias("last_training"),
+        F.lit(None).cast("timestamp_ntz").alias("last_training"),
     )
 
 
