@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dailycast.functions.columns import epoch_micros, from_epoch_micros, ntz_literal
 from dailycast.operators.ranking import rank_in_group
 from dailycast.operators.select import filter_by_period
+from dailycast.session import materialize
 from dailycast.schema import DATE, DEFAULT_SEED, DEFAULT_TEST_SIZE, OUTLET
 
 SPLIT = "split"
@@ -43,9 +44,18 @@ def cutoff_value(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> float |
     return None if row is None else row[0]
 
 
-def time_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, cutoff: float | None = None) -> DataFrame:
-    """M2: tag rows ``train`` (Date < cutoff) or ``test`` (Date >= cutoff)."""
+def time_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, cutoff: float | None = None,
+               materialize_input: bool = True) -> DataFrame:
+    """M2: tag rows ``train`` (Date < cutoff) or ``test`` (Date >= cutoff).
+
+    The cutoff is a scalar computed over the input before the split can be
+    tagged, i.e. two passes.  With ``materialize_input`` the input is first
+    written once as a reliable checkpoint (shared checkpoint folder), so both
+    passes read it instead of recomputing its lineage (e.g. the feature
+    pipeline over all raw transactions)."""
     if cutoff is None:
+        if materialize_input:
+            df = materialize(df)
         cutoff = cutoff_value(df, test_size)
     if cutoff is None:
         return df.withColumn(SPLIT, F.lit("train"))
@@ -97,13 +107,17 @@ def split_report(split_df: DataFrame) -> DataFrame:
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
-def resolve_named_period(df: DataFrame, name: str | None) -> DataFrame:
+def resolve_named_period(df: DataFrame, name: str | None, materialize_input: bool = True) -> DataFrame:
     """``None``/``full`` -> all rows; ``<n>months`` -> the last n months
-    before the latest Date; ``mon_yyyy`` (e.g. ``jan_2025``) -> that month."""
+    before the latest Date; ``mon_yyyy`` (e.g. ``jan_2025``) -> that month.
+    ``<n>months`` needs the latest Date first (a scalar); the input is then
+    checkpointed once, as in :func:`time_split`."""
     if name is None or name in ("", "full"):
         return df
     m = re.fullmatch(r"(\d+)months?", name)
     if m:
+        if materialize_input:
+            df = materialize(df)
         latest = df.agg(F.max(DATE)).first()[0]          # one scalar
         if latest is None:
             return df
