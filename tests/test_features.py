@@ -96,3 +96,11 @@ def test_block_layout_equals_window_layout(spark):
         a = feat.lag_features(d, **kw)
         b = feat.lag_features(d, layout="blocks", block_rows=16, chunk_unit="HOUR", **kw)
         assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+
+
+def test_single_date_summary_has_null_std(tx):
+    from dailycast.operators import summary as sm
+    df = tx([("A", "2024-01-01", 10.0, 0.0), ("B", "2024-01-01", 5.0, 0.0), (None, "2024-01-01", 1.0, 0.0)])
+    r = sm.data_summary(df).first()
+    assert (r["total_records"], r["outlets"], r["average_sales"], r["std_dev"]) == (3, 2, 15.0, None)
+    assert r["min_sales"] == r["max_sales"] == 15.0

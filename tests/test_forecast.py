@@ -114,3 +114,14 @@ def test_state_history_is_bounded_to_last_14(spark):
     f = feat.prepare_features(df, drop_nans=False)
     st = fc.forecast_state(f, fc.ForecastSpec(start="2024-02-10", end="2024-02-12")).first()
     assert st["n_hist"] == 14 and st["hist"] == [float(i) for i in range(26, 40)]
+
+
+def test_history_threshold_six_vs_seven_rows(spark):
+    rows = [("six", ts("2024-01-01") + i * DAY, 10.0 + i) for i in range(6)]
+    rows += [("seven", ts("2024-01-01") + i * DAY, 20.0 + i) for i in range(7)]
+    df = spark.createDataFrame(rows, "Outlet string, Date timestamp_ntz, `Total Sales Amount` double")
+    f = feat.prepare_features(df, drop_nans=False)
+    out = fc.predict_daily(f, fc.ForecastSpec(start="2024-01-08", end="2024-01-09"), fc.WEEKLY)
+    assert {r["Outlet"] for r in out.collect()} == {"seven"}
+    hist = fc.history_state(fc.recent_history(f, fc.last_row_per_outlet(f)))
+    assert [tuple(r) for r in fc.skipped_outlets(hist).collect()] == [("six", 6)]
