@@ -510,10 +510,14 @@ def q_avp_gbt(spark, sf):
 
 @register("compare_gbt_profiles")
 def q_compare_gbt(spark, sf):
-    """M16 with trees: both profiles scored on the same test rows, winner by RMSE."""
+    """M4 + M16 with trees, as the comparison script: January rows, seeded
+    stratified 80/20 split, both profiles trained on it and compared on its
+    test side (winner by RMSE)."""
     from dailycast.plans import train as trn
-    cat, xgb = _train(spark, sf, "catboost"), _train(spark, sf, "xgboost")
-    test = sp.time_split(_features_user(spark, sf)).where("split = 'test'")
+    jan = {"year": 2024, "month": 1}
+    cat = _train(spark, sf, "catboost", train_period=jan, split="stratified")
+    xgb = _train(spark, sf, "xgboost", train_period=jan, split="stratified")
+    test = sp.stratified_split(sel.filter_by_period(_features_user(spark, sf), **jan)).where("split = 'test'")
     a = trn.predict(cat.model, test).withColumnRenamed("prediction", "p_catboost")
     b = trn.predict(xgb.model, a.drop("Outlet_code", "Outlet_num")).withColumnRenamed("prediction", "p_xgboost")
     return mt.compare_models(b, {"catboost": "p_catboost", "xgboost": "p_xgboost"})

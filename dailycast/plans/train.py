@@ -36,10 +36,12 @@ from dailycast.operators.split import (
     fit_outlet_encoder,
     outlet_union,
     period_split,
+    stratified_split,
 )
 from dailycast.schema import (
     CATBOOST_DEFAULTS,
     DATE,
+    DEFAULT_SEED,
     DEFAULT_TEST_SIZE,
     DEFAULT_TOP_FEATURES,
     EARLY_STOPPING_PATIENCE,
@@ -170,7 +172,8 @@ def _kept(nulls: str):
     return cond
 
 
-def _prepare(features: DataFrame, train_period, test_period, test_size, nulls):
+def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, split_kind="time",
+             seed: int = DEFAULT_SEED):
     """M9 data preparation: NULL policy -> [period filter] -> split.
 
     The input is written once as a reliable checkpoint in the shared
@@ -190,6 +193,8 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls):
     df = handle_nulls(base, nulls)
     if test_period:
         split = period_split(df, train_period, test_period)
+    elif split_kind == "stratified":
+        split = stratified_split(df.where(period), test_size, seed)
     else:
         df = df.where(period)
         if stats["cut"] is None:
@@ -215,12 +220,19 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
           test_size: float = DEFAULT_TEST_SIZE, hyperparams: Mapping | None = None,
           test_period: Mapping | None = None, nulls: str = "drop",
           early_stopping: int | None = None, model_name: str | None = None,
-          now: dt.datetime | None = None) -> TrainResult:
+          now: dt.datetime | None = None, split: str = "time") -> TrainResult:
     """M9: filter -> split -> encode (on train+test outlets) -> fit -> evaluate
-    -> metadata.  ``early_stopping=k`` applies M8 with patience ``k`` on the
-    test rows and refits with the best number of rounds."""
+    -> metadata.  ``split="time"`` cuts at the Date quantile (M2),
+    ``split="stratified"`` takes a seeded exact 20 % per outlet (M4, as the
+    model-comparison script does); a ``test_period`` gives M3.
+    ``early_stopping=k`` applies M8 with patience ``k`` on the test rows and
+    refits with the best number of rounds."""
+    if split not in ("time", "stratified"):
+        raise ValueError("split must be 'time' or 'stratified'")
     params, spark_params = gbt_params(model_type, hyperparams)
-    _, split, bounds = _prepare(features, train_period, test_period, test_size, nulls)
+    _, split_df, bounds = _prepare(features, train_period, test_period, test_size, nulls, split,
+                                   int(params.get("random_state", params.get("random_seed", DEFAULT_SEED))))
+    split = split_df
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train_df = split.where(F.col(SPLIT) == "train")
