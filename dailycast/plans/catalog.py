@@ -364,6 +364,15 @@ def q_forecast_script(spark, sf):
     return fc.predict_daily(f, FORECAST_SCRIPT, fc.WEEKLY)
 
 
+@register("forecast_daily_fulldata")
+def q_forecast_fulldata(spark, sf):
+    """M13 full-data variant: legacy features, every outlet, anchor = latest
+    row overall, start = last date + 1 (no clamp)."""
+    f = feat.legacy_features(td.events_by_user(spark, sf))
+    spec = fc.ForecastSpec(start="2024-02-01", end="2024-02-29", clamp_start=False)
+    return fc.predict_daily(f, spec, fc.WEEKLY)
+
+
 @register("forecast_daily_retail")
 def q_forecast_retail(spark, sf):
     """M12 on the sparse retail series: some outlets skipped, start clamped."""

@@ -356,3 +356,5 @@ SELECT strftime(min(Date), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max(Date), '%
        count(*) AS total_records FROM tx""")
 sql("prepare_features_exact_blocks", with_ctes(TX_EXACT_USER, DAILY, feat_cte(drop=True)) + "SELECT * FROM feat")
 sql("stratified_split_buckets", ORACLE_SQL["stratified_split"])
+sql("forecast_daily_fulldata", forecast_sql(*forecast_ctes("events_user", WEEKLY_TERMS, "2024-02-01", "2024-02-29",
+                                                         clamp=False, drop=True, full=True)) + "SELECT * FROM fc")
