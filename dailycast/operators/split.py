@@ -139,10 +139,20 @@ def outlet_union(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def fit_outlet_encoder(outlets: DataFrame, handle_invalid: str = "error") -> StringIndexerModel:
-    """M1: sorted-label codes 0..k-1 (``alphabetAsc``); unseen labels raise."""
-    return StringIndexer(inputCol=OUTLET, outputCol=OUTLET_CODE, stringOrderType="alphabetAsc",
-                         handleInvalid=handle_invalid).fit(outlets)
+# The fitted label map travels to every task that encodes; it grows with the
+# number of outlets, so its size is checked right after fitting.
+MAX_ENCODED_OUTLETS = 5_000_000
+
+
+def fit_outlet_encoder(outlets: DataFrame, handle_invalid: str = "error",
+                       max_labels: int = MAX_ENCODED_OUTLETS) -> StringIndexerModel:
+    """M1: sorted-label codes 0..k-1 (``alphabetAsc``); unseen labels raise.
+    Raises when there are more than ``max_labels`` outlets."""
+    model = StringIndexer(inputCol=OUTLET, outputCol=OUTLET_CODE, stringOrderType="alphabetAsc",
+                          handleInvalid=handle_invalid).fit(outlets)
+    if len(model.labels) > max_labels:
+        raise ValueError(f"{len(model.labels)} outlets exceed the encoder bound of {max_labels}")
+    return model
 
 
 def encode_outlet(df: DataFrame, fitted_on: Sequence[DataFrame] | None = None) -> DataFrame:

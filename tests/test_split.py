@@ -71,3 +71,9 @@ def test_stratified_bucket_layout_equals_window_layout(spark):
     a = sp.stratified_split(df, 0.2, seed=42)
     b = sp.stratified_split(df, 0.2, seed=42, layout="buckets")
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+
+
+def test_encoder_size_is_checked(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "Outlet string")
+    with pytest.raises(ValueError):
+        sp.fit_outlet_encoder(df, max_labels=2)
