@@ -373,6 +373,13 @@ def q_forecast_fulldata(spark, sf):
     return fc.predict_daily(f, spec, fc.WEEKLY)
 
 
+@register("forecast_event_types")
+def q_forecast_event_types(spark, sf):
+    """M12 on the event-type series (few long series), weekly predictor."""
+    f = feat.prepare_features(td.events_by_type(spark, sf), drop_nans=False)
+    return fc.predict_daily(f, FORECAST_EVENTS, fc.WEEKLY)
+
+
 @register("forecast_daily_retail")
 def q_forecast_retail(spark, sf):
     """M12 on the sparse retail series: some outlets skipped, start clamped."""

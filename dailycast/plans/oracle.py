@@ -358,3 +358,5 @@ sql("prepare_features_exact_blocks", with_ctes(TX_EXACT_USER, DAILY, feat_cte(dr
 sql("stratified_split_buckets", ORACLE_SQL["stratified_split"])
 sql("forecast_daily_fulldata", forecast_sql(*forecast_ctes("events_user", WEEKLY_TERMS, "2024-02-01", "2024-02-29",
                                                          clamp=False, drop=True, full=True)) + "SELECT * FROM fc")
+sql("forecast_event_types", forecast_sql(*forecast_ctes("events_type", WEEKLY_TERMS, "2024-01-31", "2024-02-29"))
+    + "SELECT * FROM fc")
