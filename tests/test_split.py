@@ -77,3 +77,11 @@ def test_encoder_size_is_checked(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "Outlet string")
     with pytest.raises(ValueError):
         sp.fit_outlet_encoder(df, max_labels=2)
+
+
+def test_splits_partition_all_rows(spark):
+    df = _frame(spark, range(1, 29), outlets=("A", "B", "C"))
+    for s in (sp.time_split(df), sp.stratified_split(df), sp.stratified_split(df, layout="buckets")):
+        sides = {r["split"]: r["n"] for r in s.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        assert sides["train"] + sides["test"] == df.count()
+        assert s.select("Outlet", "Date").distinct().count() == df.count()
