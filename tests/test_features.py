@@ -104,3 +104,10 @@ def test_single_date_summary_has_null_std(tx):
     r = sm.data_summary(df).first()
     assert (r["total_records"], r["outlets"], r["average_sales"], r["std_dev"]) == (3, 2, 15.0, None)
     assert r["min_sales"] == r["max_sales"] == 15.0
+
+
+def test_summary_of_empty_input(tx):
+    from dailycast.operators import summary as sm
+    df = tx([("A", "2024-01-01", 1.0, 0.0)]).limit(0)
+    r = sm.data_summary(df).collect()
+    assert len(r) == 1 and r[0]["total_records"] == 0 and r[0]["outlets"] == 0 and r[0]["average_sales"] is None
