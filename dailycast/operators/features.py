@@ -112,9 +112,23 @@ def _lag_features_blocks(df: DataFrame, full_window: bool, exclude_current: bool
     return out.where(~F.col("_halo")).drop("_r", "_blk", "_halo")
 
 
+MAX_WINDOW_ROWS = 1_000_000   # layout="auto": larger series use the block layout
+
+
+def choose_layout(df: DataFrame, max_window_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, str]:
+    """``layout="auto"``: the series table is checkpointed once (it is small
+    next to the raw rows) and one aggregate finds the longest series; above
+    ``max_window_rows`` rows the block layout is used.  Returns the
+    checkpointed table (read by the features) and the layout."""
+    from dailycast.session import materialize
+    df = materialize(df)
+    longest = df.groupBy(OUTLET).count().agg(F.max("count")).first()[0] or 0
+    return df, ("blocks" if longest > max_window_rows else "window")
+
+
 def lag_features(df: DataFrame, full_window: bool = False, exclude_current: bool = False,
                  target: str = TARGET, layout: str = "window", block_rows: int = 4096,
-                 chunk_unit: str = "DAY") -> DataFrame:
+                 chunk_unit: str = "DAY", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """``lag_1/7/14`` (row shifts, calendar gaps ignored) and
     ``ma_7/14`` (mean over the last n rows including the current one).
 
@@ -129,11 +143,14 @@ def lag_features(df: DataFrame, full_window: bool = False, exclude_current: bool
     hold a third of all rows): rows get their series rank (per-chunk counts
     + offsets), are cut into blocks of ``block_rows`` ranks, and each block
     also receives the previous block's last 14 rows; the same windows then
-    run per (Outlet, block).  Results are identical."""
+    run per (Outlet, block).  Results are identical.  ``layout="auto"``
+    measures the longest series first (:func:`choose_layout`)."""
+    if layout == "auto":
+        df, layout = choose_layout(df, max_window_rows)
     if layout == "blocks":
         return _lag_features_blocks(df, full_window, exclude_current, target, block_rows, chunk_unit)
     if layout != "window":
-        raise ValueError("layout must be 'window' or 'blocks'")
+        raise ValueError("layout must be 'window', 'blocks' or 'auto'")
     return df.withColumns(_lag_columns(F.col(target), series_window(), full_window, exclude_current))
 
 

@@ -656,3 +656,10 @@ def q_features_blocks(spark, sf):
     """W5 at exact-timestamp grain with the skew-safe block layout (series
     rank from per-(Outlet, day) counts, windows per rank block with a halo)."""
     return feat.prepare_features(td.events_raw_timestamps(spark, sf), layout="blocks")
+
+
+@register("prepare_features_exact_auto")
+def q_features_auto(spark, sf):
+    """W5 at exact-timestamp grain with layout='auto': the series table is
+    checkpointed, its longest series measured, and the layout chosen."""
+    return feat.prepare_features(td.events_raw_timestamps(spark, sf), layout="auto")

@@ -360,3 +360,4 @@ sql("forecast_daily_fulldata", forecast_sql(*forecast_ctes("events_user", WEEKLY
                                                          clamp=False, drop=True, full=True)) + "SELECT * FROM fc")
 sql("forecast_event_types", forecast_sql(*forecast_ctes("events_type", WEEKLY_TERMS, "2024-01-31", "2024-02-29"))
     + "SELECT * FROM fc")
+sql("prepare_features_exact_auto", ORACLE_SQL["prepare_features_exact_blocks"])

@@ -111,3 +111,16 @@ def test_summary_of_empty_input(tx):
     df = tx([("A", "2024-01-01", 1.0, 0.0)]).limit(0)
     r = sm.data_summary(df).collect()
     assert len(r) == 1 and r[0]["total_records"] == 0 and r[0]["outlets"] == 0 and r[0]["average_sales"] is None
+
+
+def test_auto_layout_picks_blocks_for_long_series(spark):
+    import datetime as dt
+    rows = [("hot", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i % 17)) for i in range(60)]
+    rows += [("b", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 1.0 + i) for i in range(5)]
+    d = feat.daily_sales(spark.createDataFrame(rows, "Outlet string, Date timestamp_ntz, `Total Sales Amount` double"))
+    _, chosen = feat.choose_layout(d, max_window_rows=20)
+    assert chosen == "blocks"
+    assert feat.choose_layout(d)[1] == "window"
+    a = feat.lag_features(d)
+    b = feat.lag_features(d, layout="auto", max_window_rows=20, block_rows=16, chunk_unit="HOUR")
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
