@@ -173,7 +173,7 @@ def _kept(nulls: str):
 
 
 def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, split_kind="time",
-             seed: int = DEFAULT_SEED):
+             seed: int = DEFAULT_SEED, materialize_input: bool = True):
     """M9 data preparation: NULL policy -> [period filter] -> split.
 
     The input is written once as a reliable checkpoint in the shared
@@ -182,7 +182,7 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, s
     the raw transactions.  One aggregate over it yields the cutoff quantile
     over the rows that are kept and the Date bounds of the whole input (as
     the run metadata reports them)."""
-    base = materialize(features)
+    base = materialize(features) if materialize_input else features
     period = period_condition(**train_period) if (train_period and not test_period) else F.lit(True)
     per_date = base.groupBy(DATE).agg(
         F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"))
@@ -220,7 +220,8 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
           test_size: float = DEFAULT_TEST_SIZE, hyperparams: Mapping | None = None,
           test_period: Mapping | None = None, nulls: str = "drop",
           early_stopping: int | None = None, model_name: str | None = None,
-          now: dt.datetime | None = None, split: str = "time") -> TrainResult:
+          now: dt.datetime | None = None, split: str = "time",
+          materialize_input: bool = True) -> TrainResult:
     """M9: filter -> split -> encode (on train+test outlets) -> fit -> evaluate
     -> metadata.  ``split="time"`` cuts at the Date quantile (M2),
     ``split="stratified"`` takes a seeded exact 20 % per outlet (M4, as the
@@ -231,7 +232,8 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
         raise ValueError("split must be 'time' or 'stratified'")
     params, spark_params = gbt_params(model_type, hyperparams)
     _, split_df, bounds = _prepare(features, train_period, test_period, test_size, nulls, split,
-                                   int(params.get("random_state", params.get("random_seed", DEFAULT_SEED))))
+                                   int(params.get("random_state", params.get("random_seed", DEFAULT_SEED))),
+                                   materialize_input)
     split = split_df
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -267,6 +269,18 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     return TrainResult(model, model_type, metrics, metadata, params, best, errors)
 
 
+def train_profiles(features: DataFrame, model_types=MODEL_TYPES, **kwargs) -> dict[str, TrainResult]:
+    """Train several profiles on one feature table: the table is
+    checkpointed once, and the fits run from concurrent driver threads, so
+    Spark schedules their (individually small) per-level jobs side by side.
+    Returns ``{model_type: TrainResult}``."""
+    from concurrent.futures import ThreadPoolExecutor
+    base = materialize(features)
+    with ThreadPoolExecutor(max_workers=len(model_types)) as pool:
+        futures = {m: pool.submit(train, base, m, materialize_input=False, **kwargs) for m in model_types}
+        return {m: f.result() for m, f in futures.items()}
+
+
 def predict(model: PipelineModel, df: DataFrame, nulls: str = "sentinel") -> DataFrame:
     """Encode Outlet (unseen raises) and score; adds ``prediction``."""
     return model.transform(handle_nulls(df, nulls)).drop(VECTOR, OUTLET_NUM)

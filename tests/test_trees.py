@@ -109,3 +109,10 @@ def test_train_with_stratified_split_uses_exact_quota(spark, feats):
     assert res.metrics["test_size"] == sum(_m.ceil(n * 0.2) for n in per_outlet)
     with pytest.raises(ValueError):
         trn.train(feats, "xgboost", split="random")
+
+
+def test_train_profiles_concurrently(spark, feats):
+    out = trn.train_profiles(feats, hyperparams={"n_estimators": 2, "iterations": 2, "max_depth": 3, "depth": 3})
+    assert set(out) == {"catboost", "xgboost"}
+    assert all(r.metrics["test_size"] > 0 for r in out.values())
+    assert out["catboost"].model_type == "catboost" and len(out["catboost"].gbt.trees) == 2
