@@ -581,8 +581,8 @@ def q_training_job(spark, sf):
 
 @register("forecast_job")
 def q_forecast_job(spark, sf):
-    """M21 + S3/S7/A7: train+save a model, load it by name, forecast,
-    write the CSV, monthly summary from the written file."""
+    """M21 + S3/S4/S7/A7: train+save a model, load it by name, forecast,
+    write the daily and monthly CSVs; returns the monthly totals read back."""
     import datetime as dt
 
     from dailycast.plans import jobs
@@ -590,8 +590,10 @@ def q_forecast_job(spark, sf):
     tx = td.events_by_user(spark, sf)
     info = jobs.training_job(spark, tx, root, "xgboost", hyperparams=TRAIN_ROUNDS,
                              now=dt.datetime(2024, 2, 1, 12, 0, 0))
-    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29")
-    return out.monthly
+    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29",
+                            write_monthly=True)
+    return spark.read.option("header", True).schema("month string, outlet string, prediction double") \
+        .csv(out.monthly_path)
 
 
 @register("prediction_history")

@@ -53,6 +53,7 @@ class ForecastOutput:
     predictions_count: int
     start: str
     end: str
+    monthly_path: str | None = None
 
     def preview(self, n: int = PREVIEW_ROWS) -> DataFrame:
         """O3: the first ``n`` daily predictions in (outlet, date) order."""
@@ -61,10 +62,11 @@ class ForecastOutput:
 
 def forecast_job(spark: SparkSession, tx: DataFrame, root: str, model_name: str, outlet: str | None = None,
                  start: str | None = None, end: str | None = None,
-                 now: dt.datetime | None = None) -> ForecastOutput:
+                 now: dt.datetime | None = None, write_monthly: bool = False) -> ForecastOutput:
     """Load model (FileNotFoundError when missing) -> features (no drop)
     -> [outlet filter first] -> recursive tree forecast -> write CSV (S3) ->
-    monthly summary (A7) from the written file.
+    monthly summary (A7) from the written file; ``write_monthly`` also
+    writes the monthly totals as CSV (S4, as the forecast scripts do).
 
     Writing the forecast to the shared folder and reading it back cuts the
     lineage: counting, previewing and summarising do not recompute it, and
@@ -82,7 +84,11 @@ def forecast_job(spark: SparkSession, tx: DataFrame, root: str, model_name: str,
     written = spark.read.schema(PREDICTION_SCHEMA).option("header", True).csv(path)
     monthly = api_monthly_summary(written.select(F.col("outlet").alias("Outlet"), F.col("date").alias("Date"),
                                                  F.col("prediction").alias("Predicted Sales")))
-    return ForecastOutput(model_name, path, written, monthly, written.count(), start, end)
+    monthly_path = None
+    if write_monthly:
+        monthly_path = path[: -len(".csv")] + "_monthly.csv"
+        ms.write_table(monthly, monthly_path, "csv")
+    return ForecastOutput(model_name, path, written, monthly, written.count(), start, end, monthly_path)
 
 
 def daily_data_query(tx: DataFrame, outlet: str | None = None, start: str | None = None,

@@ -35,15 +35,18 @@ def test_training_and_forecast_jobs_round_trip(spark):
     listed = {r["model_key"]: r for r in ms.list_models_with_metadata(ms.read_registry(spark, root),
                                                                        ms.read_metadata(spark, root)).collect()}
     assert listed["xgboost_full_20240201_083000"]["status"] == "trained"
-    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29")
+    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29",
+                            write_monthly=True)
     assert out.predictions_count == 150 * 30
+    assert spark.read.option("header", True).csv(out.monthly_path).count() == 300
     assert out.preview().count() == 100
     monthly = {(r["month"], r["outlet"]) for r in out.monthly.collect()}
     assert len(monthly) == 300
     one = jobs.forecast_job(spark, tx, root, info["model_name"], outlet="7", start="2024-01-31", end="2024-02-02")
     assert {r["outlet"] for r in one.daily.collect()} == {"7"} and one.predictions_count == 3
     hist = ms.prediction_history(spark, root).collect()
-    assert [r["filename"] for r in hist] == sorted([r["filename"] for r in hist], reverse=True) and len(hist) == 2
+    # daily output, its monthly totals (write_monthly) and the one-outlet daily output
+    assert [r["filename"] for r in hist] == sorted([r["filename"] for r in hist], reverse=True) and len(hist) == 3
     with pytest.raises(FileNotFoundError):
         jobs.forecast_job(spark, tx, root, "missing_model")
     with pytest.raises(ValueError):
