@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailycast.llm import mixing, packing, records
+from dailycast.llm import mixing, packing, records, scoring
 from dailycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_table(table(spark, sf_dir, "documents"))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stupid-backoff score against all other documents."""
+    return scoring.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix by source weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -27,7 +32,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_binary_records, op9_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_binary_records, op5_backoff_scores, op9_mix_sources, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": r"""
