@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailycast.llm import mixing, packing, records, scoring
+from dailycast.llm import jaccard, mixing, packing, records, scoring
 from dailycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and near-copy component (five words, similarity 0.8)."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids through record files and their index, read back in order."""
     return records.record_table(table(spark, sf_dir, "documents"))
@@ -32,7 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_binary_records, op5_backoff_scores, op9_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_binary_records, op5_backoff_scores, op9_mix_sources, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": r"""

@@ -104,7 +104,7 @@ def grams(words: np.ndarray, offsets: np.ndarray, n: int, whole_short: bool = Fa
     sizes = np.diff(offsets)
     h = np.zeros(max(0, len(words) - n + 1), U)
     for k in range(n):
-        h = mix(h * U(BASE) + words[k:len(words) - n + 1 + k] + U(k + 1))
+        h = mix(h * U(BASE) + words[k:k + len(h)] + U(k + 1))
     count = np.maximum(sizes - n + 1, 0)
     first = np.zeros(len(count) + 1, np.int64)
     keep = np.ones(len(h), bool)
