@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailycast.llm import jaccard, mixing, packing, records, scoring
+from dailycast.llm import jaccard, language, mixing, packing, quality, records, scoring
 from dailycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,16 @@ def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by positive-unlabelled learning."""
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language with its calibrated probability."""
+    return language.identify_language(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix by source weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -37,7 +47,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_binary_records, op5_backoff_scores, op9_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_ngram_jaccard, op3_binary_records, op5_backoff_scores, op6_quality_classifier, op8_language_id, op9_mix_sources,
+    op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": r"""
