@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailycast.llm import jaccard, language, mixing, packing, quality, records, scoring
+from dailycast.llm import dialogue, fingerprints, jaccard, language, mixing, neighbours, packing, quality, records, scoring
 from dailycast.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,21 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered once for each of its participants, turn by turn."""
+    return dialogue.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids through record files and their index, read back in order."""
     return records.record_table(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every text and of its edited text."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's stupid-backoff score against all other documents."""
     return scoring.backoff_scores(table(spark, sf_dir, "documents"))
@@ -32,6 +42,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth id."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language with its calibrated probability."""
     return language.identify_language(table(spark, sf_dir, "documents"))
@@ -48,8 +63,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op3_binary_records, op5_backoff_scores, op6_quality_classifier, op8_language_id, op9_mix_sources,
-    op10_best_fit_packing)}
+    op1_ngram_jaccard, op2_perspective_rotation, op3_binary_records, op4_imatch_fingerprints, op5_backoff_scores,
+    op6_quality_classifier, op7_vantage_point_trees, op8_language_id, op9_mix_sources, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": r"""
