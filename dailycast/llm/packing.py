@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.llm import common, tokens, words
+from dailycast.llm import common, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -41,12 +41,12 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, vocabulary: str | None =
         encoder = tokens.encoder(shared.value)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(words.texts_of(batch.column(1)))):
-                whole = np.append(ids, np.uint32(tokens.END)).astype("<u4")
-                for k, at in enumerate(range(0, len(whole), capacity)):
-                    part = whole[at:at + capacity]
-                    for out, value in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes()))):
-                        out.append(value)
+            for docs, found in tokens.ids_of(batch, encoder):
+                for doc, ids in zip(docs, found):
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at:at + capacity].astype("<u4")
+                        for out, value in zip(rows, (doc, k, at, len(part), zlib.crc32(part.tobytes()))):
+                            out.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])

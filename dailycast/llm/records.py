@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dailycast.llm import common, tokens, words
+from dailycast.llm import common, tokens
 from dailycast.session import scratch_path
 
 # Fixed values of the masking rule.
@@ -77,9 +77,9 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, rec
         encoder = tokens.encoder(shared.value)
         width = 2 if encoder.size <= 1 << 16 else 4
         for batch in batches:
-            ids = encoder.encode(words.texts_of(batch.column(1)))
-            out = [frame(d, np.append(x, np.uint32(tokens.END)), width) for d, x in zip(batch.column(0).to_pylist(), ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for docs, ids in tokens.ids_of(batch, encoder):
+                out = [frame(d, x, width) for d, x in zip(docs, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     tie = F.xxhash64("text")

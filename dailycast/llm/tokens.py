@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from dailycast.llm import words
 
 #: Id that ends a document.
 END = 1
 #: Bytes of text worked on at a time, and distinct pieces kept at most in a task's table.
-CHUNK, KEPT = 4 << 20, 1 << 21
+CHUNK, KEPT = 2 << 20, 1 << 20
 #: Words of letters only: one piece, so their ids end with exactly one word-end token.
 PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 _LETTER = np.zeros(256, bool)
@@ -64,15 +66,16 @@ class Encoder:
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int = 2048) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for i in range(0, len(texts), at_once)
+                for e in self.tokenizer.encode_batch_fast(texts[i:i + at_once], add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         """Append the ids of new pieces to the table, in their order."""
         plain = [bool(PLAIN.fullmatch(p)) for p in pieces]
         rows = [p for p, x in zip(pieces, plain) if x]
         lines = self._ids([" ".join(rows[i:i + 64]) for i in range(0, len(rows), 64)])
-        flat = np.fromiter((i for x in lines for i in x), np.uint32)
+        flat = np.concatenate([np.empty(0, np.uint32), *lines])
         stops = np.flatnonzero(self.ends[flat]) + 1
         if len(stops) != len(rows):
             raise ValueError("the tokenizer file does not end each word with a word-end token")
@@ -85,7 +88,7 @@ class Encoder:
         ids = np.empty(int(first[-1]) if len(first) else 0, np.uint32)
         of_plain = np.repeat(mask, size)
         ids[of_plain] = flat
-        ids[~of_plain] = np.fromiter((i for x in other for i in x), np.uint32)
+        ids[~of_plain] = np.concatenate([np.empty(0, np.uint32), *other])
         self.first = np.concatenate([self.first, self.first[-1] + first])
         self.ids = np.concatenate([self.ids, ids])
 
@@ -131,7 +134,15 @@ class Encoder:
             flat, stop = self._encode([b"" if k in whole else texts[k] for k in range(i, j)])
             for k in range(i, j):
                 if k in whole:
-                    yield np.asarray(self._ids([texts[k].decode("utf-8", "replace")])[0], np.uint32)
+                    yield self._ids([texts[k].decode("utf-8", "replace")])[0]
                 else:
                     yield flat[stop[k - i]:stop[k - i + 1]]
             i = j
+
+
+def ids_of(batch: pa.RecordBatch, encoder: Encoder, rows: int = 512) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """A batch (id, text) in short pieces: document ids, and each one's token ids with the end id."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part.column(0).to_pylist(), [np.append(x, np.uint32(END)) for x in encoder.encode(words.texts_of(part.column(1)))]
+    words.give_back()
