@@ -20,7 +20,7 @@ from dailycast.llm import common
 #: Shares of documents that hold a term: the band's limits.
 LOW, HIGH = 0.005, 0.2
 #: How many subsets keep one term in how many.
-SUBSETS = ((4, 2), (12, 16), (32, 64))
+SUBSETS = ((4, 4), (8, 16), (52, 128))
 PARTS = sum(n for n, _ in SUBSETS)
 #: A part whose subset keeps no term.
 NONE = "-"
@@ -41,22 +41,38 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
     return sorted(r["term"] for r in band.select("term").collect())  # bounded by mean terms per document / low
 
 
-def parts(found: Column, kept: Column) -> Column:
-    """The fingerprint's parts: hashes of the sorted in-band terms that each subset keeps.
+def _constant(numbers: list[int]) -> Column:
+    """One array literal (the optimiser folds it once; a column per number would be planned one by one)."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
-    A text without in-band terms uses all of its terms, so texts that differ can
-    still be told apart."""
-    own = F.array_sort(F.array_intersect(kept, found))
-    own = F.when(F.size(own) > 0, own).otherwise(F.array_sort(found))
-    out, number = [], 0
-    for many, one_in in SUBSETS:
-        for _ in range(many):
-            number += 1
-            seed = number
-            kept_here = F.filter(own, lambda t: F.xxhash64(t, F.lit(seed)).bitwiseAND(F.lit(one_in - 1)) == 0)  # noqa: B023
-            out.append(kept_here)
-    return F.transform(F.array(*out), lambda a: F.when(F.size(a) == 0, F.lit(NONE)).otherwise(
-        F.substring(F.lower(F.lpad(F.hex(F.xxhash64(a)), 16, "0")), 9, 8)))
+
+def _kept(found: Column, kept: Column) -> Column:
+    """The sorted distinct in-band terms; a text without any uses all of its terms, so that it still differs from others."""
+    own = F.array_intersect(kept, found)
+    return F.sort_array(F.when(F.size(own) > 0, own).otherwise(found))
+
+
+def _parts(own: Column) -> Column:
+    """The fingerprint's parts: hashes of the sorted terms that each randomised subset keeps."""
+    def keep(terms_: Column, number: Column) -> Column:
+        mask, below = F.lit(SUBSETS[-1][1] - 1), PARTS
+        for many, one_in in reversed(SUBSETS):
+            mask = F.when(number < below, one_in - 1).otherwise(mask)
+            below -= many
+        return F.xxhash64(F.filter(terms_, lambda t: F.xxhash64(t, number).bitwiseAND(mask) == 0))
+
+    # the terms are repeated (by reference) rather than captured, else they would be worked out again for every subset
+    hashes = F.transform(F.array_repeat(own, PARTS), keep)
+    nothing = F.xxhash64(F.array().cast("array<bigint>"))
+    return F.transform(hashes, lambda h: F.when(h == nothing, F.lit(NONE)).otherwise(F.right(F.lower(F.hex(h)), F.lit(8))))
+
+
+def with_parts(rows: DataFrame, texts: list[str], kept: Column) -> DataFrame:
+    """``rows`` with the parts of each text column in its place; step by step, so that each step is worked out once."""
+    rest = [c for c in rows.columns if c not in texts]
+    for step in (terms, lambda c: _kept(c, kept), _parts):
+        rows = rows.select(*rest, *(step(F.col(c)).alias(c) for c in texts))
+    return rows
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,10 +123,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """The parts of every text's fingerprint: doc_id, parts."""
-    kept = F.array(*map(F.lit, lexicon(docs, low, high))).cast("array<bigint>")
+    kept = _constant(lexicon(docs, low, high))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long"), terms(text).alias("found"))
-    return found.select("doc_id", parts(F.col("found"), kept).alias("parts"))
+    return with_parts(docs.select(F.col("doc_id").cast("long"), text.alias("parts")), ["parts"], kept)
 
 
 def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -123,16 +138,15 @@ def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -
     count as empty and share one fingerprint; repeated rows are documents of
     their own; a lone document is its own next one; an empty table gives no rows;
     other columns are not read."""
-    kept = F.array(*map(F.lit, lexicon(docs, low, high))).cast("array<bigint>")
+    kept = _constant(lexicon(docs, low, high))
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half),
                                               F.substring("next_text", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       *(terms(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next_text")))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256",
-                       *(parts(F.col(f"_{c}"), kept).alias(f"_{c}") for c in ("text", "edited", "next_text")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.array_join("_text", ":").alias("fingerprint"),
-                       F.array_join("_edited", ":").alias("edited_fingerprint"),
-                       likeness(F.col("_text"), F.col("_edited")).alias("near_edited"),
-                       likeness(F.col("_text"), F.col("_next_text")).alias("near_next"))
+                       "text", "edited", "next_text")
+    rows = with_parts(rows, ["text", "edited", "next_text"], kept)
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.array_join("text", ":").alias("fingerprint"),
+                       F.array_join("edited", ":").alias("edited_fingerprint"),
+                       likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+                       likeness(F.col("text"), F.col("next_text")).alias("near_next"))
