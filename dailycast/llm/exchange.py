@@ -38,14 +38,20 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """Small numbers in byte planes, compressed."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    """Mostly small numbers, not negative: byte planes (only those in use), compressed."""
+    wide = values.astype("<u8")
+    planes = wide.view(np.uint8).reshape(-1, 8).T[:max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)]
+    head = len(wide).to_bytes(8, "little")
+    return head + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _spread(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel()
+    n = int.from_bytes(data[:8], "little")
+    raw = zstandard.ZstdDecompressor().decompress(data[8:])
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        wide[:, :len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return wide.view("<i8").ravel()
 
 
 def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -67,26 +73,25 @@ def _pack_chunk(chunk: int, ids: list, texts: list[bytes], keys_of: Keys, ranges
     keys, counts = keys_of(h, first)
     low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     at = _bounds(keys, ranges)
-    counts = counts.astype("<u4")
     for r in range(ranges):
         s, e = at[r], at[r + 1]
         if e > s:
-            rows.append((r % parts, ASK, chunk, r, low[s:e].tobytes(), counts[s:e].tobytes(), None, None))
+            rows.append((r % parts, ASK, chunk, r, low[s:e].tobytes(), _squeezed(counts[s:e]), None, None))
     return _rows(rows)
 
 
 def _answers(asked: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
     """Corpus counts for one range, sent back where they differ from the chunk's own count."""
-    sizes = [len(b) // 4 for *_, b in asked]
+    sizes = [len(a) // 6 for *_, a, _ in asked]
     low = np.frombuffer(b"".join(a for *_, a, _ in asked), np.uint8).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :6] = low
     keys = wide.view("<u8").ravel()
-    own = np.frombuffer(b"".join(b for *_, b in asked), "<u4")
+    own = np.concatenate([_spread(b) for *_, b in asked])
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
-    sums = np.add.reduceat(own[order].astype(np.int64), first)
+    sums = np.add.reduceat(own[order], first)
     total = np.empty(len(keys), np.int64)
     total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
     rows, at = [], 0
@@ -94,7 +99,8 @@ def _answers(asked: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
         there = total[at:at + size]
         differs = np.flatnonzero(there != own[at:at + size])
         if len(differs):
-            rows.append((dest, ASK, chunk, part, differs.astype("<u4").tobytes(), there[differs].astype("<i8").tobytes(), None, None))
+            more = there[differs] - own[at:at + size][differs]
+            rows.append((dest, ASK, chunk, part, _squeezed(np.diff(differs, prepend=0)), _squeezed(more), None, None))
         at += size
     return _rows(rows)
 
@@ -108,18 +114,18 @@ class Chunk:
         known = np.frombuffer(a[docs * 8:], bool)
         self.ids = [int(i) if k else None for i, k in zip(np.frombuffer(a[:docs * 8], np.int64), known)]
         self.words = np.frombuffer(b, np.uint64)[_spread(c)]
-        self.first = np.concatenate([[0], np.cumsum(_spread(d).astype(np.int64))])
+        self.first = np.concatenate([[0], np.cumsum(_spread(d))])
 
     def corpus_counts(self, keys: np.ndarray, counts: np.ndarray, answers: list[tuple[int, bytes, bytes]], ranges: int) -> np.ndarray:
         total = counts.astype(np.int64)
         at = _bounds(keys, ranges)
-        for part, places, values in answers:
-            total[at[part] + np.frombuffer(places, "<u4")] = np.frombuffer(values, "<i8")
+        for part, places, more in answers:
+            total[at[part] + np.cumsum(_spread(places))] += _spread(more)
         return total
 
 
 def with_corpus_counts(docs: DataFrame, keys_of: Keys, resolve: Callable[[Chunk, Callable[[np.ndarray, np.ndarray], np.ndarray]], pa.RecordBatch],
-                       schema: str, chunk_bytes: int = 6 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                       schema: str, chunk_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Run ``resolve`` on every chunk with a function that gives the corpus counts of its keys.
 
     ``chunk_bytes`` bounds a chunk's text (a longer document is a chunk of its

@@ -32,7 +32,7 @@ def brute(texts, order, alpha=0.4):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("chunk", [40, 6 << 20])
+@pytest.mark.parametrize("chunk", [40, 8 << 20])
 def test_brute_force(spark, docs, order, chunk, monkeypatch):
     rng = random.Random(order)
     texts = [" ".join(rng.choice("a b c D e f g h".split()) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
