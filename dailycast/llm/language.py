@@ -197,7 +197,14 @@ def identify_language(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, per_language: int = 500) -> DataFrame:
-    """``docs`` without texts that are ``und`` or whose language stays below ``least`` (ids should be unique)."""
-    gone = identify_language(docs, per_language).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = gone.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """``docs``, with all of their columns, without texts that are ``und`` or whose best language stays below ``least``."""
+    model = train(docs, per_language)
+    if not model.languages:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (model.predict(t.as_py()) for t in batch.column("text"))
+            yield batch.filter(pa.array([name != UNKNOWN and p >= least for name, p in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -143,21 +143,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, prior: float |
     return fit_nnpu(*sides, prior=min(max(float(prior), 0.01), 0.99))
 
 
+def _scores(model: Model | None, column: pa.Array) -> np.ndarray:
+    """Scores of a column of texts, in pieces of bounded size."""
+    texts = words.texts_of(column)
+    scores, at = np.full(len(texts), 0.5), 0
+    while model is not None and at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= words.SLICE * 4):
+            size += len(texts[end])
+            end += 1
+        scores[at:end] = model.score(features(texts[at:end]))
+        at = end
+    words.give_back()
+    return scores
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every document (without a model: score 0.5)."""
     common.python_ready(docs.sparkSession)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = words.texts_of(batch.column("text"))
-            scores, at = np.full(len(texts), 0.5), 0
-            while model is not None and at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= words.SLICE * 4):
-                    size += len(texts[end])
-                    end += 1
-                scores[at:end] = model.score(features(texts[at:end]))
-                at = end
+            scores = _scores(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores),
                                               pa.array((scores >= threshold).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
@@ -178,6 +185,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the documents predicted bad (ids should be unique; rows with a NULL id stay)."""
-    bad = classify_quality(docs, labels, sample, threshold).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_id"), "left_anti")
+    """``docs``, with all of their columns, without the documents predicted bad.  Without a model all stay."""
+    model = train(docs, labels, sample)
+    if model is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column("text")) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
