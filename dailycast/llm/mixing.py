@@ -74,13 +74,15 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epoch
     The document at a source's cut keeps its first words only (its text up to the
     last of them).  Rows are joined by doc_id, so ids should be unique; documents
     without words are kept once, since no budget decides on them."""
-    plan = mix(docs, weights, epochs, seed).select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
+    plan = mix(docs, weights, epochs, seed).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
+                                                   F.col("taken").alias("_taken")).dropDuplicates(["_id"])
     both = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.ceil(F.col("_taken") / F.col("_size"))).cast("int")
     both = both.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
+    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({common.WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
-    text = F.when(left < F.col("size"), part).otherwise(F.col("text"))
-    out = {"text": text} | ({"n_chars": F.when(left < F.col("size"), F.length(part)).otherwise(F.col("n_chars"))}
-                            if "n_chars" in docs.columns else {})
+    cut = left < F.col("_size")
+    out = {"text": F.when(cut, part).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(cut, F.length(part).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return both.withColumns(out).select(*docs.columns)

@@ -1,19 +1,8 @@
-import os
-import sys
+"""Shared by the tests of the training-data operators (the ``spark`` fixture is the whole suite's)."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-from dailycast.session import build_session  # noqa: E402
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    s = build_session("local[4]", shuffle_partitions=4,
-                      extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
-    yield s
-    s.stop()
+WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
 @pytest.fixture
@@ -24,6 +13,3 @@ def docs(spark):
         data = [(i, t, "en", f"s{(i or 0) % 3}", None if t is None else len(t), 1, "x") for i, t in data]
         return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, size int, key string")
     return make
-
-
-WORDS = "[^\\x20\\x09-\\x0D]+"

@@ -2,7 +2,8 @@ import random
 import re
 
 import pytest
-from conftest import WORDS
+
+from helpers_llm import WORDS, docs  # noqa: F401
 
 from dailycast.llm import graph, jaccard
 

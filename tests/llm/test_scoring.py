@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import WORDS
+
+from helpers_llm import WORDS, docs  # noqa: F401
 
 from dailycast.llm import scoring
 
