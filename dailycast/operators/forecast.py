@@ -111,6 +111,11 @@ class ForecastSpec:
     weekend_days: Sequence[int] = WEEKEND_DAYS
     min_history: int = MIN_HISTORY_ROWS
 
+    def months(self) -> list[str]:
+        """The months (``yyyy-MM``) from ``start`` to ``end``."""
+        a, b = (dt.date.fromisoformat(str(x)[:10]) for x in (self.start, self.end))
+        return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(a.year * 12 + a.month - 1, b.year * 12 + b.month)]
+
 
 def _period_end(anchor_period: Mapping) -> Column | None:
     y, m = anchor_period.get("year"), anchor_period.get("month")
@@ -141,6 +146,10 @@ def forecast_state(features: DataFrame, spec: ForecastSpec, keep: int = HISTORY_
         end = _period_end(spec.anchor_period)
         if end is not None:
             df = df.where(F.col(DATE) < end)             # rows after the period never matter
+        else:                                            # the same month of any year: up to its last row
+            inside = F.when(period_condition(**spec.anchor_period), F.col(DATE))
+            df = (df.withColumn("_anchor", F.max(inside).over(Window.partitionBy(OUTLET)))
+                  .where(F.col(DATE) <= F.col("_anchor")).drop("_anchor"))
     w = Window.partitionBy(OUTLET).orderBy(F.col(DATE).desc())
     ranked = df.withColumn("_rn", F.row_number().over(w))
     top = ranked.where(F.col("_rn") <= keep)

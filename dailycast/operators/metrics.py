@@ -65,8 +65,9 @@ def compare_models(pred: DataFrame, predictions: Mapping[str, str], label: str =
     wide = pred.agg(*aggs)
     cols = {}
     for i in range(len(names)):
-        cols.update(_finish(f"m{i}_", digits))
-    wide = wide.withColumns(cols)
+        cols.update(_finish(f"m{i}_", None))
+    wide = wide.withColumns(cols)          # the winner is decided on these; rounding is for the output
+    r = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     rmses = [F.col(f"m{i}_rmse") for i in range(len(names))]
     best = F.least(*rmses) if len(rmses) > 1 else rmses[0]
     n_best = sum((F.when(r == best, 1).otherwise(0) for r in rmses), F.lit(0))
@@ -75,8 +76,8 @@ def compare_models(pred: DataFrame, predictions: Mapping[str, str], label: str =
         winner = winner.when(rmses[i] == best, F.lit(name))
     wide = wide.withColumn("winner", winner)
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("Model"), F.col(f"m{i}_mae").alias("MAE"),
-                 F.col(f"m{i}_rmse").alias("RMSE"), F.col(f"m{i}_r2").alias("r2"))
+        F.struct(F.lit(name).alias("Model"), r(F.col(f"m{i}_mae")).alias("MAE"),
+                 r(F.col(f"m{i}_rmse")).alias("RMSE"), r(F.col(f"m{i}_r2")).alias("r2"))
         for i, name in enumerate(names)]))
     return wide.select(stacked.alias("m"), "test_size", "winner").select("m.*", "test_size", "winner")
 

@@ -72,9 +72,10 @@ def period_split(df: DataFrame, train_period: dict | None, test_period: dict) ->
 
 def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
                      layout: str = "window") -> DataFrame:
-    """M4: per outlet, exactly ``ceil(n * test_size)`` rows (exact decimal
-    arithmetic) go to test, chosen by a seeded hash of (Outlet, Date):
-    repeatable and exact per stratum.
+    """M4: ``ceil(n * test_size)`` of all n rows go to test (exact decimal
+    arithmetic), chosen by a seeded hash of (Outlet, Date).  Each outlet gives
+    the whole part of its share; what is left goes to the largest remainders
+    (ties by outlet name), and every outlet keeps at least one training row.
 
     ``layout="window"``: one window per outlet (a stratum of a daily table
     holds one row per date).  ``layout="buckets"``: ranks come from
@@ -83,17 +84,31 @@ def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed:
     key = F.md5(F.concat_ws("|", F.col(OUTLET), _micros().cast("string"), F.lit(str(seed))))
     frac = F.lit(Decimal(str(test_size)))
     d = df.withColumn("_h", key)
+    quotas = _quotas(df.groupBy(OUTLET).agg(F.count(F.lit(1)).alias("_n")), frac)
     if layout == "buckets":
-        ranked = rank_in_group(d, OUTLET, ["_h", DATE], F.substring("_h", 1, 4), "_rank", "_size")
+        ranked = rank_in_group(d, OUTLET, ["_h", DATE], F.substring("_h", 1, 4), "_rank")
     elif layout == "window":
         w = Window.partitionBy(OUTLET)
-        ranked = (d.withColumn("_rank", F.row_number().over(w.orderBy("_h", DATE)))
-                  .withColumn("_size", F.count(F.lit(1)).over(w)))
+        ranked = d.withColumn("_rank", F.row_number().over(w.orderBy("_h", DATE)))
     else:
         raise ValueError("layout must be 'window' or 'buckets'")
-    quota = F.ceil(F.col("_size") * frac)
-    return (ranked.withColumn(SPLIT, F.when(F.col("_rank") <= quota, "test").otherwise("train"))
-            .drop("_h", "_rank", "_size"))
+    columns = [c for c in df.columns]
+    return (ranked.join(quotas, F.col(OUTLET).eqNullSafe(F.col("_outlet")))
+            .select(*columns, F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train").alias(SPLIT)))
+
+
+def _quotas(counts: DataFrame, frac: Column) -> DataFrame:
+    """Test rows per outlet by largest remainder (one row per outlet)."""
+    whole = F.floor(F.col("_n") * frac).cast("long")
+    part = F.col("_n") * frac - whole
+    free = F.least(whole, F.col("_n") - 1)
+    total = F.sum("_n").over(Window.partitionBy())
+    base = counts.select(F.col(OUTLET).alias("_outlet"), "_n", free.alias("_free"), part.alias("_part"),
+                         (F.ceil(total * frac).cast("long") - F.sum(free).over(Window.partitionBy())).alias("_left"))
+    may = F.col("_free") < F.col("_n") - 1
+    order = Window.orderBy(may.desc(), F.col("_part").desc(), "_outlet")
+    return base.select("_outlet", (F.col("_free") + F.when(may & (F.row_number().over(order) <= F.col("_left")), 1).otherwise(0))
+                       .alias("_quota"))
 
 
 def split_report(split_df: DataFrame) -> DataFrame:
@@ -107,6 +122,12 @@ def split_report(split_df: DataFrame) -> DataFrame:
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
+def period_of_name(name: str | None) -> dict | None:
+    """The (year, month) of a name such as ``jan_2025``; None for the other names."""
+    m = re.fullmatch(r"([a-z]{3})_(\d{4})", (name or "").lower())
+    return {"year": int(m.group(2)), "month": _MONTHS.index(m.group(1)) + 1} if m and m.group(1) in _MONTHS else None
+
+
 def resolve_named_period(df: DataFrame, name: str | None, materialize_input: bool = True) -> DataFrame:
     """``None``/``full`` -> all rows; ``<n>months`` -> the last n months
     before the latest Date; ``mon_yyyy`` (e.g. ``jan_2025``) -> that month.
@@ -121,11 +142,11 @@ def resolve_named_period(df: DataFrame, name: str | None, materialize_input: boo
         latest = df.agg(F.max(DATE)).first()[0]          # one scalar
         if latest is None:
             return df
-        bound = F.add_months(ntz_literal(latest), -int(m.group(1))).cast("timestamp_ntz")
+        bound = ntz_literal(latest) - F.make_ym_interval(F.lit(0), F.lit(int(m.group(1))))
         return df.where(F.col(DATE) >= bound)
-    m = re.fullmatch(r"([a-z]{3})_(\d{4})", name.lower())
-    if m and m.group(1) in _MONTHS:
-        return filter_by_period(df, year=int(m.group(2)), month=_MONTHS.index(m.group(1)) + 1)
+    period = period_of_name(name)
+    if period:
+        return filter_by_period(df, **period)
     raise ValueError(f"Unknown training period: {name!r}")
 
 

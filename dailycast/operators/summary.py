@@ -104,8 +104,9 @@ def daily_total_forecast(daily_pred: DataFrame, digits: int | None = None) -> Da
             .agg(_total(PREDICTED, digits).alias("total_prediction")))
 
 
-def outlet_month_series(monthly: DataFrame) -> DataFrame:
+def outlet_month_series(monthly: DataFrame, months: list[str] | None = None) -> DataFrame:
     """One row per outlet, one column per month (``yyyy-MM``) holding its
-    predicted total.  The pivot's month list is the horizon's months."""
-    return (monthly.groupBy(OUTLET).pivot("Month")
+    predicted total.  ``months`` are the horizon's months (``ForecastSpec.months``);
+    without them Spark runs ``monthly`` once more to find them."""
+    return (monthly.groupBy(OUTLET).pivot("Month", months)
             .agg(F.first("Predicted Monthly Sales")))

@@ -415,7 +415,8 @@ def q_daily_total(spark, sf):
 @register("outlet_month_pivot")
 def q_outlet_month(spark, sf):
     """A14 (pivot form): one column per forecast month."""
-    return sm.outlet_month_series(sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS))
+    return sm.outlet_month_series(sm.monthly_forecast(_forecast_user(spark, sf), digits=sm.REPORT_DIGITS),
+                                  FORECAST_EVENTS.months())
 
 
 @register("stack_forecasts")
@@ -437,18 +438,11 @@ FLAGSHIP = "monthly_forecast"
 TRAIN_ROUNDS = {"n_estimators": 20, "iterations": 20}
 
 
-_FITTED: dict = {}
-
-
 def _train(spark, sf, model_type, **kw):
-    """Train on the per-user features; a fit with the same inputs in the same
-    application is reused (models are deterministic for a fixed seed)."""
+    """Train on the per-user features (deterministic for a fixed seed)."""
     from dailycast.plans import train as trn
     hp = dict(TRAIN_ROUNDS, **kw.pop("hyperparams", {}))
-    key = (spark.sparkContext.applicationId, sf, model_type, repr(sorted(hp.items())), repr(sorted(kw.items())))
-    if key not in _FITTED:
-        _FITTED[key] = trn.train(_features_user(spark, sf), model_type, hyperparams=hp, **kw)
-    return _FITTED[key]
+    return trn.train(_features_user(spark, sf), model_type, hyperparams=hp, **kw)
 
 
 @register("train_xgboost_profile")
@@ -476,11 +470,13 @@ def q_train_period(spark, sf):
 
 @register("hyperparam_override")
 def q_override(spark, sf):
-    """M7: registry-style names override the defaults (depth 4, lr 0.1)."""
-    from dailycast.plans import train as trn
+    """M7: registry-style names override the defaults (depth 4, lr 0.1); what
+    the fitted model has of them, with the number of test rows it scored."""
     res = _train(spark, sf, "xgboost", hyperparams={"xgboost_max_depth": 4, "xgboost_learning_rate": 0.1})
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(res.hyperparameters.items())],
-                                 "name string, value string")
+    trees = res.gbt.trees
+    return spark.createDataFrame([(len(trees), max(t.depth for t in trees), float(res.gbt.getStepSize()),
+                                   res.metrics["test_size"])],
+                                 "n_trees long, depth long, learning_rate double, test_rows long")
 
 
 @register("early_stopping")
@@ -550,11 +546,11 @@ def q_forecast_gbt(spark, sf):
 
 @register("forecast_gbt_script")
 def q_forecast_gbt_script(spark, sf):
-    """M13 scored by the catboost profile trained on January (legacy features)."""
+    """M13 scored by the catboost profile trained on all January rows (legacy features)."""
     from dailycast.plans import train as trn
     from dailycast.plans import tree_forecast as tf
     f = feat.legacy_features(td.events_by_user(spark, sf))
-    res = trn.train(f, "catboost", train_period={"year": 2024, "month": 1}, hyperparams=TRAIN_ROUNDS)
+    res = trn.train(f, "catboost", train_period={"year": 2024, "month": 1}, hyperparams=TRAIN_ROUNDS, test_size=0.0)
     return sm.horizon_total(tf.forecast_with_trees(f, res.model, FORECAST_SCRIPT), "Predicted February 2024 Sales")
 
 
@@ -596,6 +592,57 @@ def q_forecast_job(spark, sf):
         .csv(out.monthly_path)
 
 
+@register("training_job_rows")
+def q_training_job_rows(spark, sf):
+    """What a job over January records: period, test rows (rows
+    with NULL lags count), and the range of the whole input."""
+    import datetime as dt
+
+    from dailycast.plans import jobs
+    from dailycast.sources import modelstore as ms
+    root = _store(spark, "store")
+    info = jobs.training_job(spark, td.events_by_user(spark, sf), root, "xgboost", "jan_2024",
+                             hyperparams={"n_estimators": 2, "max_depth": 3}, now=dt.datetime(2024, 2, 1))
+    return ms.model_metrics(spark, root, info["model_name"]).select(
+        "model_name", F.col("training_period.year").alias("year"), F.col("training_period.month").alias("month"),
+        "test_size", F.col("data_range.train_start").alias("train_start"), F.col("data_range.train_end").alias("train_end"))
+
+
+@register("forecast_job_keys")
+def q_forecast_job_keys(spark, sf):
+    """Outlets and months of a job's written forecast over the default
+    range (30 days from ``now``); outlets with NULL lags are there too."""
+    import datetime as dt
+
+    from dailycast.plans import jobs
+    root = _store(spark, "store")
+    tx, now = td.events_by_user(spark, sf), dt.datetime(2024, 1, 31)
+    info = jobs.training_job(spark, tx, root, "xgboost", hyperparams={"n_estimators": 2, "max_depth": 3}, now=now)
+    out = jobs.forecast_job(spark, tx, root, info["model_name"], now=now)
+    return out.daily.groupBy("outlet", F.date_format("date", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("n_days"), F.count_if(F.col("prediction").isNull()).alias("n_null"))
+
+
+@register("predict_test_keys")
+def q_predict_keys(spark, sf):
+    """Every test row gets a prediction: keys, and whether it is NULL."""
+    return q_predict(spark, sf).select("Outlet", "Date", F.col("prediction").isNull().alias("is_null"))
+
+
+@register("feature_importance_total")
+def q_importance_total(spark, sf):
+    """The importances of all 12 features sum to 1."""
+    from dailycast.plans import train as trn
+    imp = trn.feature_importance(spark, _train(spark, sf, "xgboost"), 100)
+    return imp.agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+@register("daily_sales_fractional")
+def q_daily_fractional(spark, sf):
+    """A1 on amounts with six decimals (charges with tax, not rounded)."""
+    return feat.daily_sales(td.charges(spark, sf))
+
+
 @register("prediction_history")
 def q_history(spark, sf):
     """Forecast files written under a store, newest name first."""

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from dailycast.operators.features import daily_sales, prepare_features
 from dailycast.operators.forecast import ForecastSpec
 from dailycast.operators.select import api_daily, api_predictions, filter_date_range, filter_outlet, preview
-from dailycast.operators.split import resolve_named_period
+from dailycast.operators.split import period_of_name, resolve_named_period
 from dailycast.operators.summary import api_monthly_summary
-from dailycast.plans.train import train
+from dailycast.plans.train import NULL_SENTINEL, train
 from dailycast.plans.tree_forecast import TreeEnsemble, forecast_with_trees
-from dailycast.schema import MODEL_TYPES, PREVIEW_ROWS
+from dailycast.schema import DATE, DEFAULT_TEST_SIZE, MODEL_TYPES, PREVIEW_ROWS
+from dailycast.session import materialize
 from dailycast.sources import modelstore as ms
 
 PREDICTION_SCHEMA = "outlet string, date timestamp_ntz, prediction double"
@@ -26,20 +27,31 @@ PREDICTION_SCHEMA = "outlet string, date timestamp_ntz, prediction double"
 
 def training_job(spark: SparkSession, tx: DataFrame, root: str, model_type: str = "xgboost",
                  training_period: str | None = None, hyperparams: dict | None = None,
-                 now: dt.datetime | None = None, nulls: str = "drop") -> dict:
+                 now: dt.datetime | None = None, nulls: str = "sentinel",
+                 test_size: float = DEFAULT_TEST_SIZE) -> dict:
     """Features (no NULL-row drop, API path) -> named period (M20) ->
     train -> save model + metadata -> register.  The model is named
-    ``{type}_{period or full}_{yyyymmdd_HHMMSS}``."""
+    ``{type}_{period or full}_{yyyymmdd_HHMMSS}``.
+
+    Rows with NULL lags are kept, so outlets with a short history train too,
+    and the encoder knows every outlet of the input.  Metadata and registry
+    hold the period (year and month of a name like ``jan_2025``; any name also
+    as the hyper-parameter ``training_period``) and the whole input's range."""
     if model_type not in MODEL_TYPES:
-        raise ValueError("Invalid model type. Use 'xgboost' or 'catboost'")
+        raise ValueError(f"unknown model type {model_type!r}; known: {', '.join(MODEL_TYPES)}")
     now = now or dt.datetime.now()
     period = training_period or "full"
-    feats = resolve_named_period(prepare_features(tx, drop_nans=False), training_period)
-    result = train(feats, model_type, hyperparams=hyperparams, nulls=nulls, now=now)
+    everything = materialize(prepare_features(tx, drop_nans=False))
+    whole = everything.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
+    named = period_of_name(training_period)
+    feats = everything if named else resolve_named_period(everything, training_period, materialize_input=False)
+    result = train(feats, model_type, train_period=named, hyperparams=hyperparams, nulls=nulls, now=now, test_size=test_size,
+                   materialize_input=False, outlets=everything, data_range=tuple(whole))
+    result.metadata["hyperparameters"]["training_period"] = period
     name = f"{model_type}_{period}_{now:%Y%m%d_%H%M%S}"
     ms.save_model(spark, result.model, result.metadata, root, name)
-    ms.register(spark, root, [{"model_type": model_type, "model_name": name[len(model_type) + 1:],
-                               "hyperparameters": result.hyperparameters}], now=now)
+    ms.register(spark, root, [{"model_type": model_type, "model_name": name[len(model_type) + 1:], "training_period": named,
+                               "test_size": test_size, "hyperparameters": result.metadata["hyperparameters"]}], now=now)
     return {"status": "success", "model_name": name, "model_type": model_type,
             "metrics": result.metrics, "training_period": period, "timestamp": now.isoformat()}
 
@@ -78,7 +90,8 @@ def forecast_job(spark: SparkSession, tx: DataFrame, root: str, model_name: str,
     gbt = model.stages[-1]
     ens = TreeEnsemble.from_gbt(spark, gbt, path=f"{meta['model_path']}/stages/*_{gbt.uid}")
     feats = prepare_features(tx, drop_nans=False)
-    daily = forecast_with_trees(feats, model, ForecastSpec(start=start, end=end, outlet=outlet), ens)
+    fill = float(meta["hyperparameters"].get("null_sentinel", NULL_SENTINEL))
+    daily = forecast_with_trees(feats, model, ForecastSpec(start=start, end=end, outlet=outlet), ens, fill)
     path = f"{root}/predictions/{ms.prediction_file_name(model_name, start, end)}"
     ms.write_table(api_predictions(daily), path, "csv")
     written = spark.read.schema(PREDICTION_SCHEMA).option("header", True).csv(path)

@@ -32,15 +32,15 @@ TX = {
 
 DAILY = """daily AS (
   SELECT Outlet, Date,
-         CAST(coalesce(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))), 0) AS DOUBLE) AS "Total Sales Amount",
-         CAST(coalesce(sum(CAST("Total Discount" AS DECIMAL(18,2))), 0) AS DOUBLE) AS "Total Discount"
+         CAST(coalesce(sum(CAST("Total Sales Amount" AS DECIMAL(28,8))), 0) AS DOUBLE) AS "Total Sales Amount",
+         CAST(coalesce(sum(CAST("Total Discount" AS DECIMAL(28,8))), 0) AS DOUBLE) AS "Total Discount"
   FROM tx WHERE Outlet IS NOT NULL AND Date IS NOT NULL
   GROUP BY Outlet, Date)"""
 
 
 def _ma(n: int, full: bool) -> str:
     frame = f"(PARTITION BY Outlet ORDER BY Date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    s = f'CAST(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))) OVER {frame} AS DOUBLE)'
+    s = f'CAST(sum(CAST("Total Sales Amount" AS DECIMAL(28,8))) OVER {frame} AS DOUBLE)'
     c = f'count("Total Sales Amount") OVER {frame}'
     cond = f"{c} = {n}" if full else f"{c} > 0"
     return f"CASE WHEN {cond} THEN {s} / {c} END AS ma_{n}"
@@ -113,7 +113,7 @@ sql("lag_features_full_window", features_sql("events_user", drop=True, full=True
 
 def _ma_excl(n: int) -> str:
     frame = f"(PARTITION BY Outlet ORDER BY Date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-    s = f'CAST(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))) OVER {frame} AS DOUBLE)'
+    s = f'CAST(sum(CAST("Total Sales Amount" AS DECIMAL(28,8))) OVER {frame} AS DOUBLE)'
     c = f'count("Total Sales Amount") OVER {frame}'
     return f"CASE WHEN {c} > 0 THEN {s} / {c} END AS ma_{n}"
 
@@ -143,7 +143,7 @@ def _summary_sql(adapter: str) -> str:
     return with_ctes(TX[adapter]) + """,
 day_tot AS (
   SELECT CAST(Date AS DATE) AS d,
-         CAST(sum(CAST("Total Sales Amount" AS DECIMAL(18,2))) AS DOUBLE) AS v
+         CAST(sum(CAST("Total Sales Amount" AS DECIMAL(28,8))) AS DOUBLE) AS v
   FROM tx WHERE Outlet IS NOT NULL AND Date IS NOT NULL GROUP BY 1)
 SELECT (SELECT count(*) FROM tx) AS total_records,
        (SELECT min(Date) FROM tx) AS start,
@@ -179,10 +179,15 @@ SELECT split, count(*) AS n_rows, min(Date) AS min_date, max(Date) AS max_date F
 sql("stratified_split", features_sql("events_user") + """,
 r AS (SELECT Outlet, Date, "Total Sales Amount",
              row_number() OVER (PARTITION BY Outlet
-               ORDER BY md5(Outlet || '|' || CAST(epoch_us(Date) AS VARCHAR) || '|' || '42'), Date) AS rk,
-             ceil(count(*) OVER (PARTITION BY Outlet) * 0.2) AS quota
-      FROM feat)
-SELECT Outlet, Date, "Total Sales Amount", CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split FROM r""")
+               ORDER BY md5(Outlet || '|' || CAST(epoch_us(Date) AS VARCHAR) || '|' || '42'), Date) AS rk
+      FROM feat),
+n AS (SELECT Outlet, count(*) AS n, least(floor(count(*) * 0.2), count(*) - 1) AS free,
+             count(*) * 0.2 - floor(count(*) * 0.2) AS part FROM feat GROUP BY Outlet),
+q AS (SELECT Outlet, free + CASE WHEN free < n - 1
+               AND row_number() OVER (ORDER BY free < n - 1 DESC, part DESC, Outlet)
+                   <= ceil(sum(n) OVER () * 0.2) - sum(free) OVER () THEN 1 ELSE 0 END AS quota FROM n)
+SELECT Outlet, Date, "Total Sales Amount", CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split
+FROM r JOIN q USING (Outlet)""")
 sql("named_period_3months", features_sql("retail") +
     "SELECT * FROM feat WHERE Date >= (SELECT max(Date) - INTERVAL 3 MONTH FROM feat)")
 sql("named_period_month", features_sql("retail") +
@@ -236,7 +241,7 @@ SELECT 'naive' AS base_model, 'blend' AS other_model,
        CASE WHEN (nb.MAE - bl.MAE) / nb.MAE * 100 > 0 THEN 'blend' ELSE 'naive' END AS better_model
 FROM nb, bl""")
 sql("actual_vs_predicted", _TEST + """
-SELECT Outlet, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) AS "Actual Sales",
+SELECT Outlet, CAST(sum(CAST(y AS DECIMAL(28,8))) AS DOUBLE) AS "Actual Sales",
        round(sum(blend), 4) AS "Predicted Sales" FROM test GROUP BY Outlet""")
 
 
@@ -340,7 +345,8 @@ sql("daily_total_forecast", forecast_sql(*_FC_USER) + """
 SELECT date_trunc('day', Date) AS date, round(sum("Predicted Sales"), 4) AS total_prediction FROM fc GROUP BY 1""")
 sql("outlet_month_pivot", forecast_sql(*_FC_USER, """m AS (
   SELECT Outlet, strftime(Date, '%Y-%m') AS Month, round(sum("Predicted Sales"), 4) AS v FROM fc GROUP BY ALL)""")
-    + "SELECT * FROM (PIVOT m ON Month USING first(v) GROUP BY Outlet)")
+    + """SELECT Outlet, max(v) FILTER (WHERE Month = '2024-01') AS "2024-01",
+       max(v) FILTER (WHERE Month = '2024-02') AS "2024-02" FROM m GROUP BY Outlet""")
 sql("stack_forecasts", forecast_sql(*_FC_USER, *forecast_ctes("events_user", WEEKLY_TERMS, "2024-01-31",
                                                              "2024-02-29", name="fw", with_base=False))
     + """SELECT *, 'blend' AS model FROM fc UNION ALL SELECT *, 'weekly' AS model FROM fw""")
@@ -361,3 +367,24 @@ sql("forecast_daily_fulldata", forecast_sql(*forecast_ctes("events_user", WEEKLY
 sql("forecast_event_types", forecast_sql(*forecast_ctes("events_type", WEEKLY_TERMS, "2024-01-31", "2024-02-29"))
     + "SELECT * FROM fc")
 sql("prepare_features_exact_auto", ORACLE_SQL["prepare_features_exact_blocks"])
+sql("daily_sales_fractional", """
+SELECT CAST(l_suppkey AS VARCHAR) AS Outlet, CAST(l_shipdate AS TIMESTAMP) AS Date,
+       CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(28,8))) AS DOUBLE) AS "Total Sales Amount",
+       CAST(0 AS DOUBLE) AS "Total Discount"
+FROM lineitem GROUP BY ALL""")
+_CUT_KEPT = "(SELECT quantile_cont(epoch_us(Date), 0.8) FROM feat WHERE year(Date) = 2024 AND month(Date) = 1)"
+sql("training_job_rows", features_sql("events_user", drop=False) + f"""
+SELECT 'xgboost_jan_2024_20240201_000000' AS model_name, 2024 AS year, 1 AS month,
+       count(*) FILTER (WHERE year(Date) = 2024 AND month(Date) = 1 AND epoch_us(Date) >= {_CUT_KEPT}) AS test_size,
+       min(Date) AS train_start, max(Date) AS train_end FROM feat""")
+sql("forecast_job_keys", forecast_sql(*forecast_ctes("events_user", WEEKLY_TERMS, "2024-01-31", "2024-03-01")) + """
+SELECT Outlet AS outlet, strftime(Date, '%Y-%m') AS month, count(*) AS n_days, CAST(0 AS BIGINT) AS n_null
+FROM fc GROUP BY ALL""")
+sql("predict_test_keys", features_sql("events_user") + f"""
+SELECT Outlet, Date, false AS is_null FROM feat WHERE epoch_us(Date) >= {_CUT}""")
+sql("feature_importance_total", """
+SELECT CAST(12 AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total FROM (SELECT count(*) FROM events)""")
+sql("hyperparam_override", features_sql("events_user") + f"""
+SELECT CAST(20 AS BIGINT) AS n_trees, CAST(4 AS BIGINT) AS depth, CAST(0.1 AS DOUBLE) AS learning_rate,
+       count(*) AS test_rows FROM feat WHERE epoch_us(Date) >= {_CUT}""")

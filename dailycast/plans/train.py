@@ -56,7 +56,7 @@ from dailycast.schema import (
 VECTOR = "features"
 PREDICTION = "prediction"
 OUTLET_NUM = "Outlet_num"
-NULL_SENTINEL = -1.0   # below every amount: a sentinel goes left at every split
+NULL_SENTINEL = -1.0   # default fill of NULL features; training measures one below every value instead
 # A nominal split needs maxBins >= #categories, and split statistics grow with
 # bins x nodes per level; beyond this many outlets use the numeric code.
 MAX_NOMINAL_OUTLETS = 4096
@@ -79,7 +79,7 @@ _SPARK_PARAMS = {"maxIter", "stepSize", "maxDepth", "seed", "subsamplingRate", "
 
 def default_hyperparams(model_type: str) -> dict:
     if model_type not in MODEL_TYPES:
-        raise ValueError(f"Model type must be one of {list(MODEL_TYPES)}")
+        raise ValueError(f"unknown model type {model_type!r}; known: {', '.join(MODEL_TYPES)}")
     return dict(CATBOOST_DEFAULTS if model_type == "catboost" else XGBOOST_DEFAULTS)
 
 
@@ -112,14 +112,14 @@ def gbt_params(model_type: str, hyperparams: Mapping | None = None) -> tuple[dic
     return params, spark_params
 
 
-def handle_nulls(df: DataFrame, nulls: str) -> DataFrame:
+def handle_nulls(df: DataFrame, nulls: str, sentinel: float = NULL_SENTINEL) -> DataFrame:
     """Spark trees reject NULL/NaN features: ``drop`` the rows or fill with
-    :data:`NULL_SENTINEL` (``sentinel``)."""
+    ``sentinel`` (a value below every feature value goes left at every split)."""
     cols = [c for c in NUMERIC_FEATURES if c in df.columns]
     if nulls == "drop":
         return df.na.drop("any", subset=cols + [TARGET])
     if nulls == "sentinel":
-        return df.na.fill(NULL_SENTINEL, subset=cols).na.drop("any", subset=[TARGET])
+        return df.na.fill(sentinel, subset=cols).na.drop("any", subset=[TARGET])
     raise ValueError("nulls must be 'drop' or 'sentinel'")
 
 
@@ -152,6 +152,7 @@ class TrainResult:
     hyperparameters: dict
     best_iteration: int | None = None
     iteration_errors: list = field(default_factory=list)
+    sentinel: float = NULL_SENTINEL
 
     @property
     def gbt(self) -> GBTRegressionModel:
@@ -184,24 +185,26 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, s
     the run metadata reports them)."""
     base = materialize(features) if materialize_input else features
     period = period_condition(**train_period) if (train_period and not test_period) else F.lit(True)
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in NUMERIC_FEATURES if c in base.columns]
     per_date = base.groupBy(DATE).agg(
-        F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"))
+        F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"), F.min(F.least(*values)).alias("low"))
     micros = epoch_micros(DATE)
     stats = per_date.agg(
         F.percentile(F.when(F.col("n") > 0, micros), F.lit(1.0 - test_size), F.col("n")).alias("cut"),
-        F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
-    df = handle_nulls(base, nulls)
+        F.min(DATE).alias("a"), F.max(DATE).alias("b"), F.min("low").alias("low")).first()
+    sentinel = min(NULL_SENTINEL, float(stats["low"]) - 1.0) if stats["low"] is not None else NULL_SENTINEL
+    df = handle_nulls(base, nulls, sentinel)
     if test_period:
         split = period_split(df, train_period, test_period)
     elif split_kind == "stratified":
         split = stratified_split(df.where(period), test_size, seed)
     else:
         df = df.where(period)
-        if stats["cut"] is None:
+        if stats["cut"] is None or not test_size:        # no hold-out: fit on every row
             split = df.withColumn(SPLIT, F.lit("train"))
         else:
             split = df.withColumn(SPLIT, F.when(micros < F.lit(stats["cut"]), "train").otherwise("test"))
-    return base, split, (stats["a"], stats["b"])
+    return base, split, (stats["a"], stats["b"]), sentinel
 
 
 def best_iteration(errors: list[float], patience: int = EARLY_STOPPING_PATIENCE) -> int:
@@ -221,17 +224,24 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
           test_period: Mapping | None = None, nulls: str = "drop",
           early_stopping: int | None = None, model_name: str | None = None,
           now: dt.datetime | None = None, split: str = "time",
-          materialize_input: bool = True) -> TrainResult:
+          materialize_input: bool = True, outlets: DataFrame | None = None,
+          data_range: tuple | None = None) -> TrainResult:
     """M9: filter -> split -> encode (on train+test outlets) -> fit -> evaluate
     -> metadata.  ``split="time"`` cuts at the Date quantile (M2),
     ``split="stratified"`` takes a seeded exact 20 % per outlet (M4, as the
     model-comparison script does); a ``test_period`` gives M3.
+    ``test_size=0`` fits on every row (of the period), without a test side.
+    ``outlets``: rows whose outlets the encoder also knows (a job that
+    forecasts outlets without a training row).  ``data_range``: the range to
+    record, if ``features`` are already filtered.  NULL features under
+    ``nulls="sentinel"`` get a value below all others; it is recorded and
+    scoring uses it again.
     ``early_stopping=k`` applies M8 with patience ``k`` on the test rows and
-    refits with the best number of rounds."""
+    refits with the best number of rounds, which the metadata then hold."""
     if split not in ("time", "stratified"):
         raise ValueError("split must be 'time' or 'stratified'")
     params, spark_params = gbt_params(model_type, hyperparams)
-    _, split_df, bounds = _prepare(features, train_period, test_period, test_size, nulls, split,
+    base, split_df, bounds, sentinel = _prepare(features, train_period, test_period, test_size, nulls, split,
                                    int(params.get("random_state", params.get("random_seed", DEFAULT_SEED))),
                                    materialize_input)
     split = split_df
@@ -239,7 +249,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     try:
         train_df = split.where(F.col(SPLIT) == "train")
         test_df = split.where(F.col(SPLIT) == "test")
-        encoder = fit_outlet_encoder(outlet_union(train_df, test_df))
+        encoder = fit_outlet_encoder(outlet_union(train_df, test_df, *([outlets] if outlets is not None else [])))
         model = build_pipeline(model_type, encoder, spark_params).fit(train_df)
         errors, best = [], None
         if early_stopping:
@@ -249,6 +259,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
                 best = best_iteration(errors, early_stopping)
                 if best + 1 < len(errors):
                     spark_params = dict(spark_params, maxIter=best + 1)
+                    params = {k: best + 1 if _NAME_MAP.get(k) == "maxIter" else v for k, v in params.items()}
                     model = build_pipeline(model_type, encoder, spark_params).fit(train_df)
         scored = model.transform(test_df)
         m = evaluate(scored).first().asDict()
@@ -261,12 +272,12 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
         "model_type": model_type,
         "training_period": dict(train_period) if train_period else None,
         "created_at": created,
-        "data_range": {"train_start": bounds[0], "train_end": bounds[1]},
+        "data_range": dict(zip(("train_start", "train_end"), data_range or bounds)),
         "metrics": metrics,
         "features": list(FEATURES),
-        "hyperparameters": {k: str(v) for k, v in params.items()},
+        "hyperparameters": {k: str(v) for k, v in params.items()} | {"null_sentinel": str(sentinel)},
     }
-    return TrainResult(model, model_type, metrics, metadata, params, best, errors)
+    return TrainResult(model, model_type, metrics, metadata, params, best, errors, sentinel)
 
 
 def train_profiles(features: DataFrame, model_types=MODEL_TYPES, **kwargs) -> dict[str, TrainResult]:
@@ -281,14 +292,15 @@ def train_profiles(features: DataFrame, model_types=MODEL_TYPES, **kwargs) -> di
         return {m: f.result() for m, f in futures.items()}
 
 
-def predict(model: PipelineModel, df: DataFrame, nulls: str = "sentinel") -> DataFrame:
-    """Encode Outlet (unseen raises) and score; adds ``prediction``."""
-    return model.transform(handle_nulls(df, nulls)).drop(VECTOR, OUTLET_NUM)
+def predict(model: PipelineModel, df: DataFrame, nulls: str = "sentinel", sentinel: float = NULL_SENTINEL) -> DataFrame:
+    """Encode Outlet (unseen raises) and score; adds ``prediction``.
+    ``sentinel`` is the fill recorded with the model."""
+    return model.transform(handle_nulls(df, nulls, sentinel)).drop(VECTOR, OUTLET_NUM)
 
 
-def forecast_next_day(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def forecast_next_day(model: PipelineModel, rows: DataFrame, sentinel: float = NULL_SENTINEL) -> DataFrame:
     """Score the given rows on the 12 features, no state roll."""
-    return predict(model, rows).select(OUTLET, DATE, PREDICTION)
+    return predict(model, rows, sentinel=sentinel).select(OUTLET, DATE, PREDICTION)
 
 
 def feature_importance(spark, result: TrainResult, top_n: int = DEFAULT_TOP_FEATURES,

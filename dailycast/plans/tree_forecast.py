@@ -143,7 +143,8 @@ class TreeEnsemble:
         return self.value[idx] @ self.weights
 
 
-def forecast_state_for_model(features: DataFrame, model: PipelineModel, spec: ForecastSpec) -> DataFrame:
+def forecast_state_for_model(features: DataFrame, model: PipelineModel, spec: ForecastSpec,
+                             sentinel: float = NULL_SENTINEL) -> DataFrame:
     """State rows encoded by the model's own indexer, NULL features filled
     with the training sentinel, plus the day spine and calendar arrays."""
     state = spread(forecast_state(features, spec))
@@ -153,11 +154,11 @@ def forecast_state_for_model(features: DataFrame, model: PipelineModel, spec: Fo
     def field(c):
         return lambda d: calendar_struct(d, spec.weekend_days)[c]
     cal = {f"cal_{c}": F.transform(days, field(c)) for c in CALENDAR_COLUMNS}
-    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(NULL_SENTINEL))
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel))
             for c in ("lag_1", "lag_7", "lag_14", "ma_7", "ma_14")}
     return state.withColumns(fill).select(
         OUTLET, F.col(OUTLET_CODE).cast("double").alias("code"), *fill.keys(),
-        F.transform("hist", lambda v: F.coalesce(v, F.lit(NULL_SENTINEL))).alias("hist"),
+        F.transform("hist", lambda v: F.coalesce(v, F.lit(sentinel))).alias("hist"),
         days.alias("days"), *[v.alias(k) for k, v in cal.items()])
 
 
@@ -213,13 +214,13 @@ def _roll(ens: TreeEnsemble, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def forecast_with_trees(features: DataFrame, model: PipelineModel, spec: ForecastSpec,
-                        ensemble: TreeEnsemble | None = None) -> DataFrame:
+                        ensemble: TreeEnsemble | None = None, sentinel: float = NULL_SENTINEL) -> DataFrame:
     """M12 scored by the pipeline's GBT: ``Outlet, Date, Predicted Sales``."""
     spark = features.sparkSession
     ship_package(spark)
     ens = ensemble or TreeEnsemble.from_gbt(spark, model.stages[-1])
     bc = spark.sparkContext.broadcast(ens)
-    state = forecast_state_for_model(features, model, spec)
+    state = forecast_state_for_model(features, model, spec, sentinel)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = bc.value

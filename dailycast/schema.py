@@ -92,7 +92,7 @@ MODEL_TYPES = ("catboost", "xgboost")
 
 # Amounts are money with cents; sums run in DECIMAL so that they are exact
 # and independent of the order in which partitions are merged.
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DecimalType(28, 8)
 
 DAILY_SCHEMA = T.StructType([
     T.StructField(OUTLET, T.StringType(), False),

@@ -4,6 +4,7 @@ shared folder that jobs write intermediate tables, models and outputs to."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,6 +50,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="dailycast-")
         spark.sparkContext.setCheckpointDir(base)
     elif spark.sparkContext.getCheckpointDir() is None:

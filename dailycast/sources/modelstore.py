@@ -49,14 +49,13 @@ def prediction_file_name(model_name: str, start: str, end: str) -> str:
 
 def prediction_history(spark: SparkSession, root: str) -> DataFrame:
     """Forecast outputs under ``<root>/predictions`` with size (KB) and
-    modification time, newest name first.  Reads only file metadata columns."""
+    modification time, newest name first.  Lists files; their content is not read."""
     base = f"{root}/predictions"
     if not _exists(spark, base):
         return spark.createDataFrame([], "filename string, created timestamp, size_kb double")
-    files = (spark.read.option("header", True).option("recursiveFileLookup", True).csv(base)
-             .select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"),
-                     F.col("_metadata.file_modification_time").alias("t")).distinct())
-    name = F.regexp_extract("p", r"predictions/([^/]+)/", 1)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+             .select(F.col("path").alias("p"), F.col("length").alias("s"), F.col("modificationTime").alias("t")))
+    name = F.element_at(F.split("p", "/"), -2)      # an output is a folder of part files, empty ones included
     per_output = files.groupBy(name.alias("filename")).agg(
         F.max("t").alias("created"), (F.sum("s") / 1024.0).alias("size_kb"))
     return per_output.orderBy(F.col("filename").desc())
@@ -85,7 +84,7 @@ def save_model(spark: SparkSession, model: PipelineModel, metadata: Mapping, roo
     """Write the PipelineModel and append its metadata row.  Returns
     the paths; raises when there is no model."""
     if model is None:
-        raise ValueError("No model trained. Call train() first.")
+        raise ValueError("there is no fitted model to save")
     path = f"{root}/models/{model_name}"
     model.write().overwrite().save(path)
     meta = dict(metadata, model_name=model_name)
@@ -100,7 +99,7 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     if not _exists(spark, base):
         return spark.createDataFrame([], METADATA_SCHEMA)
     meta = spark.read.schema(METADATA_SCHEMA).parquet(base)
-    w = Window.partitionBy("model_name").orderBy(F.col("created_at").desc())
+    w = Window.partitionBy("model_name").orderBy(F.col("created_at").desc(), F.to_json(F.struct(*meta.columns)).desc())
     return meta.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -147,8 +146,8 @@ def register(spark: SparkSession, root: str, configs: list[Mapping], now: dt.dat
 
 
 def latest_per_key(registry: DataFrame) -> DataFrame:
-    """One row per ``model_key``, the most recently registered."""
-    w = Window.partitionBy("model_key").orderBy(F.col("registered_at").desc())
+    """One row per ``model_key``, the most recently registered (equal times: the greatest row, always the same)."""
+    w = Window.partitionBy("model_key").orderBy(F.col("registered_at").desc(), F.to_json(F.struct(*registry.columns)).desc())
     return registry.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

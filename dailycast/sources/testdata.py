@@ -13,7 +13,7 @@ all pipeline work happens in the operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import day_start
@@ -126,3 +126,13 @@ ADAPTERS = {
 
 def transactions(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
     return ADAPTERS[adapter](spark, sf_dir)
+
+
+def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as transactions of their supplier: the unrounded charge with tax (six decimals)."""
+    def exact(c: str, kind: str) -> Column:
+        return F.col(c).cast(kind)
+    amount = exact("l_extendedprice", "decimal(12,2)") * (1 - exact("l_discount", "decimal(4,2)")) * (1 + exact("l_tax", "decimal(4,2)"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("Outlet"), F.col("l_shipdate").cast("timestamp_ntz").alias("Date"),
+        amount.cast("double").alias("Total Sales Amount"), F.lit(0.0).alias("Total Discount"))

@@ -57,14 +57,16 @@ def scan_transactions(spark: SparkSession, path: str, header: Sequence[str] | No
     """Read a headered transaction CSV with an explicit schema.
 
     Column order comes from ``header`` or from the file's first line; the
-    schema is then applied positionally, so duplicated CSV headers keep the
-    ``name.1`` naming.  A missing path raises (Spark's AnalysisException)."""
+    schema is then applied positionally, and every file's header must equal
+    it, so a file with another column order raises.  Only a header with
+    duplicated names (kept as ``name.1``) cannot be compared and is trusted.
+    A missing path raises (Spark's AnalysisException)."""
     if header is None:
         header = read_header(spark, path)
     schema = transaction_schema(header)
     return (spark.read.schema(schema)
             .option("header", True)
-            .option("enforceSchema", True)
+            .option("enforceSchema", len(set(header)) < len(header))
             .option("mode", "FAILFAST")
             .csv(path))
 
@@ -99,10 +101,13 @@ def drop_columns_if_present(df: DataFrame, columns: Sequence[str] = RAW_DROP_COL
     return df.drop(*[c for c in columns if c in df.columns])
 
 
-def load_transactions(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Scan + drop + parse: the transaction table every job starts from."""
+def load_transactions(spark: SparkSession, path: str, strict: bool = False, fmt: str | None = None,
+                      lenient: bool = False) -> DataFrame:
+    """Scan + drop + parse: the transaction table every job starts from.
+
+    ``fmt`` is the date format of the text (e.g. ``M/d/yyyy``); see :func:`parse_dates`."""
     raw = scan_transactions(spark, path)
     raw = drop_columns_strict(raw) if strict else drop_columns_if_present(raw)
     if DATE in raw.columns:
-        raw = parse_dates(raw)
+        raw = parse_dates(raw, fmt=fmt, lenient=lenient)
     return raw

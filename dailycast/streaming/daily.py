@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dailycast.functions.columns import day_start, money
 from dailycast.operators.features import drop_null_keys, with_discount
 from dailycast.schema import DATE, DISCOUNT, OUTLET, TARGET
+from dailycast.sources import modelstore as ms
 
 
 def partial_daily_sums(tx: DataFrame, grain: str = "exact") -> DataFrame:
@@ -49,7 +50,9 @@ def write_increments(stream_tx: DataFrame, table_path: str, checkpoint_path: str
 
 
 def read_daily(spark: SparkSession, table_path: str) -> DataFrame:
-    """The daily table so far: fold all partial sums (NULL sums -> 0.0)."""
+    """The daily table so far: fold all partial sums (NULL sums -> 0.0); empty before the first batch."""
+    if not ms._exists(spark, table_path):
+        return spark.createDataFrame([], f"{OUTLET} string, {DATE} timestamp_ntz, `{TARGET}` double, `{DISCOUNT}` double")
     parts = spark.read.parquet(table_path)
     return parts.groupBy(OUTLET, DATE).agg(
         F.coalesce(F.sum("s_sales").cast("double"), F.lit(0.0)).alias(TARGET),
