@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dailycast.llm import common
 
 #: Shares of documents that hold a term: the band's limits.
-LOW, HIGH = 0.005, 0.2
+LOW, HIGH = 0.01, 0.2
 #: How many subsets keep one term in how many.
-SUBSETS = ((4, 4), (8, 16), (52, 128))
+SUBSETS = ((4, 4), (32, 128))
 PARTS = sum(n for n, _ in SUBSETS)
 #: A part whose subset keeps no term.
 NONE = "-"
@@ -46,12 +46,6 @@ def _constant(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
 
-def _kept(found: Column, kept: Column) -> Column:
-    """The sorted distinct in-band terms; a text without any uses all of its terms, so that it still differs from others."""
-    own = F.array_intersect(kept, found)
-    return F.sort_array(F.when(F.size(own) > 0, own).otherwise(found))
-
-
 def _parts(own: Column) -> Column:
     """The fingerprint's parts: hashes of the sorted terms that each randomised subset keeps."""
     def keep(terms_: Column, number: Column) -> Column:
@@ -68,11 +62,16 @@ def _parts(own: Column) -> Column:
 
 
 def with_parts(rows: DataFrame, texts: list[str], kept: Column) -> DataFrame:
-    """``rows`` with the parts of each text column in its place; step by step, so that each step is worked out once."""
+    """``rows`` with the parts of each text column in its place.
+
+    The terms are those in the band, sorted; a text without any uses all of its
+    terms, so that it still differs from others.  Each step is a projection of
+    its own, so that none is worked out twice."""
     rest = [c for c in rows.columns if c not in texts]
-    for step in (terms, lambda c: _kept(c, kept), _parts):
-        rows = rows.select(*rest, *(step(F.col(c)).alias(c) for c in texts))
-    return rows
+    rows = rows.select(*rest, *(terms(F.col(c)).alias(c) for c in texts))
+    rows = rows.select(*rest, *texts, *(F.array_intersect(kept, F.col(c)).alias(f"_{c}") for c in texts))
+    rows = rows.select(*rest, *(F.sort_array(F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c))).alias(c) for c in texts))
+    return rows.select(*rest, *(_parts(F.col(c)).alias(c) for c in texts))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,9 +82,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(used) > 0, agree / F.size(used)).otherwise((a == b).cast("double"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _in_block() -> WindowSpec:
+    """Within a block, documents in descending doc_id, then the copy of the next block's first one."""
+    return Window.partitionBy("b").orderBy("copy", F.col("doc_id").desc_nulls_last(), "_h")
+
+
+def with_next(docs: DataFrame, copies: bool = False) -> DataFrame:
     """doc_id, text (NULL: empty) and next_text: the text of the next document in descending doc_id.
 
+    ``copies`` leaves the copied rows in (copy = 1, in the order of ``_in_block``)
+    for other values of the next document.
+
     After the last comes the first.  NULL ids come last; rows of one id follow
     each other by their text's hash.  Texts move once: the ids alone are sorted
     into ranges first, each range's rows meet in one group, and the first row of
@@ -98,7 +105,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.col("_h").alias("h")))
     firsts = sorted(((r["f"][0], r["f"][1] or 0, r["f"]["h"]) for r in keys.groupBy("_part").agg(first.alias("f")).collect()))
     if not firsts:
-        return picked.select("doc_id", "text", F.col("text").alias("next_text"))
+        empty = picked.select("doc_id", "text", F.col("text").alias("next_text"))
+        return empty.withColumns({"b": F.lit(0), "copy": F.lit(0), "_h": F.lit(0)}) if copies else empty
     # one boundary per partition of the shuffle; looked up through two short arrays
     step = max(1, math.isqrt(len(firsts)))
     groups = [firsts[i:i + step] for i in range(0, len(firsts), step)]
@@ -117,8 +125,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     places = F.when(is_first, F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("copy")), F.struct(before.alias("b"), F.lit(1).alias("copy")))).otherwise(
         F.array(F.struct(F.col("_block").alias("b"), F.lit(0).alias("copy"))))
     spread = ranged.withColumn("_place", F.explode(places)).select("doc_id", "text", "_h", "_place.b", "_place.copy")
-    by = Window.partitionBy("b").orderBy("copy", F.col("doc_id").desc_nulls_last(), "_h")
-    return spread.withColumn("next_text", F.lead("text").over(by)).where("copy = 0").select("doc_id", "text", "next_text")
+    rows = spread.withColumn("next_text", F.lead("text").over(_in_block()))
+    return rows if copies else rows.where("copy = 0").select("doc_id", "text", "next_text")
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -139,14 +147,15 @@ def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -
     their own; a lone document is its own next one; an empty table gives no rows;
     other columns are not read."""
     kept = _constant(lexicon(docs, low, high))
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(docs, copies=True).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half),
-                                              F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       "text", "edited", "next_text")
-    rows = with_parts(rows, ["text", "edited", "next_text"], kept)
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("edited", F.when(F.col("copy") == 0, edited).otherwise(F.lit("")))
+    rows = rows.select("b", "copy", "doc_id", "_h", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       "text", "edited")
+    rows = with_parts(rows, ["text", "edited"], kept)
+    rows = rows.withColumn("next_parts", F.lead("text").over(_in_block())).where("copy = 0")
     return rows.select("doc_id", "n_chars", "edited_sha256", F.array_join("text", ":").alias("fingerprint"),
                        F.array_join("edited", ":").alias("edited_fingerprint"),
                        likeness(F.col("text"), F.col("edited")).alias("near_edited"),
-                       likeness(F.col("text"), F.col("next_text")).alias("near_next"))
+                       likeness(F.col("text"), F.col("next_parts")).alias("near_next"))
