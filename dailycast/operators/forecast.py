@@ -174,16 +174,14 @@ def forecast_state(features: DataFrame, spec: ForecastSpec, keep: int = HISTORY_
 
 
 def spread(state: DataFrame) -> DataFrame:
-    """Hash-distribute the per-outlet state over the cluster's task slots
-    (``defaultParallelism``, capped by ``spark.sql.shuffle.partitions``)
-    before CPU-heavy per-outlet work.  The state is one small row per outlet,
+    """Hash-distribute the per-outlet state over ``spark.sql.shuffle.partitions``
+    tasks before CPU-heavy per-outlet work (a setting, not the cores that happen
+    to be there when the plan is made).  The state is one small row per outlet,
     so adaptive execution would otherwise coalesce it by bytes into very few
     tasks; a fixed-count repartition is kept as is.  (A key other than the
     bare Outlet column, so the planner does not drop it as already satisfied
     by the upstream Outlet partitioning.)"""
-    spark = state.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    n = max(1, min(slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return state.repartition(n, F.xxhash64(OUTLET))
 
 

@@ -672,24 +672,27 @@ def q_daily_streaming(spark, sf):
 
 @register("write_outputs")
 def q_write_outputs(spark, sf):
-    """Daily forecast, monthly totals and a model comparison written
-    as CSV to the shared folder; returns the rows read back per output."""
+    """Daily forecast, monthly totals (from the written daily file)
+    and a model comparison written as CSV to the shared folder; returns the
+    rows read back from each."""
+    from dailycast.plans.jobs import PREDICTION_SCHEMA
     from dailycast.sources import modelstore as ms
     root = _store(spark, "outputs")
-    daily = _forecast_user(spark, sf)
-    outputs = {
-        "daily": sel.api_predictions(daily),
-        "monthly": sm.monthly_forecast(daily),
-        "comparison": mt.compare_models(_baseline_predictions(spark, sf),
-                                        {"naive": "naive", "blend": "blend"}),
-    }
-    counts = None
-    for name, df in outputs.items():
-        path = ms.write_table(df, f"{root}/{name}.csv")
-        n = spark.read.option("header", True).csv(path).groupBy().count().select(
-            F.lit(name).alias("output"), F.col("count").alias("n_rows"))
-        counts = n if counts is None else counts.unionByName(n)
-    return counts
+
+    def written(name, df, schema):
+        return spark.read.option("header", True).schema(schema).csv(ms.write_table(df, f"{root}/{name}.csv"))
+
+    daily = written("daily", sel.api_predictions(_forecast_user(spark, sf)), PREDICTION_SCHEMA)
+    monthly = written("monthly", sm.api_monthly_summary(daily.select(
+        F.col("outlet").alias("Outlet"), F.col("date").alias("Date"), F.col("prediction").alias("Predicted Sales"))),
+        "month string, outlet string, prediction double")
+    compared = mt.compare_models(_baseline_predictions(spark, sf), {"naive": "naive", "blend": "blend"})
+    comparison = written("comparison", compared, "Model string, MAE double, RMSE double, r2 double, test_size long, winner string")
+    four = lambda c: F.round(c, sm.REPORT_DIGITS).alias("value")
+    return (daily.select(F.lit("daily").alias("output"), F.col("outlet").alias("name"),
+                         F.date_format("date", "yyyy-MM-dd").alias("period"), four("prediction"))
+            .union(monthly.select(F.lit("monthly"), "outlet", "month", four("prediction")))
+            .union(comparison.select(F.lit("comparison"), "Model", "winner", four("RMSE"))))
 
 
 @register("data_range_iso")

@@ -353,10 +353,18 @@ sql("stack_forecasts", forecast_sql(*_FC_USER, *forecast_ctes("events_user", WEE
 
 sql("daily_sales_streaming", with_ctes(TX["events_user"], DAILY) + "SELECT * FROM daily")
 
-sql("write_outputs", forecast_sql(*_FC_USER) + f"""
-SELECT 'daily' AS output, count(*) AS n_rows FROM fc
-UNION ALL SELECT 'monthly', count(*) FROM (SELECT DISTINCT Outlet, strftime(Date, '%Y-%m') FROM fc)
-UNION ALL SELECT 'comparison', 2""")
+_FULL_ROWS = """featd AS (SELECT * FROM feat WHERE lag_1 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL
+  AND ma_7 IS NOT NULL AND ma_14 IS NOT NULL)"""
+sql("write_outputs", forecast_sql(*_FC_USER, _FULL_ROWS, f"""test AS (
+  SELECT "Total Sales Amount" AS y, lag_1 AS naive, {_BLEND_SQL} AS blend FROM featd
+  WHERE epoch_us(Date) >= (SELECT quantile_cont(epoch_us(Date), 0.8) FROM featd))""",
+    f"""m AS (SELECT 'naive' AS Model, {_metrics('naive', False)} FROM test
+  UNION ALL SELECT 'blend', {_metrics('blend', False)} FROM test)""") + """
+SELECT 'daily' AS output, Outlet AS name, strftime(Date, '%Y-%m-%d') AS period, round("Predicted Sales", 4) AS value FROM fc
+UNION ALL SELECT 'monthly', Outlet, strftime(Date, '%Y-%m'), round(sum("Predicted Sales"), 4) FROM fc GROUP BY ALL
+UNION ALL SELECT 'comparison', Model,
+  CASE WHEN (SELECT count(DISTINCT RMSE) FROM m) = 1 THEN 'similar' ELSE (SELECT arg_min(Model, RMSE) FROM m) END,
+  round(RMSE, 4) FROM m""")
 sql("data_range_iso", with_ctes(TX["retail"]) + """
 SELECT strftime(min(Date), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max(Date), '%Y-%m-%dT%H:%M:%S') AS "end",
        count(*) AS total_records FROM tx""")
