@@ -138,8 +138,10 @@ def train(docs: DataFrame, per_language: int = 500) -> Model:
     usable = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).where(
         "doc_id is not null and lang is not null and text is not null").where(~learning.held_out(F.col("doc_id")))
     idf = inverse_frequencies(usable)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(81), "doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
+    ids = usable.select("doc_id", "lang", F.xxhash64(F.lit(81), "doc_id").alias("_h"))
+    for group in (["lang", F.pmod("_h", F.lit(16))], ["lang"]):  # first in parts of a language, so that none meets in one task whole
+        order = Window.partitionBy(*group).orderBy("_h", "doc_id")
+        ids = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).drop("_r")
     # the ids are bounded by the number of languages times per_language; a repeated id gives each of its rows
     texts = usable.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
