@@ -6,9 +6,10 @@ counts of its own distinct n-grams: their hashes, cut into one block for each
 range of hash values.  The owner of a range adds up the blocks of all chunks
 (a hot n-gram comes once per chunk, however many documents hold it) and answers
 each chunk with the places where the corpus count differs from the chunk's own.
-The chunk's words travel beside the questions and meet the answers again.
+The chunk's words meet the answers: a second scan makes the same chunks again,
+which costs less than to move the words twice.
 
-Hashes have 64 bits.  A block keeps the low 48; the range gives the high ones."""
+Hashes have 64 bits; a block keeps 48 of them below those that name its range."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from dailycast.llm import common, words
 ROWS = "dest int, kind int, chunk long, part int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()),
                      *((c, pa.binary()) for c in "abcd")])
-#: Kinds of rows: a question or its answer; a chunk's own documents.
+#: Kinds of rows: a question or an answer; a chunk's own documents.
 ASK, OWN = 0, 1
 #: Bits of a chunk's number inside its partition.
 SERIAL = 20
@@ -60,7 +61,13 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(owner, np.arange(ranges + 1, dtype=np.uint64))
 
 
-def _pack_chunk(chunk: int, ids: list, texts: list[bytes], keys_of: Keys, ranges: int, parts: int) -> pa.RecordBatch:
+def _cuts(ranges: int) -> tuple[np.ndarray, int]:
+    """Each range's first hash, and how many low bits a block leaves out."""
+    starts = -(-(np.arange(ranges, dtype=object) << 32) // ranges) << 32
+    return np.asarray(starts.tolist(), np.uint64), max(0, 64 - (ranges.bit_length() - 1) - 48)
+
+
+def _own_row(chunk: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
     h, first = words.word_hashes(texts)
     distinct, which, count = np.unique(h, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
@@ -68,25 +75,28 @@ def _pack_chunk(chunk: int, ids: list, texts: list[bytes], keys_of: Keys, ranges
     rank[order] = np.arange(len(order))
     numbers = np.asarray([i or 0 for i in ids], np.int64)
     known = np.asarray([i is not None for i in ids], bool)
-    rows = [(chunk % parts, OWN, chunk, 0, numbers.tobytes() + known.tobytes(), distinct[order].tobytes(),
-             _squeezed(rank[which]), _squeezed(np.diff(first)))]
-    keys, counts = keys_of(h, first)
-    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return _rows([(0, OWN, chunk, 0, numbers.tobytes() + known.tobytes(), distinct[order].tobytes(),
+                   _squeezed(rank[which]), _squeezed(np.diff(first)))])
+
+
+def _ask_rows(chunk: int, texts: list[bytes], keys_of: Keys, ranges: int, parts: int) -> pa.RecordBatch:
+    keys, counts = keys_of(*words.word_hashes(texts))
     at = _bounds(keys, ranges)
+    starts, left_out = _cuts(ranges)
+    rows = []
     for r in range(ranges):
         s, e = at[r], at[r + 1]
         if e > s:
-            rows.append((r % parts, ASK, chunk, r, low[s:e].tobytes(), _squeezed(counts[s:e]), None, None))
+            block = ((keys[s:e] - starts[r]) >> np.uint64(left_out)).astype(np.int64)
+            rows.append((r % parts, ASK, chunk, r, _squeezed(np.diff(block, prepend=0)), _squeezed(counts[s:e]), None, None))
     return _rows(rows)
 
 
 def _answers(asked: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
     """Corpus counts for one range, sent back where they differ from the chunk's own count."""
-    sizes = [len(a) // 6 for *_, a, _ in asked]
-    low = np.frombuffer(b"".join(a for *_, a, _ in asked), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(low), 8), np.uint8)
-    wide[:, :6] = low
-    keys = wide.view("<u8").ravel()
+    blocks = [np.cumsum(_spread(a)) for *_, a, _ in asked]
+    sizes = [len(b) for b in blocks]
+    keys = np.concatenate(blocks)
     own = np.concatenate([_spread(b) for *_, b in asked])
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
@@ -100,7 +110,8 @@ def _answers(asked: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
         differs = np.flatnonzero(there != own[at:at + size])
         if len(differs):
             more = there[differs] - own[at:at + size][differs]
-            rows.append((dest, ASK, chunk, part, _squeezed(np.diff(differs, prepend=0)), _squeezed(more), None, None))
+            rows.append((dest, ASK, chunk, part, _squeezed(np.diff(differs, prepend=0)), _squeezed(more),
+                         size.to_bytes(8, "little"), None))
         at += size
     return _rows(rows)
 
@@ -116,10 +127,12 @@ class Chunk:
         self.words = np.frombuffer(b, np.uint64)[_spread(c)]
         self.first = np.concatenate([[0], np.cumsum(_spread(d))])
 
-    def corpus_counts(self, keys: np.ndarray, counts: np.ndarray, answers: list[tuple[int, bytes, bytes]], ranges: int) -> np.ndarray:
+    def corpus_counts(self, keys: np.ndarray, counts: np.ndarray, answers: list[tuple[int, bytes, bytes, bytes]], ranges: int) -> np.ndarray:
         total = counts.astype(np.int64)
         at = _bounds(keys, ranges)
-        for part, places, more in answers:
+        for part, places, more, size in answers:
+            if int.from_bytes(size, "little") != at[part + 1] - at[part]:
+                raise ValueError("the two scans made different chunks: the input does not repeat its rows in order")
             total[at[part] + np.cumsum(_spread(places))] += _spread(more)
         return total
 
@@ -131,34 +144,39 @@ def with_corpus_counts(docs: DataFrame, keys_of: Keys, resolve: Callable[[Chunk,
     ``chunk_bytes`` bounds a chunk's text (a longer document is a chunk of its
     own); more than 2**20 documents never share one.  Words are those of the
     contracts, with A-Z in lower case.  NULL texts are documents without words."""
-    from pyspark import TaskContext
-
     spark = docs.sparkSession
     common.python_ready(spark)
     parts = common.shuffle_partitions(spark)
     ranges = 2 * parts
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, serial = [], [], 0, 0
-        head = TaskContext.get().partitionId() << SERIAL
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+        ids, texts, size, chunk = [], [], 0, 0
         for batch in batches:
+            chunk = chunk or batch.column(2)[0].as_py() << SERIAL if batch.num_rows else chunk
             for i, t in zip(batch.column(0).to_pylist(), words.texts_of(batch.column(1))):
                 if ids and (size + len(t) > chunk_bytes or len(ids) >> SERIAL):
-                    yield _pack_chunk(head + serial, ids, texts, keys_of, ranges, parts)
-                    ids, texts, size, serial = [], [], 0, serial + 1
+                    yield chunk, ids, texts
+                    ids, texts, size, chunk = [], [], 0, chunk + 1
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if ids:
-            yield _pack_chunk(head + serial, ids, texts, keys_of, ranges, parts)
+            yield chunk, ids, texts
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, texts in chunks(batches):
+            yield _own_row(chunk, ids, texts)
+            words.give_back()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, texts in chunks(batches):
+            yield _ask_rows(chunk, texts, keys_of, ranges, parts)
+            words.give_back()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[tuple[int, int, int, bytes, bytes]] = []
         for batch in batches:
-            for i, (dest, kind, chunk, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-                if kind == OWN:
-                    yield pa.RecordBatch.from_arrays(batch.slice(i, 1).columns, schema=_SCHEMA)
-                    continue
+            for i, (dest, chunk, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))):
                 if asked and asked[0][1] != part:
                     yield _answers(asked)
                     asked = []
@@ -167,20 +185,33 @@ def with_corpus_counts(docs: DataFrame, keys_of: Keys, resolve: Callable[[Chunk,
             yield _answers(asked)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: list[tuple[int, bytes, bytes]] = []
+        answers: list[tuple[int, bytes, bytes, bytes]] = []
         for batch in batches:
             for i, (kind, chunk, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
                 a, b, c, d = (batch.column(k)[i].as_py() for k in range(4, 8))
                 if kind == ASK:
-                    answers.append((part, a, b))
+                    answers.append((part, a, b, c))
                     continue
-                own = Chunk(chunk, a, b, c, d)
-                got = answers
-                yield resolve(own, lambda keys, counts: own.corpus_counts(keys, counts, got, ranges))  # noqa: B023
+                mine, got = Chunk(chunk, a, b, c, d), answers
+                yield resolve(mine, lambda keys, counts: mine.corpus_counts(keys, counts, got, ranges))  # noqa: B023
                 answers = []
+                words.give_back()
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    asked = picked.mapInArrow(ask, ROWS)
-    answered = asked.repartitionById(parts, F.col("dest")).sortWithinPartitions(F.col("kind").desc(), "part").mapInArrow(answer, ROWS)
+    if not _repeats(picked):
+        picked = common.staged(picked, "exchange-input")
+    picked = picked.withColumn("_part", F.spark_partition_id())  # of the scan, whatever task runs it
+    asked = picked.mapInArrow(ask, ROWS).repartitionById(parts, F.col("dest")).sortWithinPartitions("part")
+    both = asked.mapInArrow(answer, ROWS).union(picked.mapInArrow(own, ROWS))
     home = F.pmod(F.shiftright("chunk", SERIAL) * 7 + F.col("chunk").bitwiseAND((1 << SERIAL) - 1), F.lit(parts)).cast("int")
-    return answered.repartitionById(parts, home).sortWithinPartitions("chunk", "kind").mapInArrow(meet, schema)
+    return both.repartitionById(parts, home).sortWithinPartitions("chunk", "kind").mapInArrow(meet, schema)
+
+
+def _repeats(df: DataFrame) -> bool:
+    """Whether each scan gives the same rows in the same partitions and order: files, filtered or projected only."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.children().size():
+        if plan.children().size() > 1 or plan.nodeName() not in ("Project", "Filter"):
+            return False
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName() == "Relation"
