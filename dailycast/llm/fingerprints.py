@@ -20,7 +20,7 @@ from dailycast.llm import common
 #: Shares of documents that hold a term: the band's limits.
 LOW, HIGH = 0.01, 0.2
 #: How many subsets keep one term in how many.
-SUBSETS = ((4, 4), (32, 128))
+SUBSETS = ((4, 4), (60, 128))
 PARTS = sum(n for n, _ in SUBSETS)
 #: A part whose subset keeps no term.
 NONE = "-"
