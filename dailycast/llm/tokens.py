@@ -20,7 +20,7 @@ from dailycast.llm import words
 #: Id that ends a document.
 END = 1
 #: Bytes of text worked on at a time, and distinct pieces kept at most in a task's table.
-CHUNK, KEPT = 2 << 20, 1 << 20
+CHUNK, KEPT = 1 << 20, 1 << 19
 #: Words of letters only: one piece, so their ids end with exactly one word-end token.
 PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 _LETTER = np.zeros(256, bool)
