@@ -21,7 +21,7 @@ def _orders(h: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarr
     return [tuple(x) for x in (words.grams(h, first, n) for n in range(1, order + 1))]
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """One row per document: doc_id, n_words, log_score, mean_log_score, hits (words scored at each order).
 
     Words are runs of anything but ASCII white space, with A-Z in lower case.

@@ -7,7 +7,7 @@ import pytest
 
 from helpers_llm import WORDS, docs  # noqa: F401
 
-from dailycast.llm import scoring
+from dailycast.llm import queries, scoring
 
 
 def brute(texts, order, alpha=0.4):
@@ -51,3 +51,13 @@ def test_brute_force(spark, docs, order, chunk, monkeypatch):
 def test_empty_table_and_null_id(docs):
     assert scoring.backoff_scores(docs([]).limit(0)).count() == 0
     assert sorted(r.doc_id is None for r in scoring.backoff_scores(docs([(None, "a b"), (1, "a b")])).collect()) == [False, True]
+
+
+def test_registered_query_scores_trigrams(docs, tmp_path):
+    texts = ["the cat sat on the mat", "a cat sat on the hat", "the dog lay on the mat", "the cat sat by the dog", "on the", None]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_backoff_scores(docs(texts).sparkSession, str(tmp_path)).collect()}
+    want = brute(texts, 3)
+    assert [got[i].log_score for i in range(len(texts))] == pytest.approx([s for _, s in want], abs=1e-9)
+    assert want[0][1] != pytest.approx(brute(texts, 2)[0][1])
+    assert len(got[0].hits) == 4 and got[0].hits[3] > 0
