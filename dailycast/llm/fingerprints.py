@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from dailycast.llm import common
 
 #: Shares of documents that hold a term: the band's limits.
-LOW, HIGH = 0.01, 0.2
+LOW, HIGH = 0.005, 0.2
 #: How many subsets keep one term in how many.
 SUBSETS = ((4, 4), (60, 128))
 PARTS = sum(n for n, _ in SUBSETS)
 #: A part whose subset keeps no term.
 NONE = "-"
+#: In-band terms that fill fewer parts than these, and are less than half of the text's terms, give way to all of them.
+FILLED = 2
 
 
 def terms(text: Column) -> Column:
@@ -61,17 +63,32 @@ def _parts(own: Column) -> Column:
     return F.transform(hashes, lambda h: F.when(h == nothing, F.lit(NONE)).otherwise(F.right(F.lower(F.hex(h)), F.lit(8))))
 
 
+def _filled(parts: Column) -> Column:
+    return F.size(F.filter(parts, lambda p: p != NONE))
+
+
+def _whole(own: Column) -> Column:
+    """A print whose first part is the hash of all terms, for texts of which no subset keeps any."""
+    return F.concat(F.array(F.right(F.lower(F.hex(F.xxhash64(own))), F.lit(8))), F.array_repeat(F.lit(NONE), PARTS - 1))
+
+
 def with_parts(rows: DataFrame, texts: list[str], kept: Column) -> DataFrame:
     """``rows`` with the parts of each text column in its place.
 
-    The terms are those in the band, sorted; a text without any uses all of its
-    terms, so that it still differs from others.  Each step is a projection of
-    its own, so that none is worked out twice."""
+    The terms are those in the band, sorted.  If they fill fewer than ``FILLED``
+    parts and are less than half of the text's terms, the text uses all of its
+    terms, so that it still differs from others; if no part is filled then, the first one is the hash of them all, so that only a
+    text without terms has an empty print.  Each step is a projection of its
+    own, so that none is worked out twice."""
     rest = [c for c in rows.columns if c not in texts]
     rows = rows.select(*rest, *(terms(F.col(c)).alias(c) for c in texts))
     rows = rows.select(*rest, *texts, *(F.array_intersect(kept, F.col(c)).alias(f"_{c}") for c in texts))
-    rows = rows.select(*rest, *(F.sort_array(F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")).otherwise(F.col(c))).alias(c) for c in texts))
-    return rows.select(*rest, *(_parts(F.col(c)).alias(c) for c in texts))
+    rows = rows.select(*rest, *(F.sort_array(c).alias(c) for c in texts), *(_parts(F.sort_array(f"_{c}")).alias(f"_{c}") for c in texts),
+                       *((F.size(f"_{c}") * 2 >= F.size(c)).alias(f"_half_{c}") for c in texts))
+    rows = rows.select(*rest, *texts, *(F.when((_filled(F.col(f"_{c}")) >= FILLED) | F.col(f"_half_{c}"), F.col(f"_{c}")).otherwise(_parts(F.col(c))).alias(f"_{c}")
+                                        for c in texts))
+    empty = [(_filled(F.col(f"_{c}")) == 0) & (F.size(c) > 0) for c in texts]
+    return rows.select(*rest, *(F.when(e, _whole(F.col(c))).otherwise(F.col(f"_{c}")).alias(c) for e, c in zip(empty, texts)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -74,3 +74,20 @@ def test_null_id_comes_last_and_empty_table(docs):
     assert (got[2].next_text, got[1].next_text, got[None].next_text) == ("a", "b", "c")
     assert fp.edited_fingerprints(docs([]).limit(0)).count() == 0
     assert len(fp.edited_fingerprints(docs([(1, "a"), (1, "a")])).collect()) == 2
+
+
+def test_every_text_with_words_has_a_print_of_its_own(docs):
+    """Also those of which no subset keeps a term."""
+    texts = [f"u{i}" for i in range(120)] + ["", None, " \n"]
+    prints = [tuple(r.parts) for r in sorted(fp.fingerprints(docs(texts)).collect(), key=lambda r: r.doc_id)]
+    assert all(set(p) != {fp.NONE} for p in prints[:120]) and len(set(prints[:120])) == 120
+    assert all(set(p) == {fp.NONE} for p in prints[120:])
+    assert fp.LOW <= 0.005
+
+
+def test_too_few_in_band_terms_give_way_to_all_terms(docs):
+    texts = [f"m{i % 16} " + " ".join(f"{c}{i}" for c in "pqrstuvw") for i in range(160)]
+    prints = [tuple(r.parts) for r in sorted(fp.fingerprints(docs(texts), 0.05, 0.5).collect(), key=lambda r: r.doc_id)]
+    shared = [p for p in prints if prints.count(p) > 1]  # only by a common term that fills enough parts
+    assert all(sum(x != fp.NONE for x in p) >= fp.FILLED for p in shared)
+    assert len(set(prints)) > 16
