@@ -51,12 +51,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     which may go through one document of each source.  A NULL source is a source;
     NULL ids share one key; repeated rows count as often as they come; an empty
     table gives no rows; other columns are not read."""
+    return _plan(docs, weights, epochs, seed).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int, *keep: str) -> DataFrame:
+    """``mix`` with the columns ``keep`` of ``docs``, which also order rows of the same id and size."""
     sizes = common.staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
-                                      common.word_count(F.col("text").cast("string")).alias("size")), "mix-sizes")
+                                      common.word_count(F.col("text").cast("string")).alias("size"), *keep), "mix-sizes")
     table = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     by_name = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("_first", F.coalesce(F.sum("source_size").over(by_name), F.lit(0)))
-    order = [F.col("source").isNull(), F.col("source"), draw_key(F.col("doc_id"), seed), F.col("doc_id"), F.col("size")]
+    order = [F.col("source").isNull(), F.col("source"), draw_key(F.col("doc_id"), seed), F.col("doc_id"), F.col("size"), *map(F.col, keep)]
     placed = common.prefix_sums(sizes, order, {"_before": F.col("size")}, "mix-order")
     placed = placed.withColumnRenamed("source", "_source")
     both = placed.join(table, F.col("_source").eqNullSafe(F.col("source")))
@@ -64,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     rest = budget - F.col("_epochs") * F.col("source_size")
     both = both.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_before") - F.col("_first"))))
-    return both.select("doc_id", "source", "size", "source_size", "target",
+    return both.select("doc_id", "source", "size", "source_size", "target", *keep,
                        (F.col("_epochs") * F.col("size") + cut).cast("long").alias("taken"))
 
 
@@ -72,15 +77,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epoch
     """The documents of the mix: ``docs``' own columns, a row for each epoch that takes the document.
 
     The document at a source's cut keeps its first words only (its text up to the
-    last of them).  Rows are joined by doc_id, so ids should be unique; documents
+    end of the last of them).  Each row goes by a key of its own, so rows with a
+    NULL or repeated doc_id each get what the mix takes of them; documents
     without words are kept once, since no budget decides on them."""
-    plan = mix(docs, weights, epochs, seed).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
-                                                   F.col("taken").alias("_taken")).dropDuplicates(["_id"])
-    both = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # the key is written with the rows, so that both readers see the same one
+    rows = common.staged(docs.withColumns({"_hash": F.xxhash64(*plain), "_row": F.monotonically_increasing_id()}), "mix-rows")
+    plan = _plan(rows, weights, epochs, seed, "_hash", "_row").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    both = rows.join(plan, "_row")
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.ceil(F.col("_taken") / F.col("_size"))).cast("int")
     both = both.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({common.WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
+    pieces = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{common.WORD})"), F.lit(1))  # each word with the space before it
+    part = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
     cut = left < F.col("_size")
     out = {"text": F.when(cut, part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -77,3 +77,28 @@ def test_mixed_documents(spark):
 def test_empty_table(spark):
     assert mixing.mix(make(spark, [])).count() == 0
     assert mixing.mix(make(spark, [(1, None, "a"), (2, "", None)])).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_mixed_documents_null_and_repeated_ids(spark):
+    """Each row follows its own plan, whatever its id, and a cut text keeps its white space."""
+    rows = [(None, f"n{i}\n " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)] + [(7, f" r{i}\t\ts" * (i % 5), "abc"[i % 3]) for i in range(60)]
+    docs = make(spark, rows)
+    want = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.taken
+    texts = {(d, s): [] for d, _, s in rows}
+    for d, t, s in rows:
+        texts[d, s].append(t)
+    out = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    cuts = 0
+    taken, target = defaultdict(int), defaultdict(int)
+    for d, t, s, _, _ in out:
+        n = len(re.findall(WORDS, t))
+        taken[s] += n
+        assert any(x.startswith(t) and len(re.findall(WORDS, x)) >= n for x in texts[d, s])
+        cuts += t not in texts[d, s]
+    for (_, s, _), n in want.items():
+        target[s] += n
+    assert dict(taken) == dict(target) and cuts <= 3
+    assert sum(t == "" for _, t, *_ in out) == sum(t == "" for _, t, _ in rows)
+    assert sorted(map(str, out)) == sorted(map(str, (tuple(r) for r in mixing.mixed_documents(docs).collect())))
