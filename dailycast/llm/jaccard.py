@@ -188,6 +188,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id (ids should be unique)."""
-    gone = jaccard_components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """``docs`` with one row of each component: that of the smallest doc_id (NULL last), then the first row written.
+
+    Each row goes by a key of its own, so repeated rows and NULL ids count as documents."""
+    rows = common.staged(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id")
+    id_ = F.col("doc_id").cast("long")
+    own = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(
+        F.min(F.struct(id_.isNull().alias("null"), id_.alias("id"), F.col("_row").alias("row"))).alias("first"))
+    return rows.join(own.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -105,3 +105,10 @@ def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (3, 4), (4, 4), (20, 30)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {
         9: 5, 8: 5, 7: 5, 6: 5, 5: 5, 3: 3, 4: 3, 20: 20, 30: 20}
+
+
+def test_one_per_group_of_repeated_rows_and_null_ids(docs):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuv")
+    kept = jaccard.one_per_group(docs([(4, t), (4, t), (4, t + " x"), (None, t), (None, u), (None, u), (9, u), (None, v), (None, v + " x"),
+                                       (None, None), (5, ""), (5, "")]))
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept.collect()) == [(0, ""), (0, "v"), (4, "t"), (5, ""), (5, ""), (9, "u")]
