@@ -109,7 +109,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.select(name.alias("file"), F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("part"),
-                         F.regexp_extract(name, r"-c(\d+)", 1).cast("int").alias("split"), "content")
+                         F.regexp_extract(name, r"-c(\d+)\.txt$", 1).cast("int").alias("split"), "content")
     return files.mapInArrow(scan, INDEX)
 
 

@@ -1,4 +1,5 @@
 import random
+import shutil
 import zlib
 from collections import defaultdict
 
@@ -115,3 +116,17 @@ def test_empty_table(docs):
     none = docs([]).limit(0)
     assert packing.pack_documents(none).count() == 0
     assert records.record_table(none).count() == 0
+
+
+def test_split_number_beside_a_uuid_that_looks_like_one(spark, docs, tmp_path):
+    path = str(tmp_path / "r")
+    records.write_records(docs(TEXTS).coalesce(1), path, records_per_file=2)
+    for f in list((tmp_path / "r").glob("part-*")):
+        shutil.copy(f, f.with_name(f"part-{f.name[5:10]}-0a1b2c3d-c1ef-4a5b-8c7d-c2a1b2c3d4e5{f.name[f.name.rindex('-c'):]}"))
+    index = records.build_index(spark, path).where("file like '%-0a1b2c3d-%'")
+    assert {r.split for r in index.collect()} >= {0}
+    assert all(r.split == int(r.file[-7:-4]) for r in index.collect())
+    start, at = {r.doc_id: r.start for r in records.read_ordered(index).collect()}, 0
+    for i, ids in enumerate(library(TEXTS)):
+        assert start[i] == at
+        at += len(ids)
