@@ -3,8 +3,10 @@
 The file lower-cases, splits at white space and between letters, digits and
 signs, and merges inside these pieces only.  So a text's ids are the ids of its
 pieces in turn: each distinct piece of a task is encoded once by the library,
-and the texts are put together from the pieces' ids.  Texts with the characters
-``<|`` may hold a special token across pieces and go through the library whole."""
+and the texts are put together from the pieces' ids.  Pieces are found by a hash,
+and their bytes are compared before known ids are used.  Texts with the characters
+``<|`` may hold a special token across pieces and go through the library whole, as
+do texts with a piece that shares its hash with another one."""
 
 from __future__ import annotations
 
@@ -65,6 +67,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.raw, self.begins = np.empty(0, np.uint8), np.zeros(1, np.int64)  # the known pieces' bytes
 
     def _ids(self, texts: list[str], at_once: int = 2048) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for i in range(0, len(texts), at_once)
@@ -92,7 +95,8 @@ class Encoder:
         self.first = np.concatenate([self.first, self.first[-1] + first])
         self.ids = np.concatenate([self.ids, ids])
 
-    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """All texts' ids, where each text's begin, and the texts that must go through the library whole."""
         data, begins = words.joined([t.lower() for t in texts])
         after = np.zeros(len(data), bool)  # the byte before ends a letter or a digit
         after[1:] = _LETTER[data[:-1]]
@@ -109,7 +113,10 @@ class Encoder:
         if len(new):
             slot[new] = len(self.first) - 1 + np.arange(len(new))
             raw = data.tobytes()
-            self._learn([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at[new]], ends[at[new]])])
+            pieces = [raw[s:e] for s, e in zip(starts[at[new]], ends[at[new]])]
+            self._learn([p.decode("utf-8", "replace") for p in pieces])
+            self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(p) for p in pieces])])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.slots = keys[order], np.concatenate([self.slots, slot[new]])[order]
@@ -118,9 +125,12 @@ class Encoder:
         stop = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=stop[1:])
         flat = self.ids[np.repeat(self.first[of] - stop[:-1], size) + np.arange(stop[-1])]
+        bounds = np.searchsorted(starts, begins)
+        other = np.flatnonzero(~words.same_spans(data, starts, ends, self.raw, self.begins[of], self.begins[of + 1]))
+        wrong = set((np.searchsorted(bounds, other, "right") - 1).tolist())  # texts with a piece whose hash another piece has
         if len(self.keys) > KEPT:
             self.forget()
-        return flat, stop[np.searchsorted(starts, begins)]
+        return flat, stop[bounds], wrong
 
     def encode(self, texts: list[bytes]):
         """For each text in turn its ids (unsigned 32-bit, without the end id)."""
@@ -131,7 +141,8 @@ class Encoder:
                 size += len(texts[j])
                 j += 1
             whole = {k for k in range(i, j) if b"<|" in texts[k]}
-            flat, stop = self._encode([b"" if k in whole else texts[k] for k in range(i, j)])
+            flat, stop, wrong = self._encode([b"" if k in whole else texts[k] for k in range(i, j)])
+            whole |= {i + k for k in wrong}
             for k in range(i, j):
                 if k in whole:
                     yield self._ids([texts[k].decode("utf-8", "replace")])[0]

@@ -7,8 +7,8 @@ import hashlib
 import numpy as np
 
 U = np.uint64
-#: Bytes hashed at a time, and the longest word hashed in that way.
-SLICE, LONG = 1 << 20, 1 << 16
+#: Longest word hashed in blocks; the others go through a library's hash.
+LONG = 512
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -23,19 +23,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BASE = 0x5851F42D4C957F2D
-_POWERS: list[np.ndarray] = []
+#: Odd factor and step of the word hashes, and masks that keep the first 0 to 8 bytes of a block.
+BASE, STEP = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        n = SLICE + LONG + 1
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    return _POWERS[0], _POWERS[1]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """A view with the eight bytes from each place on as one number (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
 def spans(data: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,26 +53,45 @@ def spans(data: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray,
     return np.flatnonzero(begin), ends
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: a polynomial over random byte values, from running sums."""
-    power, inverse = _powers()
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        if ends[i] - starts[i] > LONG:
-            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
-            i += 1
-            continue
-        j = int(np.searchsorted(ends, starts[i] + SLICE, "right"))
-        long = np.flatnonzero(ends[i:j] - starts[i:j] > LONG)
-        j = max(i + 1, i + int(long[0]) if len(long) else j)
-        at = int(starts[i])
-        value = BYTE[data[at:int(ends[j - 1])]]
-        value *= power[:len(value)]
-        run = np.cumsum(value)
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((run[e - 1] - run[s] + value[s]) * inverse[s] + (e - s).astype(U))
-        i = j
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span, mixed after every block of eight bytes.
+
+    No two spans of up to eight bytes and the same length share a hash; others do
+    by chance only (2^-64 a pair).  Callers that need certainty compare the bytes."""
+    view, sizes = blocks(data), ends - starts
+    out = mix(sizes.astype(U) * U(STEP) + U(seed & 0xFFFFFFFFFFFFFFFF))
+    for i in np.flatnonzero(sizes > LONG):
+        key = seed.to_bytes(8, "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    live, at = np.flatnonzero(sizes <= LONG), 0
+    whole = len(live) == len(out)
+    while len(live):
+        left = (sizes if whole else sizes[live]) - at
+        block = view[(starts if whole else starts[live]) + at]
+        block &= KEEP[np.minimum(left, 8)]
+        block *= U(BASE)
+        h = out if whole else out[live]
+        h = mix((h + U(STEP)) ^ block)
+        if whole:
+            out = h
+        else:
+            out[live] = h
+        at += 8
+        live, whole = live[left > 8], False
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` holds the same bytes as its span of ``other``."""
+    sizes = ends - starts
+    out = sizes == stops - begins
+    view, seen, live, at = blocks(data), blocks(other), np.flatnonzero(out), 0
+    while len(live):
+        left = sizes[live] - at
+        differ = ((view[starts[live] + at] ^ seen[begins[live] + at]) & KEEP[np.minimum(left, 8)]) != 0
+        out[live[differ]] = False
+        live = live[~differ & (left > 8)]
+        at += 8
     return out
 
 
