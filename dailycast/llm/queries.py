@@ -188,22 +188,24 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                       '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 runs AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM pieces),
-places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM runs),
 grams AS (
-  SELECT lang, ws[i:i + k - 1] AS g, count(*) AS f FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+  SELECT lang, g, count(*) AS f
+  FROM (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS g
+        FROM runs) GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE len(g) = 1 GROUP BY lang),
 frequent AS (SELECT * FROM grams WHERE f >= 30),
+opened AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM frequent WHERE len(g) > 1),
+halves AS (SELECT *, g[1:k] AS first_part, g[k + 1:] AS rest FROM opened),
 cuts AS (
-  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score
-  FROM frequent c, range(1, 4) t(k)
-       JOIN frequent l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN frequent r ON r.lang = c.lang AND r.g = c.g[k + 1:]
-  WHERE len(c.g) > 1 AND k < len(c.g)),
+  SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+  FROM halves c JOIN frequent l ON l.lang = c.lang AND l.g = c.first_part JOIN frequent r ON r.lang = c.lang AND r.g = c.rest),
 least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 inside AS (
-  SELECT DISTINCT lang, f, g[i:i + n - 1] AS part
-  FROM frequent, range(2, 4) s(n), range(1, 4) t(i) WHERE n < len(g) AND i + n - 1 <= len(g)),
+  SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda n: list_transform(range(1, len(g) - n + 2), lambda i: g[i:i + n - 1])))) AS part
+  FROM frequent WHERE len(g) > 2),
 longest AS (SELECT lang, part, max(f) AS f FROM inside GROUP BY ALL),
 kept AS (
   SELECT c.* FROM least c LEFT JOIN longest o ON o.lang = c.lang AND o.part = c.g
