@@ -57,11 +57,10 @@ def run_all(spark, sf_dir: str, timed) -> None:
         sp.time_split(feat.prepare_features(user_tx())).where("split = 'test'"),
         {"naive": "lag_1", "seasonal": "lag_7", "ma": "ma_7"})))
     feats = feat.prepare_features(user_tx())
-    res = timed("train_xgboost_20", lambda: trn.train(
-        feats, "xgboost", hyperparams={"n_estimators": TRAIN_ROUNDS}))
-    ens = tf.TreeEnsemble.from_gbt(spark, res.gbt)
+    timed("train_xgboost_20", lambda: trn.train(feats, "xgboost", hyperparams={"n_estimators": TRAIN_ROUNDS}, engine="histogram"))
+    res = timed("train_xgboost_1000", lambda: trn.train(feats, "xgboost", engine="histogram"))
     timed("forecast_trees_1500x30", lambda: _force(
-        tf.forecast_with_trees(feat.prepare_features(user_tx(), drop_nans=False), res.model, HORIZON, ens)))
+        tf.forecast_with_trees(feat.prepare_features(user_tx(), drop_nans=False), res.model, HORIZON)))
 
 
 def main() -> None:
@@ -83,8 +82,8 @@ def main() -> None:
     for d, record in ((warm_dir, False), (sf_dir, True)):
         run_all(spark, d, timed if record else (lambda name, fn: fn()))
 
-    # Headline = the three measurements the baseline comparison names:
-    # feature preparation, the forecast of 1,500 series, training at 20 rounds.
+    # Headline = the three measurements the baseline comparison names: feature preparation, the forecast
+    # of 1,500 series (by 1,000 trees), training at 20 rounds; train_xgboost_1000 is the profile's own number.
     headline = round(sum(times[k] for k in HEADLINE), 3)
     print(json.dumps({"metric": "headline_sec(" + "+".join(HEADLINE) + ")", "value": headline, "unit": "sec",
                       "queries": times, "all_queries_sec": round(sum(times.values()), 3), "sf": sf}))

@@ -9,8 +9,9 @@
   gain with L1 and L2 penalties.
 * Nodes with at most ``LOCAL_ROWS`` rows leave that loop, as in the PLANET paper
   (Panda et al., 2009): one more job deals the rows of such nodes out by node, and
-  tasks grow the rest below each of them.  Splits are found by the same code from
-  the same sums, so the tree does not depend on the bound.
+  tasks grow the rest below each of them.  A table that is one such node and lies
+  in one partition runs several rounds a job.  Splits are found by the same code
+  from the same sums, so the trees do not depend on the bound.
 * Rows of the held-out side travel along.  The job that begins a round also
   returns their error under the trees so far, so early stopping needs no second
   fit and no pass of its own: the ensemble is cut at its best round.
@@ -184,7 +185,13 @@ def soft(g: np.ndarray, alpha: float) -> np.ndarray:
 
 def score(g: np.ndarray, h: np.ndarray, p: BoostParams) -> np.ndarray:
     """What a leaf with these sums takes off the loss, twice."""
-    return soft(g, p.reg_alpha) ** 2 / np.maximum(h + p.reg_lambda, 1e-300)
+    size = np.abs(g)
+    if p.reg_alpha:
+        size -= p.reg_alpha
+        np.maximum(size, 0.0, out=size)
+    size *= size
+    size /= h + p.reg_lambda if p.reg_lambda > 0 else np.maximum(h, 1e-300)
+    return size
 
 
 def leaf_value(g: float, h: float, p: BoostParams) -> float:
@@ -199,8 +206,10 @@ def best_splits(g: np.ndarray, h: np.ndarray, n_cuts: np.ndarray, p: BoostParams
     ``symmetric``: all nodes take the one split with the largest total gain."""
     total_g, total_h = g[:, :1].sum(axis=2)[..., None], h[:, :1].sum(axis=2)[..., None]
     lg, lh = np.cumsum(g[..., :-1], axis=2), np.cumsum(h[..., :-1], axis=2)
-    lg = np.stack([lg, lg + g[..., -1:]], axis=3)  # NULLs right, NULLs left
-    lh = np.stack([lh, lh + h[..., -1:]], axis=3)
+    if h[..., -1].any():
+        lg, lh = np.stack([lg, lg + g[..., -1:]], axis=3), np.stack([lh, lh + h[..., -1:]], axis=3)  # NULLs right, NULLs left
+    else:
+        lg, lh = lg[..., None], lh[..., None]
     rg, rh = total_g[..., None] - lg, total_h[..., None] - lh
     gain = 0.5 * (score(lg, lh, p) + score(rg, rh, p) - score(total_g, total_h, p)[..., None])
     allowed = (np.arange(lg.shape[2])[None, :] < n_cuts[:, None])[None, ..., None]
@@ -367,6 +376,28 @@ def grown_below(parts: list[tuple[np.ndarray, np.ndarray]], depth: int, columns:
     return tree
 
 
+def tree_values(tree: Grown, p: BoostParams) -> np.ndarray:
+    """What each node adds to a prediction (0 above the leaves)."""
+    return np.array([0.0 if f >= 0 else leaf_value(*s, p) for f, s in zip(tree.feature, tree.sums)])
+
+
+def more(b: Block, tree: tuple[np.ndarray, ...], values: np.ndarray, depth: int, missing: int) -> Block:
+    return Block(b.bins, b.target, b.held_out, b.key, b.prediction + values[route(b.bins, tree, missing, depth)])
+
+
+def rounds_below(blocks: list[Block], first: int, n: int, n_cuts: np.ndarray, p: BoostParams, missing: int, step: float) -> list[tuple[Grown, np.ndarray]]:
+    """``n`` rounds over all rows of a small table: each one's tree, and the errors' sums with it."""
+    out = []
+    for round_ in range(first, first + n):
+        columns = columns_of(p, len(n_cuts), round_)
+        picked = node_rows(blocks, Level(Grown().arrays(), 0, np.array([0]), columns, round_), p, missing, step)
+        tree = grown_below([x for _, x in picked], p.depth, columns, n_cuts, p, missing, step) if picked else Grown()
+        arrays, values = tree.arrays(), tree_values(tree, p)
+        blocks = [more(b, arrays, values, tree.depth, missing) for b in blocks]
+        out.append((tree, error_sums(blocks)))
+    return out
+
+
 def split_all(tree: Grown, opened, g: np.ndarray, h: np.ndarray, columns: np.ndarray, n_cuts: np.ndarray, p: BoostParams) -> list[int]:
     """Split the open nodes as their sums tell; the new open nodes."""
     following = []
@@ -432,19 +463,28 @@ class Rows:
         self._settled()
         return out
 
-    def add(self, tree: tuple[np.ndarray, ...], values: np.ndarray, depth: int) -> None:
-        """Add a tree's values to the predictions (with the next job)."""
-        missing = self.missing
+    def add(self, trees: list[Grown]) -> None:
+        """Add trees to the predictions (with the next job)."""
+        p, missing, known = self.p, self.missing, [(t.arrays(), tree_values(t, self.p), t.depth) for t in trees]
 
-        def more(b: Block) -> Block:
-            return Block(b.bins, b.target, b.held_out, b.key, b.prediction + values[route(b.bins, tree, missing, depth)])
+        def added(b: Block) -> Block:
+            for arrays, values, depth in known:
+                b = more(b, arrays, values, depth, missing)
+            return b
 
         self.before = self.state
-        self.state = self.state.map(more).persist(StorageLevel.MEMORY_AND_DISK)
-        self.rounds += 1
+        self.state = self.state.map(added).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rounds += len(trees)
         if self.rounds % KEEP_ROUNDS == 0:
             self.state.checkpoint()
 
+    def together(self, first: int, n: int, n_cuts: np.ndarray) -> list[tuple[Grown, np.ndarray]]:
+        """Several rounds in one job, if all rows are in one task."""
+        p, missing, step = self.p, self.missing, self.step
+        out = self.state.mapPartitions(lambda blocks: rounds_below(list(blocks), first, n, n_cuts, p, missing, step)).collect()
+        self._settled()
+        return out
+
     def close(self) -> None:
         self.state.unpersist()
         if self.before is not None:
@@ -507,6 +547,26 @@ def grow(rows: Rows, p: BoostParams, n_cuts: np.ndarray, missing: int, step: flo
     return tree, lost
 
 
+def all_rounds(rows: Rows, p: BoostParams, n_cuts: np.ndarray, missing: int, step: float, n_rows: int,
+               local_rows: int) -> Iterator[tuple[Grown, np.ndarray]]:
+    """Each round's tree, and the errors' sums with it."""
+    if n_rows <= local_rows and rows.state.getNumPartitions() == 1:
+        for first in range(0, p.rounds, KEEP_ROUNDS):
+            found = rows.together(first, min(KEEP_ROUNDS, p.rounds - first), n_cuts)
+            yield from found
+            rows.add([tree for tree, _ in found])
+        return
+    last = None
+    for round_ in range(p.rounds):
+        tree, lost = grow(rows, p, n_cuts, missing, step, round_, n_rows, local_rows)
+        if last is not None:
+            yield last, lost  # the job that began this round had the errors under the last one
+        rows.add([tree])
+        last = tree
+    if last is not None:
+        yield last, rows.sums(Level(Grown().arrays(), 0, np.array([0]), np.array([0]), p.rounds), True)[3]
+
+
 def exact_step(rows: int, largest: float) -> float:
     """A power of two: sums of ``rows`` multiples of it up to ``4 * largest`` are exact in double precision."""
     if rows <= 0 or largest <= 0:
@@ -566,26 +626,15 @@ def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int = TAS
     grown: list[Grown] = []
     held, train, best = [], [], None
     try:
-        for round_ in range(p.rounds + 1):
-            last = round_ == p.rounds
-            if last:  # the errors under all trees
-                lost = rows.sums(Level(Grown().arrays(), 0, np.array([0]), np.array([0]), round_), True)[3]
-            else:
-                tree, lost = grow(rows, p, n_cuts, missing, step, round_, facts["n"], local_rows)
-            if round_:
-                train.append(math.sqrt(lost[2] / max(lost[3], 1)))
-                if lost[1]:
-                    held.append(math.sqrt(lost[0] / lost[1]))
-                    if best is None or held[-1] < held[best]:
-                        best = len(held) - 1
-                    elif p.patience and len(held) - 1 - best >= p.patience:
-                        break
-            if last:
-                break
+        for tree, lost in all_rounds(rows, p, n_cuts, missing, step, facts["n"], local_rows):
             grown.append(tree)
-            arrays = tree.arrays()
-            values = np.array([0.0 if f >= 0 else leaf_value(*s, p) for f, s in zip(tree.feature, tree.sums)])
-            rows.add(arrays, values, tree.depth)
+            train.append(math.sqrt(lost[2] / max(lost[3], 1)))
+            if lost[1]:
+                held.append(math.sqrt(lost[0] / lost[1]))
+                if best is None or held[-1] < held[best]:
+                    best = len(held) - 1
+                elif p.patience and len(held) - 1 - best >= p.patience:
+                    break
     finally:
         rows.close()
     trees = assembled(grown, cuts, p, base)

@@ -433,16 +433,22 @@ FLAGSHIP = "monthly_forecast"
 
 # --- step 5-7: boosted trees, tree forecasts, model store and jobs (no SQL oracle) ---
 
-# Round count for the registered training queries (M7 override of the
-# 1000-round defaults; every other profile parameter stays as in the reference).
-TRAIN_ROUNDS = {"n_estimators": 20, "iterations": 20}
+_FITS: dict[tuple, object] = {}
+
+
+def _once(spark, sf, name, fit):
+    """Queries that need the same fitted model share one fit per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITS:
+        _FITS[key] = fit()
+    return _FITS[key]
 
 
 def _train(spark, sf, model_type, **kw):
-    """Train on the per-user features (deterministic for a fixed seed)."""
+    """A profile with its own 1,000 rounds on the per-user features (deterministic for a fixed seed)."""
     from dailycast.plans import train as trn
-    hp = dict(TRAIN_ROUNDS, **kw.pop("hyperparams", {}))
-    return trn.train(_features_user(spark, sf), model_type, hyperparams=hp, **kw)
+    return _once(spark, sf, ("user", model_type, repr(sorted(kw.items()))),
+                 lambda: trn.train(_features_user(spark, sf), model_type, engine="histogram", **kw))
 
 
 @register("train_xgboost_profile")
@@ -464,7 +470,7 @@ def q_train_period(spark, sf):
     """M3/M9: train on the retail year 2000, test on Jan 2001."""
     from dailycast.plans import train as trn
     res = trn.train(_features_retail(spark, sf), "xgboost", train_period={"year": 2000},
-                    test_period={"year": 2001, "month": 1}, hyperparams=TRAIN_ROUNDS)
+                    test_period={"year": 2001, "month": 1}, engine="histogram")
     return trn.metrics_frame(spark, res)
 
 
@@ -473,18 +479,17 @@ def q_override(spark, sf):
     """M7: registry-style names override the defaults (depth 4, lr 0.1); what
     the fitted model has of them, with the number of test rows it scored."""
     res = _train(spark, sf, "xgboost", hyperparams={"xgboost_max_depth": 4, "xgboost_learning_rate": 0.1})
-    trees = res.gbt.trees
-    return spark.createDataFrame([(len(trees), max(t.depth for t in trees), float(res.gbt.getStepSize()),
-                                   res.metrics["test_size"])],
+    b = res.model.boosted
+    return spark.createDataFrame([(b.trees.n_trees, b.params.depth, b.params.learning_rate, res.metrics["test_size"])],
                                  "n_trees long, depth long, learning_rate double, test_rows long")
 
 
 @register("early_stopping")
 def q_early_stopping(spark, sf):
-    """M8: per-round test RMSE, best round under patience 5, refit."""
-    res = _train(spark, sf, "xgboost", early_stopping=5)
-    rows = [(i + 1, float(e) ** 0.5, i == res.best_iteration) for i, e in enumerate(res.iteration_errors)]
-    return spark.createDataFrame(rows, "round int, rmse double, best boolean")
+    """M8: per-round test RMSE of one fit that stops by patience, and the round it was cut at."""
+    from dailycast.plans import profiles
+    from dailycast.schema import EARLY_STOPPING_PATIENCE
+    return profiles.round_errors(spark, _train(spark, sf, "xgboost", early_stopping=EARLY_STOPPING_PATIENCE).model)
 
 
 @register("feature_importance")
@@ -527,12 +532,11 @@ def q_compare_gbt(spark, sf):
     compared on its test side (winner by RMSE)."""
     from dailycast.plans import train as trn
     jan = {"year": 2024, "month": 1}
-    fits = trn.train_profiles(_features_user(spark, sf), hyperparams=TRAIN_ROUNDS, train_period=jan,
-                              split="stratified")
+    fits = trn.train_profiles(_features_user(spark, sf), train_period=jan, split="stratified", engine="histogram")
     cat, xgb = fits["catboost"], fits["xgboost"]
     test = sp.stratified_split(sel.filter_by_period(_features_user(spark, sf), **jan)).where("split = 'test'")
     a = trn.predict(cat.model, test).withColumnRenamed("prediction", "p_catboost")
-    b = trn.predict(xgb.model, a.drop("Outlet_code", "Outlet_num")).withColumnRenamed("prediction", "p_xgboost")
+    b = trn.predict(xgb.model, a).withColumnRenamed("prediction", "p_xgboost")
     return mt.compare_models(b, {"catboost": "p_catboost", "xgboost": "p_xgboost"})
 
 
@@ -550,7 +554,7 @@ def q_forecast_gbt_script(spark, sf):
     from dailycast.plans import train as trn
     from dailycast.plans import tree_forecast as tf
     f = feat.legacy_features(td.events_by_user(spark, sf))
-    res = trn.train(f, "catboost", train_period={"year": 2024, "month": 1}, hyperparams=TRAIN_ROUNDS, test_size=0.0)
+    res = trn.train(f, "catboost", train_period={"year": 2024, "month": 1}, test_size=0.0, engine="histogram")
     return sm.horizon_total(tf.forecast_with_trees(f, res.model, FORECAST_SCRIPT), "Predicted February 2024 Sales")
 
 
@@ -559,34 +563,37 @@ def _store(spark, name):
     return scratch_path(spark, name)
 
 
-@register("training_job")
-def q_training_job(spark, sf):
-    """M19 + S6/S8/S9/S10: train, save, register, list models with metadata."""
+def _trained_store(spark, sf):
+    """A store with both profiles trained by jobs on the per-user events."""
     import datetime as dt
 
     from dailycast.plans import jobs
+
+    def fit():
+        root = _store(spark, "store")
+        for i, mtype in enumerate(["xgboost", "catboost"]):
+            jobs.training_job(spark, td.events_by_user(spark, sf), root, mtype, now=dt.datetime(2024, 2, 1, 12, 0, i), nulls="keep",
+                              engine="histogram")
+        return root
+    return _once(spark, sf, "store", fit)
+
+
+@register("training_job")
+def q_training_job(spark, sf):
+    """M19 + S6/S8/S9/S10: train, save, register, list models with metadata."""
     from dailycast.sources import modelstore as ms
-    root = _store(spark, "store")
-    tx = td.events_by_user(spark, sf)
-    for i, mtype in enumerate(["xgboost", "catboost"]):
-        jobs.training_job(spark, tx, root, mtype, hyperparams=TRAIN_ROUNDS,
-                          now=dt.datetime(2024, 2, 1, 12, 0, i))
-    ms.register(spark, root, [{"model_type": "xgboost", "model_name": "never_trained"}])
-    return ms.list_models_with_metadata(ms.read_registry(spark, root), ms.read_metadata(spark, root))
+    root = _trained_store(spark, sf)
+    extra = ms.registry_rows(spark, [{"model_type": "xgboost", "model_name": "never_trained"}])
+    return ms.list_models_with_metadata(ms.latest_per_key(ms.read_registry(spark, root).unionByName(extra)), ms.read_metadata(spark, root))
 
 
 @register("forecast_job")
 def q_forecast_job(spark, sf):
-    """M21 + S3/S4/S7/A7: train+save a model, load it by name, forecast,
-    write the daily and monthly CSVs; returns the monthly totals read back."""
-    import datetime as dt
-
+    """M21 + S3/S4/S7/A7: load a saved model by name, forecast, write the daily
+    and monthly CSVs; returns the monthly totals read back."""
     from dailycast.plans import jobs
-    root = _store(spark, "store")
-    tx = td.events_by_user(spark, sf)
-    info = jobs.training_job(spark, tx, root, "xgboost", hyperparams=TRAIN_ROUNDS,
-                             now=dt.datetime(2024, 2, 1, 12, 0, 0))
-    out = jobs.forecast_job(spark, tx, root, info["model_name"], start="2024-01-31", end="2024-02-29",
+    root = _trained_store(spark, sf)
+    out = jobs.forecast_job(spark, td.events_by_user(spark, sf), root, "xgboost_full_20240201_120000", start="2024-01-31", end="2024-02-29",
                             write_monthly=True)
     return spark.read.option("header", True).schema("month string, outlet string, prediction double") \
         .csv(out.monthly_path)
@@ -601,8 +608,8 @@ def q_training_job_rows(spark, sf):
     from dailycast.plans import jobs
     from dailycast.sources import modelstore as ms
     root = _store(spark, "store")
-    info = jobs.training_job(spark, td.events_by_user(spark, sf), root, "xgboost", "jan_2024",
-                             hyperparams={"n_estimators": 2, "max_depth": 3}, now=dt.datetime(2024, 2, 1))
+    info = jobs.training_job(spark, td.events_by_user(spark, sf), root, "xgboost", "jan_2024", now=dt.datetime(2024, 2, 1),
+                             nulls="keep", engine="histogram")
     return ms.model_metrics(spark, root, info["model_name"]).select(
         "model_name", F.col("training_period.year").alias("year"), F.col("training_period.month").alias("month"),
         "test_size", F.col("data_range.train_start").alias("train_start"), F.col("data_range.train_end").alias("train_end"))
@@ -615,14 +622,29 @@ def q_forecast_job_keys(spark, sf):
     import datetime as dt
 
     from dailycast.plans import jobs
-    root = _store(spark, "store")
-    tx, now = td.events_by_user(spark, sf), dt.datetime(2024, 1, 31)
-    info = jobs.training_job(spark, tx, root, "xgboost", hyperparams={"n_estimators": 2, "max_depth": 3}, now=now)
-    out = jobs.forecast_job(spark, tx, root, info["model_name"], now=now)
+    out = jobs.forecast_job(spark, td.events_by_user(spark, sf), _trained_store(spark, sf), "xgboost_full_20240201_120000",
+                            now=dt.datetime(2024, 1, 31))
     return out.daily.groupBy("outlet", F.date_format("date", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n_days"), F.count_if(F.col("prediction").isNull()).alias("n_null"))
 
 
+@register("ordered_target_statistic")
+def q_ordered_statistic(spark, sf):
+    """M5: each row's mean target over the earlier rows of its outlet, the overall mean counting as one row."""
+    from dailycast.operators import encoding
+    f = _features_retail(spark, sf).select("Outlet", "Date", "Total Sales Amount")
+    rows = encoding.ordered_statistic(f, encoding.target_prior(f))
+    return rows.select("Outlet", "Date", F.round(encoding.VALUE, sm.REPORT_DIGITS).alias("statistic"))
+
+
+@register("outlet_dictionary")
+def q_outlet_dictionary(spark, sf):
+    """Dense codes of all outlets by a range sort, attached to every row by a salted join."""
+    from dailycast.operators import encoding
+    f = _features_user(spark, sf).select("Outlet", "Date")
+    return encoding.attach(f, encoding.outlet_codes(f)).select("Outlet", "Date", F.col(encoding.VALUE).cast("int").alias("code"))
+
+
 @register("predict_test_keys")
 def q_predict_keys(spark, sf):
     """Every test row gets a prediction: keys, and whether it is NULL."""

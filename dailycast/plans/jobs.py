@@ -16,6 +16,7 @@ from dailycast.operators.forecast import ForecastSpec
 from dailycast.operators.select import api_daily, api_predictions, filter_date_range, filter_outlet, preview
 from dailycast.operators.split import period_of_name, resolve_named_period
 from dailycast.operators.summary import api_monthly_summary
+from dailycast.plans.profiles import BoostedModel
 from dailycast.plans.train import NULL_SENTINEL, train
 from dailycast.plans.tree_forecast import TreeEnsemble, forecast_with_trees
 from dailycast.schema import DATE, DEFAULT_TEST_SIZE, MODEL_TYPES, PREVIEW_ROWS
@@ -28,7 +29,7 @@ PREDICTION_SCHEMA = "outlet string, date timestamp_ntz, prediction double"
 def training_job(spark: SparkSession, tx: DataFrame, root: str, model_type: str = "xgboost",
                  training_period: str | None = None, hyperparams: dict | None = None,
                  now: dt.datetime | None = None, nulls: str = "sentinel",
-                 test_size: float = DEFAULT_TEST_SIZE) -> dict:
+                 test_size: float = DEFAULT_TEST_SIZE, engine: str = "ml") -> dict:
     """Features (no NULL-row drop, API path) -> named period (M20) ->
     train -> save model + metadata -> register.  The model is named
     ``{type}_{period or full}_{yyyymmdd_HHMMSS}``.
@@ -36,7 +37,8 @@ def training_job(spark: SparkSession, tx: DataFrame, root: str, model_type: str
     Rows with NULL lags are kept, so outlets with a short history train too,
     and the encoder knows every outlet of the input.  Metadata and registry
     hold the period (year and month of a name like ``jan_2025``; any name also
-    as the hyper-parameter ``training_period``) and the whole input's range."""
+    as the hyper-parameter ``training_period``) and the whole input's range.
+    ``engine="histogram"`` fits the library's own booster, with ``nulls="keep"``."""
     if model_type not in MODEL_TYPES:
         raise ValueError(f"unknown model type {model_type!r}; known: {', '.join(MODEL_TYPES)}")
     now = now or dt.datetime.now()
@@ -46,7 +48,7 @@ def training_job(spark: SparkSession, tx: DataFrame, root: str, model_type: str
     named = period_of_name(training_period)
     feats = everything if named else resolve_named_period(everything, training_period, materialize_input=False)
     result = train(feats, model_type, train_period=named, hyperparams=hyperparams, nulls=nulls, now=now, test_size=test_size,
-                   materialize_input=False, outlets=everything, data_range=tuple(whole))
+                   materialize_input=False, outlets=everything, data_range=tuple(whole), engine=engine)
     result.metadata["hyperparameters"]["training_period"] = period
     name = f"{model_type}_{period}_{now:%Y%m%d_%H%M%S}"
     ms.save_model(spark, result.model, result.metadata, root, name)
@@ -87,8 +89,10 @@ def forecast_job(spark: SparkSession, tx: DataFrame, root: str, model_name: str,
     start = start or now.strftime("%Y-%m-%d")
     end = end or (now + dt.timedelta(days=30)).strftime("%Y-%m-%d")
     model, meta = ms.load_model(spark, root, model_name)
-    gbt = model.stages[-1]
-    ens = TreeEnsemble.from_gbt(spark, gbt, path=f"{meta['model_path']}/stages/*_{gbt.uid}")
+    ens = None
+    if not isinstance(model, BoostedModel):
+        gbt = model.stages[-1]
+        ens = TreeEnsemble.from_gbt(spark, gbt, path=f"{meta['model_path']}/stages/*_{gbt.uid}")
     feats = prepare_features(tx, drop_nans=False)
     fill = float(meta["hyperparameters"].get("null_sentinel", NULL_SENTINEL))
     daily = forecast_with_trees(feats, model, ForecastSpec(start=start, end=end, outlet=outlet), ens, fill)

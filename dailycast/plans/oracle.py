@@ -195,6 +195,15 @@ sql("named_period_month", features_sql("retail") +
 sql("encode_outlet", features_sql("retail") + f"""
 SELECT Outlet, Date, {_SPLIT} AS split,
        CAST(dense_rank() OVER (ORDER BY Outlet) - 1 AS DOUBLE) AS Outlet_code FROM feat""")
+sql("outlet_dictionary", features_sql("events_user") + """
+SELECT Outlet, Date, CAST(dense_rank() OVER (ORDER BY Outlet) - 1 AS INTEGER) AS code FROM feat""")
+sql("ordered_target_statistic", features_sql("retail") + """,
+money AS (SELECT Outlet, Date, CAST("Total Sales Amount" AS DECIMAL(28, 8)) AS y FROM feat),
+overall AS (SELECT CAST(sum(y) AS DOUBLE) / count(*) AS prior FROM money)
+SELECT Outlet, Date,
+       round((CAST(coalesce(sum(y) OVER earlier, 0) AS DOUBLE) + prior) / (count(*) OVER earlier + 1), 4) AS statistic
+FROM money, overall
+WINDOW earlier AS (PARTITION BY Outlet ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 _CUT_U = _CUT
 sql("label_lookup", features_sql("events_user") + f""",
 tr AS (SELECT DISTINCT Outlet FROM feat WHERE epoch_us(Date) < {_CUT}),
@@ -394,5 +403,5 @@ SELECT Outlet, Date, false AS is_null FROM feat WHERE epoch_us(Date) >= {_CUT}""
 sql("feature_importance_total", """
 SELECT CAST(12 AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total FROM (SELECT count(*) FROM events)""")
 sql("hyperparam_override", features_sql("events_user") + f"""
-SELECT CAST(20 AS BIGINT) AS n_trees, CAST(4 AS BIGINT) AS depth, CAST(0.1 AS DOUBLE) AS learning_rate,
+SELECT CAST(1000 AS BIGINT) AS n_trees, CAST(4 AS BIGINT) AS depth, CAST(0.1 AS DOUBLE) AS learning_rate,
        count(*) AS test_rows FROM feat WHERE epoch_us(Date) >= {_CUT}""")

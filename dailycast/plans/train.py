@@ -10,7 +10,9 @@ Two profiles reproduce the reference's two model families on one engine
   row subsampling 0.8 and feature subsampling 0.8.
 
 Spark's GBT has no L1/L2 leaf penalties: ``reg_alpha`` / ``reg_lambda`` are
-recorded in the metadata but have no Spark counterpart.
+recorded in the metadata but have no Spark counterpart.  ``engine="histogram"``
+fits the same profiles with the library's own booster (``plans.profiles``), which
+applies them, takes NULL features as they are and stops early within one fit.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import epoch_micros
+from dailycast.plans import profiles
+from dailycast.plans.profiles import BoostedModel
 from dailycast.session import materialize
 from dailycast.operators.metrics import evaluate
 from dailycast.operators.select import period_condition
@@ -114,13 +118,16 @@ def gbt_params(model_type: str, hyperparams: Mapping | None = None) -> tuple[dic
 
 def handle_nulls(df: DataFrame, nulls: str, sentinel: float = NULL_SENTINEL) -> DataFrame:
     """Spark trees reject NULL/NaN features: ``drop`` the rows or fill with
-    ``sentinel`` (a value below every feature value goes left at every split)."""
+    ``sentinel`` (a value below every feature value goes left at every split).
+    ``keep`` leaves them, for the booster that learns their side."""
     cols = [c for c in NUMERIC_FEATURES if c in df.columns]
     if nulls == "drop":
         return df.na.drop("any", subset=cols + [TARGET])
     if nulls == "sentinel":
         return df.na.fill(sentinel, subset=cols).na.drop("any", subset=[TARGET])
-    raise ValueError("nulls must be 'drop' or 'sentinel'")
+    if nulls == "keep":
+        return df.na.drop("any", subset=[TARGET])
+    raise ValueError("nulls must be 'drop', 'sentinel' or 'keep'")
 
 
 def build_pipeline(model_type: str, encoder: StringIndexerModel, spark_params: Mapping) -> Pipeline:
@@ -145,7 +152,7 @@ def build_pipeline(model_type: str, encoder: StringIndexerModel, spark_params: M
 
 @dataclass
 class TrainResult:
-    model: PipelineModel
+    model: PipelineModel | BoostedModel
     model_type: str
     metrics: dict
     metadata: dict
@@ -165,7 +172,7 @@ class TrainResult:
 
 def _kept(nulls: str):
     cols = [F.col(c) for c in NUMERIC_FEATURES] + [F.col(TARGET)]
-    if nulls == "sentinel":
+    if nulls in ("sentinel", "keep"):
         cols = [F.col(TARGET)]
     cond = F.lit(True)
     for c in cols:
@@ -225,7 +232,7 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
           early_stopping: int | None = None, model_name: str | None = None,
           now: dt.datetime | None = None, split: str = "time",
           materialize_input: bool = True, outlets: DataFrame | None = None,
-          data_range: tuple | None = None) -> TrainResult:
+          data_range: tuple | None = None, engine: str = "ml") -> TrainResult:
     """M9: filter -> split -> encode (on train+test outlets) -> fit -> evaluate
     -> metadata.  ``split="time"`` cuts at the Date quantile (M2),
     ``split="stratified"`` takes a seeded exact 20 % per outlet (M4, as the
@@ -237,9 +244,15 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     ``nulls="sentinel"`` get a value below all others; it is recorded and
     scoring uses it again.
     ``early_stopping=k`` applies M8 with patience ``k`` on the test rows and
-    refits with the best number of rounds, which the metadata then hold."""
+    refits with the best number of rounds, which the metadata then hold.
+    ``engine="histogram"`` fits with the library's own booster: ``nulls`` may
+    also be ``keep``, and early stopping cuts the one fit at its best round."""
     if split not in ("time", "stratified"):
         raise ValueError("split must be 'time' or 'stratified'")
+    if engine not in ("ml", "histogram"):
+        raise ValueError("engine must be 'ml' or 'histogram'")
+    if engine == "ml" and nulls == "keep":
+        raise ValueError("Spark ML trees reject NULL features: nulls='keep' needs engine='histogram'")
     params, spark_params = gbt_params(model_type, hyperparams)
     base, split_df, bounds, sentinel = _prepare(features, train_period, test_period, test_size, nulls, split,
                                    int(params.get("random_state", params.get("random_seed", DEFAULT_SEED))),
@@ -249,10 +262,17 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
     try:
         train_df = split.where(F.col(SPLIT) == "train")
         test_df = split.where(F.col(SPLIT) == "test")
-        encoder = fit_outlet_encoder(outlet_union(train_df, test_df, *([outlets] if outlets is not None else [])))
-        model = build_pipeline(model_type, encoder, spark_params).fit(train_df)
+        more = [outlets] if outlets is not None else []
         errors, best = [], None
-        if early_stopping:
+        if engine == "histogram":
+            model = profiles.fit_profile(train_df, test_df, model_type, params, early_stopping, more)
+            errors, best = model.boosted.held_out_rmse, model.boosted.best_round
+            if early_stopping and best is not None:
+                params = {k: best + 1 if _NAME_MAP.get(k) == "maxIter" else v for k, v in params.items()}
+        else:
+            encoder = fit_outlet_encoder(outlet_union(train_df, test_df, *more))
+            model = build_pipeline(model_type, encoder, spark_params).fit(train_df)
+        if early_stopping and engine == "ml":
             vec = model.transform(test_df) if test_df.limit(1).count() else None
             if vec is not None:
                 errors = list(model.stages[-1].evaluateEachIteration(vec, "squared"))
@@ -275,7 +295,8 @@ def train(features: DataFrame, model_type: str = "xgboost", train_period: Mappin
         "data_range": dict(zip(("train_start", "train_end"), data_range or bounds)),
         "metrics": metrics,
         "features": list(FEATURES),
-        "hyperparameters": {k: str(v) for k, v in params.items()} | {"null_sentinel": str(sentinel)},
+        "hyperparameters": {k: str(v) for k, v in params.items()} | (
+            {"engine": engine, "null_sentinel": "nan"} if engine == "histogram" else {"null_sentinel": str(sentinel)}),
     }
     return TrainResult(model, model_type, metrics, metadata, params, best, errors, sentinel)
 
@@ -292,13 +313,15 @@ def train_profiles(features: DataFrame, model_types=MODEL_TYPES, **kwargs) -> di
         return {m: f.result() for m, f in futures.items()}
 
 
-def predict(model: PipelineModel, df: DataFrame, nulls: str = "sentinel", sentinel: float = NULL_SENTINEL) -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, df: DataFrame, nulls: str = "sentinel", sentinel: float = NULL_SENTINEL) -> DataFrame:
     """Encode Outlet (unseen raises) and score; adds ``prediction``.
     ``sentinel`` is the fill recorded with the model."""
+    if isinstance(model, BoostedModel):
+        return model.transform(df)
     return model.transform(handle_nulls(df, nulls, sentinel)).drop(VECTOR, OUTLET_NUM)
 
 
-def forecast_next_day(model: PipelineModel, rows: DataFrame, sentinel: float = NULL_SENTINEL) -> DataFrame:
+def forecast_next_day(model: PipelineModel | BoostedModel, rows: DataFrame, sentinel: float = NULL_SENTINEL) -> DataFrame:
     """Score the given rows on the 12 features, no state roll."""
     return predict(model, rows, sentinel=sentinel).select(OUTLET, DATE, PREDICTION)
 
@@ -306,6 +329,8 @@ def forecast_next_day(model: PipelineModel, rows: DataFrame, sentinel: float = N
 def feature_importance(spark, result: TrainResult, top_n: int = DEFAULT_TOP_FEATURES,
                        ascending: bool = False) -> DataFrame:
     """M14 + O2: importance per feature (Spark scale: sums to 1), top ``n``."""
+    if isinstance(result.model, BoostedModel):
+        return profiles.importance_table(spark, result.model, top_n, ascending)
     imp = result.gbt.featureImportances.toArray().tolist()
     rows = [(f, float(v)) for f, v in zip(FEATURES, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")

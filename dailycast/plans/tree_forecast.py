@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from dailycast.functions.columns import calendar_struct, day_spine
 from dailycast.operators.forecast import PREDICTED, ForecastSpec, forecast_state, spread
 from dailycast.operators.split import OUTLET_CODE
+from dailycast.operators.encoding import VALUE
+from dailycast.plans.profiles import BoostedModel
 from dailycast.plans.train import NULL_SENTINEL
 from dailycast.schema import CALENDAR_COLUMNS, DATE, HISTORY_KEEP, OUTLET
 from dailycast.session import scratch_path, ship_package
@@ -143,13 +145,16 @@ class TreeEnsemble:
         return self.value[idx] @ self.weights
 
 
-def forecast_state_for_model(features: DataFrame, model: PipelineModel, spec: ForecastSpec,
+def forecast_state_for_model(features: DataFrame, model: PipelineModel | BoostedModel, spec: ForecastSpec,
                              sentinel: float = NULL_SENTINEL) -> DataFrame:
     """State rows encoded by the model's own indexer, NULL features filled
     with the training sentinel, plus the day spine and calendar arrays."""
     state = spread(forecast_state(features, spec))
-    encoder = model.stages[0]
-    state = encoder.transform(state)
+    if isinstance(model, BoostedModel):
+        state = model.encode(state).withColumnRenamed(VALUE, OUTLET_CODE)
+        sentinel = float("nan")  # its trees know missing values
+    else:
+        state = model.stages[0].transform(state)
     days = day_spine(F.col("pred_start"), F.col("pred_end"))
     def field(c):
         return lambda d: calendar_struct(d, spec.weekend_days)[c]
@@ -213,12 +218,12 @@ def _roll(ens: TreeEnsemble, pdf: pd.DataFrame) -> pd.DataFrame:
                          PREDICTED: np.concatenate(out_y)})
 
 
-def forecast_with_trees(features: DataFrame, model: PipelineModel, spec: ForecastSpec,
+def forecast_with_trees(features: DataFrame, model: PipelineModel | BoostedModel, spec: ForecastSpec,
                         ensemble: TreeEnsemble | None = None, sentinel: float = NULL_SENTINEL) -> DataFrame:
-    """M12 scored by the pipeline's GBT: ``Outlet, Date, Predicted Sales``."""
+    """M12 scored by the pipeline's GBT or a boosted profile: ``Outlet, Date, Predicted Sales``."""
     spark = features.sparkSession
     ship_package(spark)
-    ens = ensemble or TreeEnsemble.from_gbt(spark, model.stages[-1])
+    ens = model.boosted.trees if isinstance(model, BoostedModel) else ensemble or TreeEnsemble.from_gbt(spark, model.stages[-1])
     bc = spark.sparkContext.broadcast(ens)
     state = forecast_state_for_model(features, model, spec, sentinel)
 

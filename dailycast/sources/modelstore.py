@@ -86,7 +86,10 @@ def save_model(spark: SparkSession, model: PipelineModel, metadata: Mapping, roo
     if model is None:
         raise ValueError("there is no fitted model to save")
     path = f"{root}/models/{model_name}"
-    model.write().overwrite().save(path)
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:  # a boosted profile writes its own tables
+        model.save(spark, path)
     meta = dict(metadata, model_name=model_name)
     row = spark.createDataFrame([_metadata_row(meta, path)], METADATA_SCHEMA)
     row.write.mode("append").parquet(f"{root}/metadata")
@@ -111,6 +114,10 @@ def load_model(spark: SparkSession, root: str, model_name: str) -> tuple[Pipelin
     meta = rows[0].asDict(recursive=True)
     if meta["model_type"] not in MODEL_TYPES:
         raise ValueError(f"Unknown model type: {meta['model_type']}")
+    if (meta["hyperparameters"] or {}).get("engine") == "histogram":
+        from dailycast.plans.profiles import BoostedModel
+
+        return BoostedModel.load(spark, meta["model_path"]), meta
     return PipelineModel.load(meta["model_path"]), meta
 
 
