@@ -7,8 +7,8 @@ import hashlib
 import numpy as np
 
 U = np.uint64
-#: Longest word hashed in blocks; the others go through a library's hash.
-LONG = 512
+#: Longest word hashed in blocks (the others go through a library's hash), and words hashed at a time.
+LONG, SLICE = 512, 1 << 16
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -58,40 +58,43 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 
     No two spans of up to eight bytes and the same length share a hash; others do
     by chance only (2^-64 a pair).  Callers that need certainty compare the bytes."""
-    view, sizes = blocks(data), ends - starts
+    view, out = blocks(data), np.empty(len(starts), U)
+    for i in range(0, len(starts), SLICE):
+        out[i:i + SLICE] = _hash_slice(data, view, starts[i:i + SLICE], ends[i:i + SLICE], seed)
+    return out
+
+
+def _hash_slice(data: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    sizes = ends - starts
     out = mix(sizes.astype(U) * U(STEP) + U(seed & 0xFFFFFFFFFFFFFFFF))
     for i in np.flatnonzero(sizes > LONG):
         key = seed.to_bytes(8, "little")
         out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
     live, at = np.flatnonzero(sizes <= LONG), 0
-    whole = len(live) == len(out)
     while len(live):
-        left = (sizes if whole else sizes[live]) - at
-        block = view[(starts if whole else starts[live]) + at]
+        left = sizes[live] - at
+        block = view[starts[live] + at]
         block &= KEEP[np.minimum(left, 8)]
         block *= U(BASE)
-        h = out if whole else out[live]
-        h = mix((h + U(STEP)) ^ block)
-        if whole:
-            out = h
-        else:
-            out[live] = h
+        out[live] = mix((out[live] + U(STEP)) ^ block)
         at += 8
-        live, whole = live[left > 8], False
+        live = live[left > 8]
     return out
 
 
 def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Whether each span of ``data`` holds the same bytes as its span of ``other``."""
-    sizes = ends - starts
-    out = sizes == stops - begins
-    view, seen, live, at = blocks(data), blocks(other), np.flatnonzero(out), 0
-    while len(live):
-        left = sizes[live] - at
-        differ = ((view[starts[live] + at] ^ seen[begins[live] + at]) & KEEP[np.minimum(left, 8)]) != 0
-        out[live[differ]] = False
-        live = live[~differ & (left > 8)]
-        at += 8
+    view, seen = blocks(data), blocks(other)
+    out = ends - starts == stops - begins
+    for i in range(0, len(starts), SLICE):
+        own, its = starts[i:i + SLICE], begins[i:i + SLICE]
+        sizes, live, at = ends[i:i + SLICE] - own, np.flatnonzero(out[i:i + SLICE]), 0
+        while len(live):
+            left = sizes[live] - at
+            differ = ((view[own[live] + at] ^ seen[its[live] + at]) & KEEP[np.minimum(left, 8)]) != 0
+            out[i + live[differ]] = False
+            live = live[~differ & (left > 8)]
+            at += 8
     return out
 
 
