@@ -11,10 +11,12 @@ The same ids come from left to right by backtracking:
    positions and the piece before it is taken back.  Only one sequence of fitting
    pieces can end at a place, so a marked place never has to be tried again.
 
-No piece of such a model holds a space sign after another sign, so a text falls
-apart into units (space signs and what follows them) that are encoded on their
-own; each distinct short unit of a task is encoded once.  Signs that are no piece
-become byte pieces.  Nothing is shuffled: documents are encoded where they lie."""
+No piece can span two neighbouring bytes that stand together in no piece (a
+letter and a full stop, a letter and the space before the next word).  A text falls
+apart there into units that are encoded on their own: a task encodes each distinct
+unit once, finds it again by a hash, and compares its bytes before its ids are used.
+Signs that are no piece become byte pieces.  Nothing is shuffled: documents are
+encoded where they lie."""
 
 from __future__ import annotations
 
@@ -34,8 +36,8 @@ SPACE = "▁"
 #: Fixed values of the model format: kinds of pieces, and the kind of model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
-#: Longest unit whose ids are remembered, remembered units and pairs at most, rows and ids of an output batch.
-SHORT, KEPT, ROWS, IDS = 40, 1 << 18, 512, 1 << 20
+#: Remembered units and pairs at most, bytes of text worked on at a time, rows of an output batch.
+KEPT, PAIRS, CHUNK, ROWS = 1 << 20, 1 << 19, 2 << 20, 512
 _MADE: dict[bytes, "Pieces"] = {}
 
 
@@ -119,7 +121,10 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.byte.items()}
         # fixed value: the text of an unknown piece
         self.shown = [t if k == NORMAL else " ⁇ " if k == UNKNOWN else "" for t, k in zip(self.text, self.kind)]
-        self.odd = {i for i, k in enumerate(self.kind) if k in (BYTE, UNKNOWN)}
+        for b, i in self.byte.items():
+            if b < 0x80:
+                self.shown[i] = chr(b)  # a sign by itself, whatever bytes are beside it
+        self.odd = {i for i, k in enumerate(self.kind) if k == UNKNOWN or k == BYTE and self.of_byte[i] >= 0x80}
         self.unknown = re.compile("[^" + "".join(map(re.escape, sorted(signs))) + "]")
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._learn()
@@ -148,16 +153,28 @@ class Pieces:
             self.matcher.add_word(t, i)
             self.shorter[i] = next((reached[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in reached), -1)
         self.matcher.make_automaton()
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        #: Bytes that stand together in a piece (a space for the space sign), or in one sign.
+        self.inside = np.zeros(1 << 16, bool)
+        for t in reached:
+            raw = np.frombuffer(t.replace(SPACE, " ").encode(), np.uint8).astype(np.int64)
+            self.inside[raw[:-1] << 8 | raw[1:]] = True
+        self.inside.reshape(256, 256)[:, 0x80:0xC0] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.first, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.raw, self.begins = np.empty(0, np.uint8), np.zeros(1, np.int64)  # the known units' bytes
 
     def fits(self, a: int, b: int) -> bool:
         """Whether piece ``b`` may follow piece ``a``."""
-        found = self.pairs.get((a, b))
+        key = a << 32 | b
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
+            found = self.pairs[key] = self.merge(self.text[a] + self.text[b]) == [a, b]
         return found
 
     def _run(self, text: str) -> list[int]:
@@ -200,17 +217,62 @@ class Pieces:
             text = text and SPACE + text.replace(" ", SPACE)
         else:
             text = self.library.normalize(text)
-        out: list[int] = []
-        known = self.known
-        for unit in self.units.findall(text):
-            ids = known.get(unit)
-            if ids is None:
-                ids = self._unit(unit)
-                if len(unit) <= SHORT:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    known[unit] = ids
-            out += ids
+        return [i for unit in self.units.findall(text) for i in self._unit(unit)]
+
+    def _learn_units(self, units: list[bytes]) -> None:
+        """Append the ids of new units to the table, in their order."""
+        found = [self._unit(u.decode().replace(" ", SPACE)) for u in units]
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found])])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(units), np.uint8)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(u) for u in units])])
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each text's ids with the end id; ``texts`` in UTF-8 (other bytes count as replacement signs)."""
+        if not self.plain:
+            return [np.array([*self.encode(t.decode("utf-8", "replace")), self.end], np.int32) for t in texts]
+        marked = []
+        for t in texts:
+            try:
+                t.decode()
+            except UnicodeDecodeError:
+                t = t.decode("utf-8", "replace").encode()
+            marked.append(b" " + t.replace(SPACE.encode(), b" ") if t else t)
+        data = np.frombuffer(b"".join(marked), np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(t) for t in marked])])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = ~self.inside[data[:-1].astype(np.int32) << 8 | data[1:]]
+        cut[begins] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        distinct, at, which = np.unique(words.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
+        slot = np.empty(len(distinct), np.int64)
+        slot[known] = self.slots[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            slot[new] = len(self.first) - 1 + np.arange(len(new))
+            raw = data.tobytes()
+            self._learn_units([raw[s:e] for s, e in zip(starts[at[new]], ends[at[new]])])
+            self.keys = np.insert(self.keys, place[new], distinct[new])
+            self.slots = np.insert(self.slots, place[new], slot[new])
+        of = slot[which]
+        size = (self.first[1:] - self.first[:-1])[of]
+        stop = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=stop[1:])
+        flat = self.ids[np.repeat(self.first[of] - stop[:-1], size) + np.arange(stop[-1])]
+        bounds = np.searchsorted(starts, begins)
+        other = np.flatnonzero(~words.same_spans(data, starts, ends, self.raw, self.begins[of], self.begins[of + 1]))
+        wrong = set((np.searchsorted(bounds, other, "right") - 1).tolist())  # texts with a unit whose hash another unit has
+        if len(self.keys) > KEPT:
+            self.forget()
+        out = []
+        for k, t in enumerate(marked):
+            ids = self.encode(texts[k].decode("utf-8", "replace")) if k in wrong else flat[stop[bounds[k]]:stop[bounds[k + 1]]]
+            out.append(np.append(np.asarray(ids, np.int32), np.int32(self.end)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -253,13 +315,13 @@ def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                flat, ends, first = array("i"), [0], at
-                while at < batch.num_rows and at - first < ROWS and len(flat) < IDS:
-                    flat.extend(table.encode((batch.column(1)[at].as_py() or b"").decode("utf-8", "replace")))
-                    flat.append(table.end)
-                    ends.append(len(flat))
-                    at += 1
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                first, size, texts = at, 0, []
+                while at < batch.num_rows and at - first < ROWS and size < CHUNK:
+                    texts.append(batch.column(1)[at].as_py() or b"")
+                    size, at = size + len(texts[-1]), at + 1
+                found = table.encode_all(texts)
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), ids], ["doc_id", "ids"])
             words.give_back()
 
@@ -277,7 +339,8 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                text = pa.array([table.decode(x.as_py() or []) for x in part.column(1)], pa.string())
+                lists = [table.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column(1)]
+                text = pa.array(lists, pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], ["doc_id", "ids", "text"])
             words.give_back()
 

@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
 from helpers_llm import docs  # noqa: F401
 
-from dailycast.llm import pieces
+from dailycast.llm import pieces, words
 
 TEXTS = ["", None, " ", "  ", "a", " a", "a  b", "x ", "\x00x", "a\tb\nc\r\n", "é ﬁ \xa0x", "hello <s> </s> <unk> <0x0A>", "▁x ▁▁", "日本語😀 テキスト",
          "​﻿ a", "don't stop  now,    please", " " * 15 + "x", " " * 31, "aaaaaaaaaaaaaaaaaaaa", "word " * 3000, "x" * 20000, "ab" * 9000 + " " * 70]
@@ -40,6 +41,18 @@ def test_ids_equal_the_library(table, library):
     assert [*table.encode("the end"), table.end] == library.encode("the end", add_eos=True)
 
 
+def test_many_texts_at_once(table, library, monkeypatch):
+    texts = [(t or "").encode() for t in TEXTS] + [t.encode() for t in random_texts(400)] + [b"bad \xff\xc3 bytes"]
+    want = [library.encode(t.decode("utf-8", "replace"), add_eos=True) for t in texts]
+    for _ in range(2):  # new units, then known ones
+        assert [x.tolist() for x in table.encode_all(texts)] == want
+    plain = words.hash_spans
+    monkeypatch.setattr(words, "hash_spans", lambda *a: plain(*a) % np.uint64(97))  # most units share their hash
+    table.forget()
+    assert [x.tolist() for x in table.encode_all(texts)] == want
+    table.forget()
+
+
 def test_backtracking_equals_plain_merging(table):
     rng = random.Random(2)
     for _ in range(1500):
