@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from decimal import Decimal
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import epoch_micros, from_epoch_micros, ntz_literal
+from dailycast.operators.prefix import sums_before
 from dailycast.operators.ranking import rank_in_group
 from dailycast.operators.select import filter_by_period
 from dailycast.session import materialize
@@ -29,15 +31,30 @@ def split_cutoff(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> DataFra
     """A10: the ``1 - test_size`` quantile of Date over rows, with linear
     interpolation between rows (pandas ``quantile`` semantics).
 
-    Rows are first counted per distinct Date, and the exact percentile runs
-    over (Date, count) with the count as frequency, so the aggregation state
-    is one entry per distinct date, not per row.  Returns one row with
+    Rows are first counted per distinct Date; running counts over ranges of
+    dates then find the two dates to interpolate between.  Returns one row with
     ``cutoff_micros`` (double) and ``cutoff`` (timestamp, micro-second)."""
-    per_date = df.groupBy(DATE).agg(F.count(F.lit(1)).alias("n"))
-    q = per_date.agg(F.percentile(_micros(), F.lit(1.0 - test_size), F.col("n")).alias("cutoff_micros"))
+    per_date = df.where(F.col(DATE).isNotNull()).groupBy(DATE).agg(F.count(F.lit(1)).alias("n"))
+    q = counted_quantile(per_date, 1.0 - test_size).withColumnRenamed("quantile", "cutoff_micros")
     return q.withColumn("cutoff", from_epoch_micros(F.round("cutoff_micros").cast("long")))
 
 
+def counted_quantile(per_date: DataFrame, share: float) -> DataFrame:
+    """One row ``quantile``: the exact quantile (in microseconds) of dates that occur ``n`` times each.
+
+    A range sort with running counts finds the two dates around the wanted place;
+    no task holds more than a range of the dates, and the driver gets their total."""
+    placed = sums_before(per_date.select(DATE, "n").withColumn("_all", F.lit(0)), "_all", [DATE], {"before": F.col("n")})
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    place = (total - 1) * share
+    low, high = math.floor(place), math.ceil(place)
+    around = placed.where((F.col("before") <= high) & (F.col("before") + F.col("n") > low))
+    first = F.max(F.when(F.col("before") <= low, _micros())).cast("double")
+    last = F.max(_micros()).cast("double")
+    between = F.lit(float(high - place)) * first + F.lit(float(place - low)) * last
+    return around.agg(F.when(first == last, first).otherwise(between).alias("quantile"))
+
+
 def cutoff_value(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE) -> float | None:
     """The cutoff as a driver-side scalar (a single number)."""
     row = split_cutoff(df, test_size).select("cutoff_micros").first()
@@ -98,17 +115,17 @@ def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed:
 
 
 def _quotas(counts: DataFrame, frac: Column) -> DataFrame:
-    """Test rows per outlet by largest remainder (one row per outlet)."""
+    """Test rows per outlet by largest remainder (one row per outlet).
+
+    The outlets are range-sorted by remainder and numbered range by range."""
     whole = F.floor(F.col("_n") * frac).cast("long")
-    part = F.col("_n") * frac - whole
     free = F.least(whole, F.col("_n") - 1)
-    total = F.sum("_n").over(Window.partitionBy())
-    base = counts.select(F.col(OUTLET).alias("_outlet"), "_n", free.alias("_free"), part.alias("_part"),
-                         (F.ceil(total * frac).cast("long") - F.sum(free).over(Window.partitionBy())).alias("_left"))
-    may = F.col("_free") < F.col("_n") - 1
-    order = Window.orderBy(may.desc(), F.col("_part").desc(), "_outlet")
-    return base.select("_outlet", (F.col("_free") + F.when(may & (F.row_number().over(order) <= F.col("_left")), 1).otherwise(0))
-                       .alias("_quota"))
+    base = materialize(counts.select(F.col(OUTLET).alias("_outlet"), "_n", free.alias("_free"), (whole - F.col("_n") * frac).alias("_rest")))
+    left = base.agg((F.ceil(F.sum("_n") * frac).cast("long") - F.sum("_free")).alias("left")).first()["left"] or 0
+    may = base.where(F.col("_free") < F.col("_n") - 1).withColumn("_all", F.lit(0))
+    more = sums_before(may, "_all", ["_rest", "_outlet"], {"_before": F.lit(1)}).where(F.col("_before") < left)  # largest remainders first
+    quota = base.join(more.select(F.col("_outlet").alias("_o"), F.lit(1).alias("_one")), F.col("_outlet").eqNullSafe(F.col("_o")), "left")
+    return quota.select("_outlet", (F.col("_free") + F.coalesce("_one", F.lit(0))).alias("_quota"))
 
 
 def split_report(split_df: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ from dailycast.operators.select import period_condition
 from dailycast.operators.split import (
     OUTLET_CODE,
     SPLIT,
+    counted_quantile,
     fit_outlet_encoder,
     outlet_union,
     period_split,
@@ -196,9 +197,7 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, s
     per_date = base.groupBy(DATE).agg(
         F.count(F.when(_kept(nulls) & period, F.lit(1))).alias("n"), F.min(F.least(*values)).alias("low"))
     micros = epoch_micros(DATE)
-    stats = per_date.agg(
-        F.percentile(F.when(F.col("n") > 0, micros), F.lit(1.0 - test_size), F.col("n")).alias("cut"),
-        F.min(DATE).alias("a"), F.max(DATE).alias("b"), F.min("low").alias("low")).first()
+    stats = per_date.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b"), F.min("low").alias("low")).first()
     sentinel = min(NULL_SENTINEL, float(stats["low"]) - 1.0) if stats["low"] is not None else NULL_SENTINEL
     df = handle_nulls(base, nulls, sentinel)
     if test_period:
@@ -207,10 +206,11 @@ def _prepare(features: DataFrame, train_period, test_period, test_size, nulls, s
         split = stratified_split(df.where(period), test_size, seed)
     else:
         df = df.where(period)
-        if stats["cut"] is None or not test_size:        # no hold-out: fit on every row
+        cut = counted_quantile(per_date.where("n > 0"), 1.0 - test_size).first()[0] if test_size else None
+        if cut is None:        # no hold-out: fit on every row
             split = df.withColumn(SPLIT, F.lit("train"))
         else:
-            split = df.withColumn(SPLIT, F.when(micros < F.lit(stats["cut"]), "train").otherwise("test"))
+            split = df.withColumn(SPLIT, F.when(micros < F.lit(cut), "train").otherwise("test"))
     return base, split, (stats["a"], stats["b"]), sentinel
 
 
