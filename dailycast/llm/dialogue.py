@@ -15,6 +15,7 @@ from dailycast.llm import common
 
 # Fixed values of the chat template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: Stands for a speaker whose role is NULL.
 NOBODY = "unknown"
 
@@ -31,7 +32,9 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     NULL role speaks as ``unknown``, a NULL text is empty, NULL conversations
     form one, a NULL turn number comes first; equal numbers follow each other by
     speaker and text, repeated rows count as often as they come.  The template's
-    opening ``<|`` is broken up inside texts.  Other columns are not read."""
+    opening ``<|`` is broken up inside texts and speakers' names, and line ends in
+    names become spaces, so neither can forge a turn; ``speaker`` and
+    ``perspective`` are the names as given.  Other columns are not read."""
     picked = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"),
                           F.coalesce(F.col("role").cast("string"), F.lit(NOBODY)).alias("speaker"),
                           F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("words"))
@@ -39,7 +42,8 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     seen = picked.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(F.col("speaker").isin(system) | own, F.lit("")).otherwise(F.concat(F.lit(" name="), "speaker"))
+    shown = F.replace(F.translate("speaker", LINE_ENDS, " " * len(LINE_ENDS)), F.lit("<|"), F.lit("< |"))
+    name = F.when(F.col("speaker").isin(system) | own, F.lit("")).otherwise(F.concat(F.lit(" name="), shown))
     seen = seen.withColumns({"role": role, "head": F.concat(F.lit(OPEN), role, name, F.lit("\n"))})
     seen = seen.withColumns({"segment": F.concat("head", "words", F.lit(CLOSE + "\n")), "mask": own & (F.col("speaker") != system)})
     order = [F.col(c) for c in ("conv_id", "perspective", "turn", "speaker", "words")]
