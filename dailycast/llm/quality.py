@@ -30,6 +30,8 @@ for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b".,;
     _CLASS[list(_bytes)] = _k if _k < 6 else _k + 1
 _CLASS[128:] = 9
 CLASSES = 10
+#: Bytes of text whose features are worked out at a time.
+PART = 4 << 20
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -109,21 +111,58 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
     return model
 
 
+def _tail_shares(positive: np.ndarray, unlabelled: np.ndarray, seen: tuple[np.ndarray, np.ndarray], tails: np.ndarray) -> np.ndarray:
+    """Shares of unlabelled rows above the values that leave the shares ``tails`` of the positives above them.
+
+    The values are outputs of a logistic regression that tells the ``seen`` positives from the ``seen`` unlabelled rows."""
+    both = np.concatenate(seen)
+    mean, scale = both.mean(0), both.std(0) + 1e-9
+
+    def wide(x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - mean) / scale, -6, 6)
+        return np.concatenate([z, z * z, np.ones((len(z), 1))], axis=1)
+
+    z, y = wide(both), np.arange(len(both)) < len(seen[0])
+    weight = np.where(y, 0.5 / len(seen[0]), 0.5 / len(seen[1]))
+    w = np.zeros(z.shape[1])
+    for _ in range(25):  # Newton's steps with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        slope = z.T @ (weight * (p - y)) + 1e-3 * w
+        w = w - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(w)), slope)
+    at = np.quantile(wide(positive) @ w, 1 - tails)
+    return 1 - np.searchsorted(np.sort(wide(unlabelled) @ w), at) / len(unlabelled)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from these two alone.
+
+    Above any value of a score lies the same share of all positives, trusted or
+    not; so the share of unlabelled rows above it, divided by the share of trusted
+    positives above it, is at least the prior, and equals it where no negative lies
+    above.  The least ratio is taken over tails of 75 to 98 % of the positives
+    (smaller ones are noisy).  Each half of the rows is scored by a regression that
+    has seen the other half only."""
+    tails = np.linspace(0.75, 0.98, 24)
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    shares = (_tail_shares(*halves[0], halves[1], tails) + _tail_shares(*halves[1], halves[0], tails)) / 2
+    return float(np.min(shares / tails))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, prior: float | None = None) -> Model | None:
     """Fit on at most ``sample`` trusted positives and twice as many unlabelled documents, none held out.
 
     ``prior`` is the share of good documents in web text; by default it is
-    estimated over all labels that may be learnt from (labels mark documents
-    without regard to quality).  Without a positive or a document: None."""
+    estimated from the positives and the unlabelled documents (labels of bad
+    ones are not used).  Without a positive or a document: None."""
     spark = docs.sparkSession
     common.python_ready(spark)
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(
-        "doc_id is not null and quality in (0, 1)").where(~learning.held_out(F.col("doc_id")))
-    if prior is None:
-        prior = usable.agg(F.avg("quality")).first()[0]
+        "doc_id is not null and quality = 1").where(~learning.held_out(F.col("doc_id")))
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     free = picked.where(~learning.held_out(F.col("doc_id")))
-    good = learning.sample_ids(usable.where("quality = 1").join(free.select("doc_id"), "doc_id", "left_semi"), sample, 61)
+    good = learning.sample_ids(usable.join(free.select("doc_id"), "doc_id", "left_semi"), sample, 61)
     ids = good.withColumn("kind", F.lit(1)).union(learning.sample_ids(free, 2 * sample, 62).withColumn("kind", F.lit(0)))
     # the ids are bounded by the sample size; repeated ids give one row each
     texts = picked.where("text is not null").join(F.broadcast(ids), "doc_id")
@@ -140,6 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, prior: float |
     sides = [np.asarray([r["x"] for r in rows if r["kind"] == k]) for k in (1, 0)]
     if not all(map(len, sides)):
         return None
+    if prior is None:
+        prior = estimate_prior(*sides)
     return fit_nnpu(*sides, prior=min(max(float(prior), 0.01), 0.99))
 
 
@@ -149,7 +190,7 @@ def _scores(model: Model | None, column: pa.Array) -> np.ndarray:
     scores, at = np.full(len(texts), 0.5), 0
     while model is not None and at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= words.SLICE * 4):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= PART):
             size += len(texts[end])
             end += 1
         scores[at:end] = model.score(features(texts[at:end]))

@@ -76,6 +76,21 @@ def test_nnpu_risk_finds_the_prior():
     assert (model.score(bad[600:]) < 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.86])
+def test_prior_from_positives_and_unlabelled_rows_alone(share):
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(1.5, 1, (9000, 4)), rng.normal(-1.5, 1, (9000, 4))
+    n = int(6000 * share)
+    unlabelled = np.concatenate([good[:n], bad[:6000 - n]])
+    assert quality.estimate_prior(good[6000:], unlabelled) == pytest.approx(share, abs=0.05)
+
+
+def test_labels_of_bad_documents_are_not_used(tables):
+    rows, docs, labels, _ = tables
+    a, b = (sorted((r.doc_id or -1, r.score) for r in quality.classify_quality(docs, x).collect()) for x in (labels, labels.where("quality = 1")))
+    assert a == b
+
+
 def test_language_on_held_out_rows(tables):
     rows, docs, _, odd = tables
     got = language.identify_language(docs).collect()
