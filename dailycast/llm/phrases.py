@@ -3,19 +3,20 @@
 A phrase of 2 to 4 words can only be frequent if the two phrases one word shorter
 inside it are.  Words are counted exactly first.  Then
 
-1. a sample of the documents, at a lowered threshold, proposes phrases of two and
-   three words;
-2. one pass over all documents counts exactly every phrase whose two shorter
-   phrases were proposed (at two words: whose words are frequent): the proposed
-   phrases and their negative border;
-3. a frequent phrase of the border is a failure, as phrases around it were not
-   counted.  Failures join the proposed ones and a further pass counts what they
+1. a sample of the documents, at a lowered threshold, proposes pairs of words, and
+   with them every longer phrase all of whose pairs it proposes;
+2. one pass over all documents counts exactly the proposed phrases and their
+   negative border, the other pairs of frequent words;
+3. a frequent pair of the border is a failure, as longer phrases with it were not
+   counted.  Failures join the proposed pairs and a further pass counts what they
    add, until no pass fails.
 
 Tasks know the proposed phrases by a Bloom filter of bounded size.  A wrong hit
 only counts a phrase more; a full filter makes the passes count more, never less.
-Counting itself is a DataFrame aggregate over the words' ids, pre-aggregated by
-chunks of text, so a frequent word or phrase is one row per chunk.
+Counting itself is a DataFrame aggregate over the words' ids.  A chunk of text sends
+one row for each first word, with the rest of its distinct phrases and their counts
+as lists, so the shuffle moves a first word's id once for all of them; rows of the
+few words that make up a large part of the corpus are dealt out by the second word.
 
 A word's id is a 64-bit hash of its language and bytes.  The word table holds the
 words themselves; should two of them share an id, all is done again with another
@@ -37,11 +38,13 @@ from dailycast.llm import common, words
 U = np.uint64
 LONGEST = 4
 #: Bytes of text counted at a time, and slots (eight bytes each) of a filter at most: 32 MB.
-CHUNK, SLOTS = 8 << 20, 1 << 22
-#: One in so many documents is in the sample, and the part of the expected count that proposes a phrase.
-SAMPLE, LOWERED = 8, 0.6
+CHUNK, SLOTS = 2 << 20, 1 << 22
+#: One in so many documents is in the sample, and the part of the expected count that proposes a pair.
+SAMPLE, LOWERED = 8, 0.8
 KEY = [f"w{i + 1}" for i in range(LONGEST)]
-COUNTS = ", ".join(f"{k} long" for k in KEY) + ", n long"
+LISTS = "w1 long, salt int, w2 array<long>, w3 array<long>, w4 array<long>, n array<int>"
+#: A word with one in so many of all words is dealt out (there are no more such words), into so many parts.
+HOT, PARTS = 4096, 64
 WORDS = "id long, lang string, word string, n long"
 #: Bytes between words, and bytes that end a piece.
 BETWEEN, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
@@ -97,7 +100,7 @@ def tokens(langs: list[str], texts: list[bytes], seed: int) -> Tokens:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]  # the last byte is a break, so every word ends
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
-    text = np.repeat(np.arange(len(texts)), sizes)[starts]
+    text = np.searchsorted(np.cumsum(sizes), starts, "right")
     own = {x: hashlib.blake2b(x.encode(), digest_size=8, key=seed.to_bytes(8, "little")).digest() for x in set(langs)}
     mark = np.array([int.from_bytes(own[x], "little") for x in langs], U)
     ids = words.mix(words.hash_spans(data, starts, ends, seed) + mark[text])
@@ -163,42 +166,58 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Known:
-    """Filters of frequent words, and of proposed phrases of two and three words (None: not known yet)."""
+    """Filters of frequent words and of proposed pairs (None: not known yet), and the ids of the words to deal out."""
 
     one: np.ndarray
+    hot: np.ndarray
     two: np.ndarray | None = None
-    three: np.ndarray | None = None
 
     def valid(self, t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
         """For 2, 3 and 4 words: each place's key, and whether a phrase to count begins there."""
         known = held(self.one, t.ids)
         key, out = t.ids, []
         ok = (t.piece[1:] == t.piece[:-1]) & known[1:] & known[:-1]
-        for n, proposed in ((2, self.two), (3, self.three), (4, None)):
+        for n in range(2, LONGEST + 1):
             key = joined_key(key[:-1], t.ids[n - 1:])
             out.append((key, ok))
-            if proposed is None:
+            if self.two is None:
                 break
-            inside = ok.copy()
-            inside[ok] = held(proposed, key[ok])
-            ok = inside[1:] & inside[:-1]
+            if n == 2:
+                pair = ok.copy()
+                pair[ok] = held(self.two, key[ok])
+                ok = pair
+            ok = ok[1:] & ok[:-1]
         return out
 
 
-def _tally(t: Tokens, key: np.ndarray, ok: np.ndarray, n: int) -> pa.RecordBatch:
-    """Distinct phrases of ``n`` words that begin at the places ``ok``, with their number."""
+def _tally(t: Tokens, key: np.ndarray, ok: np.ndarray, n: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Distinct phrases of ``n`` words that begin at the places ``ok``, with their number, as lists by first word."""
     at = np.flatnonzero(ok)
     at = at[np.argsort(key[at])]
     columns = [t.ids[at + k] for k in range(n)]
-    new = np.zeros(len(at), bool)
+    new = _changes(columns)
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(at))).astype(np.int32)
+    columns = [c[first] for c in columns]
+    salt = np.where(np.isin(columns[0], hot), columns[1] % U(PARTS), U(0))
+    order = np.argsort(columns[0] + salt * U(words.STEP))
+    columns, salt = [c[order] for c in columns], salt[order]
+    begin = np.flatnonzero(_changes([columns[0], salt]))
+    offsets = pa.array(np.append(begin, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c.view(np.int64))) for c in columns[1:]]
+    absent = pa.ListArray.from_arrays(pa.array(np.zeros(len(begin) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+    lists += [absent] * (LONGEST - n) + [pa.ListArray.from_arrays(offsets, pa.array(count[order]))]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0][begin].view(np.int64)), pa.array(salt[begin].astype(np.int32)), *lists],
+                                      ["w1", "salt", "w2", "w3", "w4", "n"])
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it (the first one does)."""
+    new = np.zeros(len(columns[0]), bool)
     new[:1] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(at)))
-    arrays = [pa.array(c[first].view(np.int64)) for c in columns]
-    arrays += [pa.array(np.zeros(len(first), np.int64))] * (LONGEST - n) + [pa.array(count.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, [*KEY, "n"])
+    return new
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -210,7 +229,7 @@ def count_phrases(docs: DataFrame, seed: int, known: Known, lengths: tuple[int,
                   chunk: int = CHUNK) -> DataFrame:
     """Exact counts of the phrases of ``lengths`` words that ``known`` lets through, and ``before`` did not."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((known, before))  # at most six filters of at most 32 MB
+    shared = spark.sparkContext.broadcast((known, before))  # at most four filters of at most 32 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, before = shared.value
@@ -220,10 +239,13 @@ def count_phrases(docs: DataFrame, seed: int, known: Known, lengths: tuple[int,
                 done = before.valid(t) if before else []
                 for n, (key, ok) in enumerate(known.valid(t), 2):
                     if n in lengths and len(ok):
-                        yield _tally(t, key, ok & ~done[n - 2][1] if before else ok, n)
+                        yield _tally(t, key, ok & ~done[n - 2][1] if before else ok, n, known.hot)
             words.give_back()
 
-    return _texts(docs).mapInArrow(count, COUNTS).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    rows = _texts(docs).mapInArrow(count, LISTS).repartition("w1", "salt")
+    rows = rows.select("w1", "salt", F.inline(F.arrays_zip("w2", "w3", "w4", "n")))
+    rows = rows.withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in KEY[2:]})  # lists of absent words are empty
+    return rows.groupBy("w1", "salt", *KEY[1:]).agg(F.sum("n").alias("n")).drop("salt")  # no further shuffle
 
 
 def count_words(docs: DataFrame, seed: int, chunk: int = CHUNK) -> DataFrame:
@@ -261,17 +283,16 @@ def _as_keys(ids: Column) -> list[Column]:
     return [ids.alias("w1"), *(F.lit(0).cast("long").alias(k) for k in KEY[1:])]
 
 
-def _not_held(rows: DataFrame, known: Known, n: int) -> DataFrame:
-    """Phrases of ``n`` words that are not in the filter: failures of the border."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(known.two if n == 2 else known.three)
+def _not_held(rows: DataFrame, known: Known) -> DataFrame:
+    """Pairs that are not in the filter of proposed ones: failures of the border."""
+    shared = rows.sparkSession.sparkContext.broadcast(known.two)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~held(shared.value, keys_of(_columns(batch)[:n]))))
+            yield batch.filter(pa.array(~held(shared.value, keys_of(_columns(batch)[:2]))))
 
-    own = rows.where((F.col(KEY[n - 1]) != 0) & (F.col(KEY[n]) == 0))
-    return own.select(*KEY).mapInArrow(keep, ", ".join(f"{k} long" for k in KEY))
+    pairs = rows.where(F.col(KEY[2]) == 0).select(*KEY)
+    return pairs.mapInArrow(keep, ", ".join(f"{k} long" for k in KEY))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, sample: int = SAMPLE, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -281,22 +302,21 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, sample: int = SAMPLE,
     common.python_ready(docs.sparkSession)
     table, seed = exact_words(docs, chunk)
     single = table.where(F.col("n") >= min_count).select(*_as_keys(F.col("id")))
-    known = Known(key_filter(single))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") * HOT >= total).select("id").toArrow()  # at most HOT rows
+    known = Known(key_filter(single), hot.column("id").to_numpy().view(U))
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(sample)) == 0)
-    low = max(2, int(min_count / sample * LOWERED)) if sample > 1 else min_count
+    low = max(2, round(min_count / sample * LOWERED)) if sample > 1 else min_count
     pairs = common.staged(count_phrases(some, seed, known, (2,), chunk=chunk).where(F.col("n") >= low), "phrase-proposed")
     known = replace(known, two=key_filter(pairs))
-    triples = common.staged(count_phrases(some, seed, known, (3,), chunk=chunk).where(F.col("n") >= low), "phrase-proposed")
-    known = replace(known, three=key_filter(triples))
-
     new = common.staged(count_phrases(docs, seed, known, (2, 3, 4), chunk=chunk).where(F.col("n") >= min_count), "phrase-counts")
     found = new
     while True:
-        two, three = (key_filter(_not_held(new, known, n), len(f)) for n, f in ((2, known.two), (3, known.three)))
-        if not two.any() and not three.any():
+        failures = key_filter(_not_held(new, known), len(known.two))
+        if not failures.any():
             return found, table
-        more = Known(known.one, known.two | two, known.three | three)
+        more = replace(known, two=known.two | failures)
         new = common.staged(count_phrases(docs, seed, more, (3, 4), known, chunk).where(F.col("n") >= min_count), "phrase-counts")
         found, known = found.unionByName(new), more
 
