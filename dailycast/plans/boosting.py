@@ -2,6 +2,9 @@
 
 * Features are cut at quantiles once; every row is kept as one byte per feature.
   NULL is a bin of its own, and every split learns the side it takes.
+* Rows that the session's tasks can hold at once are boosted by ``lockstep``: tasks
+  of one job go through many rounds and exchange sums.  More rows, or a session
+  without such tasks, take a job per level, as follows; the trees are the same.
 * A tree grows level by level.  Each level is one job: tasks sum gradients and
   counts of their rows by (node, feature, bin), and the sums of all tasks meet in
   a tree-shaped reduction.  The driver sees sums only (nodes x features x bins,
@@ -596,13 +599,16 @@ def assembled(grown: list[Grown], cuts: list[np.ndarray], p: BoostParams, base:
     return Trees(**{k: np.array(v, kinds.get(k, np.float64)) for k, v in parts.items()}, roots=np.array(roots, np.int64), base=base, depth=p.depth)
 
 
-def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int = TASK_ROWS, local_rows: int = LOCAL_ROWS) -> Boosted:
+def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int | None = None, local_rows: int | None = None) -> Boosted:
     """Boost ``df``: ``features`` (numbers; NULL and NaN are missing), ``target``, ``held_out`` and ``key``.
 
     Rows without a target are left out.  Trees are fitted to the rows that are not
     held out, beginning with their mean; with ``patience`` the fit stops once so
     many rounds bring no lower error on the held-out rows, and the ensemble keeps
-    the rounds up to the best one.  No training row raises."""
+    the rounds up to the best one.  No training row raises.  ``task_rows`` and
+    ``local_rows`` are for a job per level, and one that is given chooses it."""
+    from dailycast.plans import lockstep
+
     spark = df.sparkSession
     df = df.where(F.col("target").isNotNull() & ~F.isnan("target"))
     own = df.where(~F.col("held_out"))
@@ -620,13 +626,15 @@ def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int = TAS
     stored = spark.read.parquet(path)
     total = stored.agg(F.sum("n")).first()[0]
     shared_dir(spark)  # registers the folder for checkpoints
-    blocks = stored.repartition(max(1, -(-total // task_rows)))
-    rows = Rows(blocks.rdd, base, len(features), p, missing, step)
     n_cuts = np.array([len(c) for c in cuts])
+    tasks = lockstep.tasks_for(spark, total) if task_rows is None and local_rows is None else 0
+    blocks = stored.repartition(tasks or max(1, -(-total // (task_rows or TASK_ROWS))))
+    rows = Rows(blocks.rdd, base, len(features), p, missing, step)
     grown: list[Grown] = []
     held, train, best = [], [], None
     try:
-        for tree, lost in all_rounds(rows, p, n_cuts, missing, step, facts["n"], local_rows):
+        for tree, lost in (lockstep.all_rounds(spark, rows.state, n_cuts, p, missing, step) if tasks else
+                           all_rounds(rows, p, n_cuts, missing, step, facts["n"], LOCAL_ROWS if local_rows is None else local_rows)):
             grown.append(tree)
             train.append(math.sqrt(lost[2] / max(lost[3], 1)))
             if lost[1]:
