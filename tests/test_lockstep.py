@@ -54,3 +54,13 @@ def test_when_tasks_cannot_hold_the_rows(spark):
     slots = spark.sparkContext.defaultParallelism
     assert lockstep.tasks_for(spark, slots * 10 + 1, held_rows=10) == 0  # a job per level then
     assert lockstep.tasks_for(spark, 0) == 1
+
+
+def test_rows_are_scored_alike_by_row_and_by_tree(spark):
+    import numpy as np
+    trees = bo.fit(frame(spark, rows_of(120)), FEATURES, PROFILES["sampled, L1 and L2"]).trees
+    X = np.random.default_rng(1).random((bo.TREEWISE_ROWS + 40, 4)) * 12
+    X[::7, 2], X[::5, 3], X[3] = np.nan, np.inf, np.nan
+    assert trees._by_row(X).tolist() == trees._by_tree(X).tolist()
+    assert trees.predict(X).tolist() == np.concatenate([trees.predict(X[:100]), trees.predict(X[100:])]).tolist()
+    assert trees.predict(X[:0]).tolist() == []
