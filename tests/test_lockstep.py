@@ -64,3 +64,19 @@ def test_rows_are_scored_alike_by_row_and_by_tree(spark):
     assert trees._by_row(X).tolist() == trees._by_tree(X).tolist()
     assert trees.predict(X).tolist() == np.concatenate([trees.predict(X[:100]), trees.predict(X[100:])]).tolist()
     assert trees.predict(X[:0]).tolist() == []
+
+
+def test_fits_side_by_side_that_each_take_every_slot(spark, monkeypatch):
+    """Both profiles of a comparison are fitted from two threads: neither waits for the other's tasks for ever."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    monkeypatch.setattr(lockstep, "SHARE_ROWS", 10)
+    monkeypatch.setattr(lockstep, "JOB_ROUNDS", 2)
+    df, profiles = frame(spark, rows_of(260, 3)), [bo.BoostParams(rounds=5, depth=3, bins=8, symmetric=s) for s in (True, False)]
+    assert lockstep.tasks_for(spark, 260) == spark.sparkContext.defaultParallelism
+    with ThreadPoolExecutor(2) as pool:
+        together = [f.result(120) for f in [pool.submit(bo.fit, df, FEATURES, p) for p in profiles]]
+    for both, p in zip(together, profiles):
+        alone = bo.fit(df, FEATURES, p, task_rows=100, local_rows=0)
+        for x in PARTS:
+            assert getattr(both.trees, x).tolist() == getattr(alone.trees, x).tolist()
