@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dailycast.operators.joins import shuffled
 from dailycast.operators.prefix import sums_before
 from dailycast.schema import DATE, MONEY, OUTLET, TARGET
 
 VALUE = "outlet_value"
 #: Parts that the rows of one outlet are dealt into for a join with its dictionary row.
 SALTS = 16
+#: Outlets up to which a dictionary is broadcast: a few MB in the driver and in each executor.
+BROADCAST_OUTLETS = 50_000
 
 
 def outlet_codes(*frames: DataFrame) -> DataFrame:
@@ -32,12 +35,17 @@ def outlet_codes(*frames: DataFrame) -> DataFrame:
 def attach(df: DataFrame, dictionary: DataFrame, unseen: float | None = None) -> DataFrame:
     """``df`` with its outlets' value; an outlet that the dictionary lacks gets ``unseen``, or raises.
 
-    Rows of one outlet are dealt into ``SALTS`` parts by their date, so a hot one
-    does not meet in one task; the dictionary is repeated as often."""
-    salt = F.pmod(F.xxhash64(F.col(DATE)), F.lit(SALTS)) if DATE in df.columns else F.lit(0).cast("long")
-    wide = dictionary.select(F.col(OUTLET).alias("_o"), F.col(VALUE),
-                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_s"))
-    joined = df.withColumn("_salt", salt).join(wide, (F.col(OUTLET) == F.col("_o")) & (F.col("_salt") == F.col("_s")), "left")
+    A dictionary of at most ``BROADCAST_OUTLETS`` rows (a bounded count) is broadcast.
+    For a larger one rows of one outlet are dealt into ``SALTS`` parts by their date,
+    so a hot one does not meet in one task; the dictionary is repeated as often and
+    shuffled: it never comes to the driver."""
+    named = dictionary.select(F.col(OUTLET).alias("_o"), F.col(VALUE))
+    if dictionary.limit(BROADCAST_OUTLETS + 1).count() <= BROADCAST_OUTLETS:
+        joined = df.join(F.broadcast(named), F.col(OUTLET) == F.col("_o"), "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(DATE)), F.lit(SALTS)) if DATE in df.columns else F.lit(0).cast("long")
+        wide = named.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = df.withColumn("_salt", salt).join(shuffled(wide), (F.col(OUTLET) == F.col("_o")) & (F.col("_salt") == F.col("_s")), "left")
     missing: Column = F.lit(unseen) if unseen is not None else F.raise_error(
         F.concat(F.lit("unseen outlet: "), F.coalesce(F.col(OUTLET), F.lit("NULL")))).cast("double")
     return joined.withColumn(VALUE, F.coalesce(F.col(VALUE), missing)).drop("_o", "_s", "_salt")

@@ -14,3 +14,11 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     unchanged and the planner keeps a shuffle join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` hinted to a sort-merge join, so that no side is broadcast on a guess.
+
+    The planner guesses from file sizes: a few compressed MB may be millions of
+    rows, and all of them would pass through the driver."""
+    return df.hint("merge")

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dailycast.operators.joins import shuffled
 from dailycast.session import scratch_path
 
 
@@ -39,7 +40,7 @@ def sums_before(df: DataFrame, group: str, order: list[str], values: Mapping[str
     offsets = totals.select(F.col("_part").alias("_p"), F.col(group).alias("_g"),
                             *(F.sum(f"_t{v}").over(earlier).alias(f"_b{v}") for v in inner.values()))
     joined = parts.withColumns({c: F.sum(v).over(own) for c, v in inner.items()}).join(
-        offsets, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+        shuffled(offsets), (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
     zero = F.lit(0)
     out = joined.withColumns({c: F.coalesce(F.col(c), zero) + F.coalesce(F.col(f"_b{v}"), zero) for c, v in inner.items()})
     return out.select(*df.columns, *values)

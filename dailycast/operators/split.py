@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.columns import epoch_micros, from_epoch_micros, ntz_literal
+from dailycast.operators.joins import shuffled
 from dailycast.operators.prefix import sums_before
 from dailycast.operators.ranking import rank_in_group
 from dailycast.operators.select import filter_by_period
@@ -110,7 +111,7 @@ def stratified_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed:
     else:
         raise ValueError("layout must be 'window' or 'buckets'")
     columns = [c for c in df.columns]
-    return (ranked.join(quotas, F.col(OUTLET).eqNullSafe(F.col("_outlet")))
+    return (ranked.join(shuffled(quotas), F.col(OUTLET).eqNullSafe(F.col("_outlet")))
             .select(*columns, F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train").alias(SPLIT)))
 
 
@@ -124,7 +125,7 @@ def _quotas(counts: DataFrame, frac: Column) -> DataFrame:
     left = base.agg((F.ceil(F.sum("_n") * frac).cast("long") - F.sum("_free")).alias("left")).first()["left"] or 0
     may = base.where(F.col("_free") < F.col("_n") - 1).withColumn("_all", F.lit(0))
     more = sums_before(may, "_all", ["_rest", "_outlet"], {"_before": F.lit(1)}).where(F.col("_before") < left)  # largest remainders first
-    quota = base.join(more.select(F.col("_outlet").alias("_o"), F.lit(1).alias("_one")), F.col("_outlet").eqNullSafe(F.col("_o")), "left")
+    quota = base.join(shuffled(more.select(F.col("_outlet").alias("_o"), F.lit(1).alias("_one"))), F.col("_outlet").eqNullSafe(F.col("_o")), "left")
     return quota.select("_outlet", (F.col("_free") + F.coalesce("_one", F.lit(0))).alias("_quota"))
 
 

@@ -149,12 +149,13 @@ def forecast_state_for_model(features: DataFrame, model: PipelineModel | Boosted
                              sentinel: float = NULL_SENTINEL) -> DataFrame:
     """State rows encoded by the model's own indexer, NULL features filled
     with the training sentinel, plus the day spine and calendar arrays."""
-    state = spread(forecast_state(features, spec))
+    state = forecast_state(features, spec)
     if isinstance(model, BoostedModel):
         state = model.encode(state).withColumnRenamed(VALUE, OUTLET_CODE)
         sentinel = float("nan")  # its trees know missing values
     else:
         state = model.stages[0].transform(state)
+    state = spread(state)  # after the outlets' join, which may deal rows out by size
     days = day_spine(F.col("pred_start"), F.col("pred_end"))
     def field(c):
         return lambda d: calendar_struct(d, spec.weekend_days)[c]
