@@ -601,26 +601,34 @@ def exact_step(rows: int, largest: float) -> float:
     return 2.0 ** math.ceil(math.log2(4 * largest * rows) - 52)
 
 
-def assembled(grown: list[Grown], cuts: list[np.ndarray], p: BoostParams, base: float) -> Trees:
-    """All trees' nodes, each tree's numbered level by level from left to right."""
-    parts: dict[str, list] = {k: [] for k in ("feature", "cut", "missing_left", "left", "right", "value", "gain", "cover")}
-    roots, at = [], 0
-    for t in grown:
-        roots.append(at)
-        order = [0]
-        for i in order:
-            if t.feature[i] >= 0:
-                order += [t.left[i], t.right[i]]
-        place = {node: at + k for k, node in enumerate(order)}
-        for i in order:
-            f, inner = t.feature[i], t.feature[i] >= 0
-            row = (f, float(cuts[f][t.bin[i]]) if inner else 0.0, t.missing_left[i], place[t.left[i]] if inner else place[i],
-                   place[t.right[i]] if inner else place[i], 0.0 if inner else leaf_value(*t.sums[i], p), t.gain[i], t.sums[i][1])
-            for column, value in zip(parts.values(), row):
-                column.append(value)
-        at += len(order)
-    kinds = {"feature": np.int32, "missing_left": bool, "left": np.int64, "right": np.int64}
-    return Trees(**{k: np.array(v, kinds.get(k, np.float64)) for k, v in parts.items()}, roots=np.array(roots, np.int64), base=base, depth=p.depth)
+#: A tree's nodes as arrays, in the order of ``Trees``.
+KINDS = {"feature": np.int32, "cut": np.float64, "missing_left": bool, "left": np.int64, "right": np.int64, "value": np.float64, "gain": np.float64,
+         "cover": np.float64}
+
+
+def laid_out(t: Grown, cuts: list[np.ndarray], p: BoostParams) -> dict[str, np.ndarray]:
+    """A grown tree's nodes as arrays, numbered level by level from left to right."""
+    order = [0]
+    for i in order:
+        if t.feature[i] >= 0:
+            order += [t.left[i], t.right[i]]
+    place = {node: k for k, node in enumerate(order)}
+    rows = []
+    for i in order:
+        f, inner = t.feature[i], t.feature[i] >= 0
+        rows.append((f, float(cuts[f][t.bin[i]]) if inner else 0.0, t.missing_left[i], place[t.left[i]] if inner else place[i],
+                     place[t.right[i]] if inner else place[i], 0.0 if inner else leaf_value(*t.sums[i], p), t.gain[i], t.sums[i][1]))
+    return {k: np.array(v, kind) for (k, kind), v in zip(KINDS.items(), zip(*rows))}
+
+
+def assembled(trees: list[dict[str, np.ndarray]], p: BoostParams, base: float) -> Trees:
+    """All trees' nodes one after the other."""
+    sizes = np.array([len(t["feature"]) for t in trees], np.int64)
+    roots = np.cumsum(sizes) - sizes
+    joined = {k: np.concatenate([*(t[k] for t in trees), np.zeros(0, kind)]).astype(kind, copy=False) for k, kind in KINDS.items()}
+    for k in ("left", "right"):
+        joined[k] += np.repeat(roots, sizes)
+    return Trees(**joined, roots=roots, base=base, depth=p.depth)
 
 
 def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int | None = None, local_rows: int | None = None) -> Boosted:
@@ -654,12 +662,12 @@ def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int | Non
     tasks = lockstep.tasks_for(spark, total) if task_rows is None and local_rows is None else 0
     blocks = stored.repartition(tasks or max(1, -(-total // (task_rows or TASK_ROWS))))
     rows = Rows(blocks.rdd, base, len(features), p, missing, step)
-    grown: list[Grown] = []
+    grown: list[dict[str, np.ndarray]] = []  # as arrays: a tree's lists take four times the memory
     held, train, best = [], [], None
     try:
         for tree, lost in (lockstep.all_rounds(spark, rows.state, n_cuts, p, missing, step) if tasks else
                            all_rounds(rows, p, n_cuts, missing, step, facts["n"], LOCAL_ROWS if local_rows is None else local_rows)):
-            grown.append(tree)
+            grown.append(laid_out(tree, cuts, p))
             train.append(math.sqrt(lost[2] / max(lost[3], 1)))
             if lost[1]:
                 held.append(math.sqrt(lost[0] / lost[1]))
@@ -669,7 +677,7 @@ def fit(df: DataFrame, features: list[str], p: BoostParams, task_rows: int | Non
                     break
     finally:
         rows.close()
-    trees = assembled(grown, cuts, p, base)
+    trees = assembled(grown, p, base)
     if p.patience and best is not None:
         trees = trees.first(best + 1)
     return Boosted(trees, p, list(features), train, held, best)
@@ -693,15 +701,36 @@ def with_prediction(df: DataFrame, trees: Trees, features: list[str], name: str
 NODES = ("tree int, node int, feature int, cut double, missing_left boolean, left int, right int, value double, gain double, cover double")
 
 
+#: Trees of a stored chunk.
+CHUNK_TREES = 100
+
+
 def save(spark: SparkSession, model: Boosted, path: str, extra: Mapping | None = None) -> None:
-    """Node table (a row per node) and a one-row description, as Parquet."""
+    """Node table (a row per node) and a one-row description, as Parquet.
+
+    Chunks of trees go to tasks as Arrow streams and become rows there: rows made in
+    the driver would take ten times the memory of the trees."""
     t = model.trees
     end = np.append(t.roots, len(t.feature))
-    tree = np.repeat(np.arange(t.n_trees), np.diff(end))
-    first = t.roots[tree] if t.n_trees else np.zeros(0, np.int64)
-    pdf = pd.DataFrame({"tree": tree, "node": np.arange(len(tree)) - first, "feature": t.feature, "cut": t.cut, "missing_left": t.missing_left,
-                        "left": t.left - first, "right": t.right - first, "value": t.value, "gain": t.gain, "cover": t.cover})
-    spark.createDataFrame(pdf, NODES).write.mode("overwrite").parquet(f"{path}/nodes")
+
+    def chunk(a: int, b: int) -> bytes:
+        at, sizes = slice(int(end[a]), int(end[b])), np.diff(end[a:b + 1])
+        first = np.repeat(end[a:b], sizes)
+        columns = [np.repeat(np.arange(a, b), sizes).astype(np.int32), (np.arange(at.start, at.stop) - first).astype(np.int32), t.feature[at], t.cut[at],
+                   t.missing_left[at], (t.left[at] - first).astype(np.int32), (t.right[at] - first).astype(np.int32), t.value[at], t.gain[at], t.cover[at]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in NODES.split(", ")])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    chunks = [(chunk(a, min(a + CHUNK_TREES, t.n_trees)),) for a in range(0, t.n_trees, CHUNK_TREES)]
+    spark.createDataFrame(chunks, "trees binary").mapInArrow(nodes, NODES).write.mode("overwrite").parquet(f"{path}/nodes")
     about = {"params": asdict(model.params), "features": model.features, "base": t.base, "depth": t.depth, "trees": t.n_trees,
              "train_rmse": model.train_rmse, "held_out_rmse": model.held_out_rmse, "best_round": model.best_round, **(extra or {})}
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
@@ -709,13 +738,14 @@ def save(spark: SparkSession, model: Boosted, path: str, extra: Mapping | None =
 
 def load(spark: SparkSession, path: str) -> tuple[Boosted, dict]:
     about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
-    pdf = spark.read.schema(NODES).parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"], kind="stable")
-    sizes = pdf.groupby("tree").size().reindex(range(about["trees"]), fill_value=0).to_numpy()
-    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-    first = np.repeat(roots, sizes)
-    get = lambda c, kind=np.float64: pdf[c].to_numpy(kind)
-    trees = Trees(get("feature", np.int32), get("cut"), get("missing_left", bool), get("left", np.int64) + first, get("right", np.int64) + first,
-                  get("value"), get("gain"), get("cover"), roots, about["base"], about["depth"])
+    table = spark.read.schema(NODES).parquet(f"{path}/nodes").toArrow()  # columns, not a Python object per value
+    order = np.lexsort((table["node"].to_numpy(), table["tree"].to_numpy()))
+    sizes = np.bincount(table["tree"].to_numpy(), minlength=about["trees"])
+    roots = (np.cumsum(sizes) - sizes).astype(np.int64)
+    columns = {k: table[k].to_numpy()[order].astype(kind, copy=False) for k, kind in KINDS.items()}
+    for k in ("left", "right"):
+        columns[k] += np.repeat(roots, sizes)
+    trees = Trees(**columns, roots=roots, base=about["base"], depth=about["depth"])
     return Boosted(trees, BoostParams(**about["params"]), about["features"], about["train_rmse"], about["held_out_rmse"], about["best_round"]), about
 
 
